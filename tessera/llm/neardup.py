@@ -33,11 +33,8 @@ from .common import materialise, own, read, slices
 
 COORDINATES, MATCHES = 32, 12
 PREFIX = COORDINATES - MATCHES + 1
-#: Lists with more nodes outside the first node's component are split before nodes are paired.
+#: Lists with more nodes outside the first node's component are split by set size before nodes are paired; what is left then is paired whatever its length.
 SHORT = 128
-#: Lists are split once, by the size of the set; what is left then is paired whatever its length.
-DEPTH = 2
-
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20)
@@ -121,18 +118,21 @@ def components(links: DataFrame) -> DataFrame:
 class _Linker:
     """Confirmed links and the components they give, as they grow."""
 
-    def __init__(self, nodes: DataFrame, sets: DataFrame, similarity: tuple[int, int]):
-        self.nodes, self.sets, self.part, self.whole = nodes, sets, *similarity
+    def __init__(self, nodes: DataFrame, docs: DataFrame, n: int, similarity: tuple[int, int]):
+        self.nodes, self.docs, self.n, self.part, self.whole = nodes, docs, n, *similarity
         self.found = None
 
     def confirm(self, pairs: DataFrame) -> None:
-        """``pairs`` (a, b): those that agree on enough of the signature are checked on the full sets."""
+        """``pairs`` (a, b): those that agree on enough of the signature are checked on the full sets. Only texts that
+        such a pair names are read again."""
         a, b = (self.nodes.select(*(F.col(c).alias(f"{c}_{s}") for c in ("id", "n_shingles", "low", "high"))) for s in "ab")
         near = pairs.join(a, F.col("a") == F.col("id_a")).join(b, F.col("b") == F.col("id_b"))
         near = near.where(F.expr(f"{self.whole} * least(n_shingles_a, n_shingles_b) >= {self.part} * greatest(n_shingles_a, n_shingles_b)"))
-        near = near.where(agreement("_a", "_b") >= MATCHES).select("a", "b").distinct()
-        a, b = (self.sets.select(F.col("id").alias(f"id_{s}"), F.col("items").alias(f"items_{s}")) for s in "ab")
-        near = near.join(a, F.col("a") == F.col("id_a")).join(b, F.col("b") == F.col("id_b"))
+        near = materialise(near.where(agreement("_a", "_b") >= MATCHES).select("a", "b").distinct())
+        named = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        sets = materialise(_sets(self.docs.join(named, "doc_id", "left_semi").select("doc_id", "text"), self.n))
+        a, b = (sets.select(F.col("id").alias(f"id_{s}"), F.col("items").alias(f"items_{s}")) for s in "ab")
+        near = near.join(b, F.col("b") == F.col("id_b")).join(a, F.col("a") == F.col("id_a"))
         near = near.withColumn("both", F.size(F.array_intersect("items_a", "items_b")))
         near = near.where(F.expr(f"{self.whole} * both >= {self.part} * (size(items_a) + size(items_b) - both)")).select("a", "b")
         near = materialise(near)
@@ -146,7 +146,7 @@ class _Linker:
         mixed = named.groupBy("key").agg(F.min_by("component", "id").alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
         named = named.join(mixed.select("key", "main"), "key").withColumn("stray", F.col("component") != F.col("main"))
         strays = named.where("stray").groupBy("key").agg(F.count("*").alias("strays"))
-        return named.join(strays, "key")
+        return named.join(strays, "key").select("key", "id", "component", "stray", "strays")
 
 
 def agreement(a: str, b: str):
@@ -174,27 +174,22 @@ def link(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100)) -
     shared = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     order = posted.join(shared, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys")).where(F.size("keys") >= MATCHES)
     order = materialise(order.select("id", F.transform("keys", lambda k: k["key"]).alias("keys")))
-    texts = docs.join(order.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
-    linker = _Linker(nodes, materialise(_sets(texts, n)), similarity)
-
     lists = order.select("id", F.explode(F.slice("keys", F.lit(1), F.size("keys") - MATCHES + 1)).alias("key"))
-    for depth in range(1, DEPTH + 1):
-        firsts = lists.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-        linker.confirm(lists.join(firsts.select("key", "a"), "key").where("id > a").select("a", F.col("id").alias("b")).distinct())
-        mixed = materialise(linker.lists(lists))
-        short = mixed if depth == DEPTH else mixed.where(f"strays <= {SHORT}")
-        sketch = short.join(nodes.select("id", "n_shingles", "low", "high"), "id").select("key", "id", "component", "stray", "low", "high")
-        a, b = (sketch.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "stray", "low", "high"))) for s in "ab")
-        near = a.where("stray_a").join(b, "key").where("component_a <> component_b and (id_a < id_b or not stray_b)").where(agreement("_a", "_b") >= MATCHES)
-        linker.confirm(near.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
-        longer = mixed.where(f"strays > {SHORT}")
-        if depth == DEPTH or longer.isEmpty():
-            break
-        # linked sets differ in size by less than one class, so they meet in the larger one's class
-        step = math.log(similarity[1] / similarity[0])
-        sized = longer.join(nodes.select("id", "n_shingles"), "id").withColumn("class", F.floor(F.log("n_shingles") / step + 1e-9))
-        sized = sized.withColumn("class", F.explode(F.array(F.col("class"), F.col("class") + 1)))
-        lists = materialise(sized.select("id", F.xxhash64("key", "class").alias("key")))
+    linker = _Linker(nodes, docs, n, similarity)
+    firsts = lists.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
+    linker.confirm(lists.join(firsts.select("key", "a"), "key").where("id > a").select("a", F.col("id").alias("b")).distinct())
+
+    mixed = materialise(linker.lists(lists))
+    # linked sets differ in size by less than one class, so they meet in the larger one's class
+    step = math.log(similarity[1] / similarity[0])
+    sizes = nodes.select("id", F.floor(F.log("n_shingles") / step + 1e-9).alias("class"), "low", "high")
+    sized = mixed.where(f"strays > {SHORT}").select("key", "id").join(sizes.select("id", "class"), "id")
+    sized = sized.select("id", F.explode(F.array(F.xxhash64("key", "class"), F.xxhash64("key", F.col("class") + 1))).alias("key"))
+    paired = mixed.where(f"strays <= {SHORT}").union(linker.lists(sized).select(*mixed.columns))
+    sketch = paired.join(sizes.drop("class"), "id").select("key", "id", "component", "stray", "low", "high")
+    a, b = (sketch.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "stray", "low", "high"))) for s in "ab")
+    near = a.where("stray_a").join(b, "key").where("component_a <> component_b and (id_a < id_b or not stray_b)").where(agreement("_a", "_b") >= MATCHES)
+    linker.confirm(near.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct())
 
     roots = groups.join(linker.found, F.col("node") == F.col("id"), "left").select(F.col("digest").alias("_digest"), F.coalesce("component", "node").alias("root"))
     named = signed.join(roots, signed["digest"] == roots["_digest"], "left")
