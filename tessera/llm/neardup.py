@@ -3,17 +3,16 @@
 1. Every text becomes its set of hashed word shingles, a signature of ``COORDINATES`` minimum hashes and a sketch of
    ``SKETCH`` more, four bits each. Documents with the same set are one node from here on, named by their smallest
    ``doc_id``.
-2. Nodes are posted under each coordinate-value pair. Pairs that one node alone has cannot collide and are skipped. A
-   link at the asked similarity agrees on ``least_matches`` coordinates or more (it misses that with probability below
-   1e-6), so, with each node's coordinates ordered from rare to frequent, two linked nodes share one of the first
-   ``COORDINATES - matches + 1``: only that prefix is merged.
+2. Nodes are posted under each coordinate-value pair, within the classes of set sizes where a link can be. Pairs that
+   one node alone has cannot collide and are skipped. A link at the asked similarity agrees on ``least_matches``
+   coordinates or more (it misses that with probability below 1e-6), so, with each node's coordinates ordered from rare
+   to frequent, two linked nodes share one of all but the last ``matches - 1``: only that prefix is merged.
 3. In each of ``ROUNDS`` rounds a list links its nodes to one of them, its hub: the smallest node at first, later one
    that is drawn for the list and the round. A node meets as many hubs as it has lists and is never paired with its own
    component again, so a group of thousands of copies costs thousands of checks.
-4. In lists that still hold several components, the nodes outside the largest meet those of other components. A list
-   with many such nodes is split by the size of the sets; then both sides are cut into blocks of bounded size, and a task
-   compares two blocks. No pair becomes a row: the sketches' blocks give the nodes that have a partner, and blocks of
-   those nodes' full sets give one link for each node and component.
+4. In lists that still hold several components, the nodes outside the largest meet those of other components. Both
+   sides are cut into blocks of bounded size, and a task compares two blocks. No pair becomes a row: the sketches' blocks give the nodes that have a
+   partner, and blocks of those nodes' full sets give one link for each node and component.
 5. Collisions are counted on the sketches; survivors are confirmed on the full sets.
 6. Components grow by star contraction over the confirmed links.
 
@@ -36,8 +35,6 @@ from pyspark.sql import functions as F
 from .common import materialise, own, read, slices
 
 COORDINATES, SKETCH, ROUNDS = 32, 128, 2
-#: Lists with more nodes outside the largest component are split by set size before blocks are made.
-SHORT = 128
 #: Nodes and shingles of a block, about.
 BLOCK_NODES, BLOCK_SHINGLES = 2048, 500_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -298,11 +295,11 @@ class _Linker:
         return mixed.select("key", "id")
 
     def lists(self, posted: DataFrame) -> DataFrame:
-        """Lists that hold several components: a node is a stray unless it is in the list's largest."""
+        """Lists (key, id, component, stray) that hold several components: strays are outside the list's largest one."""
         named = self.named(posted)
         parts = named.groupBy("key", "component").agg(F.count("*").alias("n"))
-        mixed = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n")).where("most < n")
-        return named.join(mixed.select("key", "main", (F.col("n") - F.col("most")).alias("strays")), "key").select("key", "id", "component", (F.col("component") != F.col("main")).alias("stray"), "strays")
+        mixed = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+        return named.join(mixed.select("key", "main"), "key").select("key", "id", "component", (F.col("component") != F.col("main")).alias("stray"))
 
 
 def link(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -314,24 +311,21 @@ def link(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100)) -
     nodes = filled.join(groups, "digest").where("doc_id = node").dropDuplicates(["node", "digest"])
     nodes = materialise(nodes.select(F.col("doc_id").alias("id"), "n_shingles", "coords", "sketch"))
 
-    # Coordinates that collide at all, rare ones first; nodes that collide on too few of them have no link.
-    matches = least_matches(COORDINATES, similarity[0] / similarity[1])
-    posted = nodes.select("id", F.explode("coords").alias("key"))
+    # Linked sets differ in size by less than one class, so they meet in the larger one's class. Of the coordinates that
+    # collide there at all, rare ones come first; a node that collides on too few of them has no link in the class.
+    matches, step = least_matches(COORDINATES, similarity[0] / similarity[1]), math.log(similarity[1] / similarity[0])
+    size = F.floor(F.log("n_shingles") / step + 1e-9)
+    posted = nodes.select("id", F.explode(F.array(size, size + 1)).alias("class"), "coords").select("id", "class", F.explode("coords").alias("coord"))
+    posted = posted.select("id", "class", F.xxhash64("coord", "class").alias("key"))
     shared = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    order = posted.join(shared, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys")).where(F.size("keys") >= matches)
+    order = posted.join(shared, "key").groupBy("id", "class").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys")).where(F.size("keys") >= matches)
     order = materialise(order.select("id", F.transform("keys", lambda k: k["key"]).alias("keys")))
     lists = order.select("id", F.explode(F.slice("keys", F.lit(1), F.size("keys") - matches + 1)).alias("key"))
     linker = _Linker(nodes, docs, n, similarity)
     for turn in range(ROUNDS):
         lists = linker.round(lists, turn)
 
-    mixed = materialise(linker.lists(lists))
-    # linked sets differ in size by less than one class, so they meet in the larger one's class
-    step = math.log(similarity[1] / similarity[0])
-    sizes = nodes.select("id", F.floor(F.log("n_shingles") / step + 1e-9).alias("class"))
-    sized = mixed.where(f"strays > {SHORT}").select("key", "id").join(sizes.select("id", "class"), "id")
-    sized = sized.select("id", F.explode(F.array(F.xxhash64("key", "class"), F.xxhash64("key", F.col("class") + 1))).alias("key"))
-    linker.meet(mixed.where(f"strays <= {SHORT}").union(linker.lists(sized).select(*mixed.columns)))
+    linker.meet(materialise(linker.lists(lists)))
 
     roots = groups.join(linker.found, F.col("node") == F.col("id"), "left").select(F.col("digest").alias("_digest"), F.coalesce("component", "node").alias("root"))
     named = signed.join(roots, signed["digest"] == roots["_digest"], "left")
