@@ -52,7 +52,7 @@ def predict(kind: str, data: str) -> str:
 def _cov(kind: str, bread: str = "w") -> str:
     """CTE c: the inverse information (i00, i01, i11), n and the dispersion."""
     f = FAMILIES[kind]
-    return f""", g as (select count(*) as n, sum(a * {f[bread]}) as s00, sum(a * {f[bread]} * x) as s01, sum(a * {f[bread]} * x * x) as s11, sum(a * (y - mu) * (y - mu) / ({f["v"]})) as chi from m),
+    return f""", g as (select count(*) as n, sum(a * ({f[bread]})) as s00, sum(a * ({f[bread]}) * x) as s01, sum(a * ({f[bread]}) * x * x) as s11, sum(a * (y - mu) * (y - mu) / ({f["v"]})) as chi from m),
 c as (select n, s11 / (s00 * s11 - s01 * s01) as i00, -s01 / (s00 * s11 - s01 * s01) as i01, s00 / (s00 * s11 - s01 * s01) as i11, {"chi / (n - 2)" if f["phi"] else "1.0"} as phi from g)"""
 
 
@@ -61,7 +61,7 @@ def summary(kind: str, data: str, robust: str = "none") -> str:
     if robust == "none":
         cov = _cov(kind) + ", v as (select phi * i00 as v0, phi * i11 as v1 from c)"
     else:
-        h = f"(a * {f['h']} * (i00 + 2 * i01 * x + i11 * x * x))"
+        h = f"(a * ({f['h']}) * (i00 + 2 * i01 * x + i11 * x * x))"
         weight = {"hc2": f" / (1 - {h})", "hc3": f" / ((1 - {h}) * (1 - {h}))"}.get(robust, "")
         if robust == "cluster":
             meat = f"select sum(g0 * g0) as m00, sum(g0 * g1) as m01, sum(g1 * g1) as m11, count(*) as groups from (select sum(a * ({f['r']})) as g0, sum(a * ({f['r']}) * x) as g1 from m group by cl)"
@@ -85,7 +85,7 @@ def predict_ci(kind: str, data: str) -> str:
 def influence(kind: str, data: str) -> str:
     f = FAMILIES[kind]
     return f"""{fit_cte(kind, data)}{_cov(kind, "h")}, r as (
-  select key, a * {f["h"]} * (i00 + 2 * i01 * x + i11 * x * x) as hat, (y - mu) * sqrt(a) / sqrt({f["v"]}) as p, sign(y - mu) * sqrt(a * greatest({f["dev"]}, 0)) as dv, phi from m, c)
+  select key, a * ({f["h"]}) * (i00 + 2 * i01 * x + i11 * x * x) as hat, (y - mu) * sqrt(a) / sqrt({f["v"]}) as p, sign(y - mu) * sqrt(a * greatest({f["dev"]}, 0)) as dv, phi from m, c)
 select key, round(hat, 9) as hat, round(p, 6) + 0.0 as pearson_resid, round(dv, 6) + 0.0 as deviance_resid, round(p / sqrt(phi * (1 - hat)), 6) + 0.0 as std_resid, round(p * p / phi * hat / (2 * (1 - hat) * (1 - hat)), 9) as cooks_distance from r"""
 
 
