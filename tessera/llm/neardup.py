@@ -1,12 +1,13 @@
 """MinHash near-duplicate linking through an inverted index of signature coordinates.
 
-1. Every text becomes its set of hashed word shingles, a signature of ``COORDINATES`` minimum hashes and a sketch of
-   ``SKETCH`` more, four bits each. Documents with the same set are one node from here on, named by their smallest
-   ``doc_id``.
+1. Every text becomes its set of hashed word shingles and ``SKETCH`` minimum hashes of it. ``WIDTH`` of these make one
+   coordinate of the signature, so that texts with some common phrases seldom collide; four bits of each hash make the
+   sketch. Documents with the same set are one node from here on, named by their smallest ``doc_id``.
 2. Nodes are posted under each coordinate-value pair. Pairs that one node alone has cannot collide and are skipped. A
    link at the asked similarity agrees on ``least_matches`` coordinates or more (it misses that with probability below
    1e-6), so, with each node's coordinates ordered from rare to frequent, two linked nodes share one of the first
-   ``COORDINATES - matches + 1``: only that prefix is merged.
+   ``COORDINATES - matches + 1``: only that prefix is merged. Nodes that collide on fewer coordinates than a link needs
+   are done here; only the others' texts are read again, once, for their full sets.
 3. In each of ``ROUNDS`` rounds a list links its nodes to one of them, its hub: the smallest node at first, later one
    that is drawn for the list and the round. A node meets as many hubs as it has lists and is never paired with its own
    component again, so a group of thousands of copies costs thousands of checks.
@@ -35,7 +36,10 @@ from pyspark.sql import functions as F
 
 from .common import materialise, own, read, slices
 
-COORDINATES, SKETCH, ROUNDS = 32, 128, 2
+SKETCH, WIDTH, ROUNDS = 128, 3, 2
+COORDINATES = SKETCH // WIDTH
+#: Up to so many ids (8 bytes each) are broadcast to pick the texts to read again; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 #: Lists with more nodes outside the largest component are split by set size before blocks are made.
 SHORT = 128
 #: Nodes and shingles of a block, about.
@@ -43,8 +47,6 @@ BLOCK_NODES, BLOCK_SHINGLES = 2048, 500_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20)
-_ODD = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SALT = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64)
 _ODD_32 = _rng.integers(0, 2**31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SALT_32 = _rng.integers(0, 2**32, SKETCH, dtype=np.uint32)
 
@@ -76,19 +78,25 @@ def shingles(text: bytes | None, n: int) -> np.ndarray:
     return np.unique(key)
 
 
-def signature(keys: np.ndarray) -> np.ndarray:
-    out = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(keys), 1024):
-        out = np.minimum(out, ((keys[None, i : i + 1024] ^ _SALT[:, None]) * _ODD[:, None]).min(axis=1))
-    return _mix(out + np.arange(COORDINATES, dtype=np.uint64))
-
-
-def sketch(keys: np.ndarray) -> np.ndarray:
-    """Four bits of each of ``SKETCH`` minimum hashes, sixteen to a number."""
+def minima(keys: np.ndarray) -> np.ndarray:
+    """``SKETCH`` minimum hashes of a set."""
     out, short = np.full(SKETCH, np.iinfo(np.uint32).max, np.uint32), (keys >> np.uint64(32)).astype(np.uint32)
     for i in range(0, len(short), 1024):
         out = np.minimum(out, ((short[None, i : i + 1024] ^ _SALT_32[:, None]) * _ODD_32[:, None]).min(axis=1))
-    bits = (_mix(out.astype(np.uint64) + _STEP) & np.uint64(15)).reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
+    return out.astype(np.uint64)
+
+
+def signature(low: np.ndarray) -> np.ndarray:
+    """Coordinates of ``WIDTH`` minimum hashes each, hashed with their place."""
+    key = np.arange(COORDINATES, dtype=np.uint64)
+    for part in low[: COORDINATES * WIDTH].reshape(COORDINATES, WIDTH).T:
+        key = _mix(key * _STEP + part + np.uint64(1))
+    return key
+
+
+def sketch(low: np.ndarray) -> np.ndarray:
+    """Four bits of each minimum hash, sixteen to a number."""
+    bits = (_mix(low + _STEP) & np.uint64(15)).reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
     return np.bitwise_or.reduce(bits, axis=1)
 
 
@@ -105,8 +113,9 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                 keys = shingles(text, n)
                 sizes.append(len(keys))
                 digests.append(hashlib.blake2b(keys.tobytes(), digest_size=16).digest())
-                coords.append(signature(keys))
-                sketches.append(sketch(keys))
+                low = minima(keys)
+                coords.append(signature(low))
+                sketches.append(sketch(low))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists(coords, COORDINATES), lists(sketches, SKETCH // 16)], ["doc_id", "n_shingles", "digest", "coords", "sketch"])
 
     return own(docs, "doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, digest binary, coords array<long>, sketch array<long>")
@@ -122,6 +131,14 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(collect, "id long, items array<long>")
 
 
+def chosen_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """(id, items) of the texts of ``ids``, a written table."""
+    ids = ids.select(F.col("id").alias("doc_id"))
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return _sets(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text"), n)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for every linked node; the component is its smallest node. Alternating star contraction."""
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
@@ -246,8 +263,8 @@ def linked(rows: DataFrame, part: int, whole: int) -> DataFrame:
 class _Linker:
     """Confirmed links and the components they give, as they grow."""
 
-    def __init__(self, nodes: DataFrame, docs: DataFrame, n: int, similarity: tuple[int, int]):
-        self.nodes, self.docs, self.n, self.part, self.whole = nodes, docs, n, *similarity
+    def __init__(self, nodes: DataFrame, sets: DataFrame, similarity: tuple[int, int]):
+        self.nodes, self.sets, self.part, self.whole = nodes, sets, *similarity
         self.agreed = least_matches(SKETCH, self.part / self.whole + (1 - self.part / self.whole) / 16)
         self.found = materialise(nodes.select("id", F.col("id").alias("component")).limit(0))
 
@@ -258,16 +275,10 @@ class _Linker:
         near = near.where(F.expr(f"{self.whole} * least(n_shingles_a, n_shingles_b) >= {self.part} * greatest(n_shingles_a, n_shingles_b)"))
         return near.where(agreement("sketch_a", "sketch_b") >= self.agreed).select("a", "b")
 
-    def sets(self, ids: DataFrame) -> DataFrame:
-        """(id, items): only the texts of these ids are read again."""
-        return _sets(self.docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text"), self.n)
-
     def confirm(self, near: DataFrame) -> None:
         """Checks pairs (a, b) on the full sets."""
-        near = materialise(near.distinct())
-        sets = materialise(self.sets(near.select(F.col("a").alias("id")).distinct().union(near.select("b").distinct()).distinct()))
-        a, b = (sets.select(F.col("id").alias(f"id_{s}"), F.col("items").alias(f"items_{s}")) for s in "ab")
-        near = near.join(b, F.col("b") == F.col("id_b")).join(a, F.col("a") == F.col("id_a"))
+        a, b = (self.sets.select(F.col("id").alias(f"id_{s}"), F.col("items").alias(f"items_{s}")) for s in "ab")
+        near = near.distinct().join(b, F.col("b") == F.col("id_b")).join(a, F.col("a") == F.col("id_a"))
         near = near.withColumn("both", F.size(F.array_intersect("items_a", "items_b")))
         self.take(near.where(F.expr(f"{self.whole} * both >= {self.part} * (size(items_a) + size(items_b) - both)")).select("a", "b"))
 
@@ -281,8 +292,7 @@ class _Linker:
         nodes = self.nodes.select("id", "n_shingles")
         cut = blocks(rows.join(nodes, "id").select("key", "id", "component", "stray", "n_shingles"))
         near = materialise(partnered(cut.join(self.nodes.select("id", F.col("sketch").alias("items")), "id").select(*cut.columns, "items"), self.agreed))
-        sets = materialise(self.sets(near.select("id").distinct()))
-        self.take(linked(near.join(sets, "id").select(*near.columns, "items"), self.part, self.whole))
+        self.take(linked(near.join(self.sets, "id").select(*near.columns, "items"), self.part, self.whole))
 
     def named(self, posted: DataFrame) -> DataFrame:
         return posted.join(self.found, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -315,13 +325,13 @@ def link(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100)) -
     nodes = materialise(nodes.select(F.col("doc_id").alias("id"), "n_shingles", "coords", "sketch"))
 
     # Coordinates that collide at all, rare ones first; nodes that collide on too few of them have no link.
-    matches = least_matches(COORDINATES, similarity[0] / similarity[1])
+    matches = least_matches(COORDINATES, (similarity[0] / similarity[1]) ** WIDTH)
     posted = nodes.select("id", F.explode("coords").alias("key"))
     shared = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     order = posted.join(shared, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys")).where(F.size("keys") >= matches)
     order = materialise(order.select("id", F.transform("keys", lambda k: k["key"]).alias("keys")))
     lists = order.select("id", F.explode(F.slice("keys", F.lit(1), F.size("keys") - matches + 1)).alias("key"))
-    linker = _Linker(nodes, docs, n, similarity)
+    linker = _Linker(materialise(nodes.join(order.select("id"), "id", "left_semi").select("id", "n_shingles", "sketch")), materialise(chosen_sets(docs, order.select("id"), n)), similarity)
     for turn in range(ROUNDS):
         lists = linker.round(lists, turn)
 
