@@ -183,6 +183,13 @@ def test_blocks_of_any_size_give_the_same(spark, monkeypatch):
     check_near(spark, own, 2)
 
 
+def test_candidates_beyond_the_broadcast_bound_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", 0)
+    base = [f"w{i}" for i in range(40)]
+    own = {i: " ".join([*base[: 40 - i % 7], f"y{i}"]) for i in range(40)} | {90: "", 91: None, 92: "alone"}
+    check_near(spark, own, 2)
+
+
 def test_toxicity_holds_out_and_ranks(spark):
     # the smaller tables hold six toxic rows in the held-out fold, too few to rank by
     found = rows(toxicity.query(spark, LARGE), "doc_id")
