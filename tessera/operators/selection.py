@@ -15,7 +15,7 @@ from tessera.functions.distributions import lgamma
 from tessera.operators.families import ARRAYS, Family, ModelError, family
 from tessera.operators.fitting import Design, quoted
 from tessera.operators.gram import descend, inverse
-from tessera.sources import table
+from tessera.sources import table, written
 
 
 def reg_grid(low: float, high: float, n: int, log_spaced: bool = False) -> list[float]:
@@ -89,9 +89,10 @@ class _Prepared:
         if fold_col:
             keyed = df.withColumnRenamed(fold_col, "_fold")
         elif order_by:
-            # rows are numbered within ranges of the key, which are then counted up
+            # rows are numbered within ranges of the key, which are then counted up; a second evaluation could cut the
+            # ranges elsewhere, so both read what one job has written
             ranged = df.repartitionByRange(quoted(order_by)).withColumn("_part", F.spark_partition_id())
-            ranged = ranged.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(quoted(order_by))))
+            ranged = written(ranged.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(quoted(order_by)))))
             sizes = sorted((r["_part"], r["n"]) for r in ranged.groupBy("_part").agg(F.count("*").alias("n")).collect())
             starts, at = {}, 0
             for part, n in sizes:

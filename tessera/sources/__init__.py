@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(source: DataFrame | str, spark: SparkSession | None = None) -> DataFrame:
@@ -16,6 +20,19 @@ def files(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once below ``spark.checkpoint.dir`` and read back, so that every job sees the same rows."""
+    spark = df.sparkSession
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        base = spark.sparkContext.getCheckpointDir()
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    df = df.withColumns({c: F.col("`" + c.replace("`", "``") + "`").cast("string") for c, kind in df.dtypes if kind == "void"})
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def save_model(model: DataFrame, name: str) -> None:
     """A model is a table: (feature, coefficient), with a class for multinomial models."""
     model.write.mode("overwrite").saveAsTable(name)

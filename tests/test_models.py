@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from tessera.functions import distributions
-from tessera.operators import api
+from tessera.operators import api, selection
+from tessera.operators.families import family
 from tessera.plans import registry
 from tessera.streaming import score_stream
 
@@ -73,6 +74,25 @@ def test_multinomial_probabilities(spark):
     assert all(abs(r["s"] - 1) < 1e-9 for r in out)
 
 
+def test_folds_follow_the_key_over_several_ranges(spark):
+    # two jobs over the ranges coalesce them differently: one reads the key alone, the other all columns
+    sizes = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "128k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    before = {c: spark.conf.get(c) for c in sizes}
+    df = spark.range(40000).selectExpr("(id * 7919) % 40000 as key", "cast((id * 7919) % 40000 as double) as y", *[f"rand({i}) as x{i}" for i in range(4)])
+    try:
+        for c, v in sizes.items():
+            spark.conf.set(c, v)
+        p = selection._Prepared(df, "y", family("linear"), 5, "key", None)
+        found = p.rows.select("y", "fold").toPandas()
+        p.rows.unpersist()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert len(found) == 40000
+    rank = np.rint(found["y"].to_numpy() * p.design.y_sd + p.design.y_mean)
+    assert (found["fold"].to_numpy() == rank % 5).all()
+
+
 def test_null_rows_are_left_out(spark, lin):
     extra = lin.union(spark.createDataFrame([(None, 1.0, 5.0), (1.0, 1.0, None)], "x1 double, x2 double, y double"))
     assert _coefficients(api.linreg_fit(extra, "y"))["x1"] == pytest.approx(3, abs=1e-6)
