@@ -8,14 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators.families import ARRAYS, COLUMNS, Family, ModelError
-from tessera.operators.gram import cross, descend, inverse
+from tessera.operators.families import COLUMNS, Family, ModelError
+from tessera.operators.gram import blocks, cross, descend, gradient, inverse
 from tessera.sources import table
 
 INTERCEPT = "(Intercept)"
 MODEL = "feature string, coefficient double"
-#: Cells (rows x columns) that gradient descent may bring to the driver.
-LOCAL_CELLS = 20_000_000
 
 
 def quoted(name: str) -> str:
@@ -161,26 +159,26 @@ def irls(design: Design, fam: Family, l1: float, l2: float, tol: float, max_iter
 
 
 def descent(design: Design, fam: Family, l1: float, l2: float, tol: float, max_iter: int, rate: float | None) -> np.ndarray:
-    """Accelerated proximal gradient descent over rows brought to the driver, for small tables only."""
+    """Accelerated proximal gradient descent; each step's gradient is summed over the rows where they lie."""
     d = len(design.z) + 1
-    if design.n * (d + 1) > LOCAL_CELLS:
-        raise ModelError("did not converge, and the table is too large for gradient descent; try l2 > 0")
-    pdf = design.rows.select(design.y.alias("y"), design.offset.alias("o"), "a", *[z.alias(f"z{i}") for i, z in enumerate(design.z)]).toPandas().to_numpy(float)
-    y, o, a, x = pdf[:, 0], pdf[:, 1], pdf[:, 2], np.hstack([np.ones((len(pdf), 1)), pdf[:, 3:]])
     inner = fam.scaled(design.y_mean)
+    rows = blocks(design.rows, [design.y, design.offset, F.col("a"), *design.z]).persist(StorageLevel.MEMORY_AND_DISK)
     step = rate or (4 / (d + 4 * l2) if fam.name == "logistic" else 1 / (d + l2))
     beta = before = np.zeros(d)
     free = np.array([0.0] + [1.0] * (d - 1))
-    for it in range(max_iter):
-        look = beta + it / (it + 3) * (beta - before)
-        mu = inner.mean(o + x @ look, ARRAYS)
-        damp = max(1.0, float(inner.observed(y, mu, ARRAYS).max())) if fam.log_link else 1.0
-        new = look + step / damp * (x.T @ (a * inner.score(y, mu, ARRAYS)) / a.sum() - l2 * free * look)
-        cut = step * l1 / damp * free
-        new = np.sign(new) * np.maximum(np.abs(new) - cut, 0.0)
-        before, beta = beta, new
-        if not np.isfinite(new).all() or np.abs(new - look).max() < tol:
-            break
+    try:
+        for it in range(max_iter):
+            look = beta + it / (it + 3) * (beta - before)
+            right, peak = gradient(rows, inner, look)
+            damp = max(1.0, peak) if fam.log_link else 1.0
+            new = look + step / damp * (right / design.total - l2 * free * look)
+            cut = step * l1 / damp * free
+            new = np.sign(new) * np.maximum(np.abs(new) - cut, 0.0)
+            before, beta = beta, new
+            if not np.isfinite(new).all() or np.abs(new - look).max() < tol:
+                break
+    finally:
+        rows.unpersist()
     beta[np.concatenate([[False], design.constant])] = 0.0
     return beta
 

@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.families import ARRAYS, Family
+
 NARROW = 10
 
 
@@ -54,6 +57,39 @@ def cross(df: DataFrame, xs: list[Column], weights: list[Column], scores: list[C
     return grams, rights, list(row[at + len(scores) * d :])
 
 
+def blocks(df: DataFrame, columns: list[Column]) -> RDD:
+    """The columns as doubles, one block of bytes for each Arrow batch: steps by the hundred read them without planning."""
+    width = len(columns)
+
+    def packed(batches):
+        for batch in batches:
+            raw = np.asarray(batch.column(0).flatten(), float).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([raw], pa.binary()), pa.array([width], pa.int32())], ["raw", "width"])
+
+    return df.select(F.array(*columns).alias("x")).mapInArrow(packed, "raw binary, width int").rdd.map(tuple)
+
+
+def gradient(rows: RDD, fam: Family, beta: np.ndarray) -> tuple[np.ndarray, float]:
+    """X's of the weighted score and the largest observed weight, over blocks of (y, offset, weight, x..)."""
+
+    def partial(found):
+        total, peak = np.zeros(len(beta)), -np.inf
+        for raw, width in found:
+            block = np.frombuffer(raw).reshape(-1, width)
+            if not len(block):
+                continue
+            y, offset, a = block.T[:3]
+            x = np.hstack([np.ones((len(y), 1)), block[:, 3:]])
+            mu = fam.mean(offset + x @ beta, ARRAYS)
+            total += x.T @ (a * fam.score(y, mu, ARRAYS))
+            if fam.log_link:
+                peak = np.maximum(peak, fam.observed(y, mu, ARRAYS).max())
+        yield total, peak
+
+    right, peak = rows.mapPartitions(partial).treeReduce(lambda p, q: (p[0] + q[0], np.maximum(p[1], q[1])))
+    return right, float(peak)
+
+
 def inverse(a: np.ndarray, limit: float = 1e-12) -> np.ndarray | None:
     """Inverse through the unit-diagonal form, or None where a pivot of it falls below ``limit``."""
     scale = np.sqrt(np.diag(a))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tessera.functions import distributions
-from tessera.operators import api, selection
+from tessera.operators import api, fitting, selection
 from tessera.operators.families import family
 from tessera.plans import registry
 from tessera.streaming import score_stream
@@ -67,6 +67,19 @@ def test_poisson_matches_newton(spark):
     assert [table[c] for c in ("(Intercept)", "x1", "x2")] == pytest.approx(errors.tolist(), rel=1e-5)
 
 
+@pytest.mark.parametrize("kind", ("logit", "poisson"))
+def test_descent_leaves_the_rows_where_they_are(spark, monkeypatch, kind):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    y = {"logit": "cast(pmod(hash(id), 10) < 3 + id % 4 as double)", "poisson": "cast(pmod(hash(id), 3) + id % 4 as double)"}[kind]
+    df = spark.range(30000).repartition(3).selectExpr("cast(id % 4 as double) as x1", "cast(pmod(hash(id, 7), 11) as double) as x2", "0.5 * (id % 3) as o", f"{y} as y")
+    fit = {"logit": api.logit_fit, "poisson": api.poisson_fit}[kind]
+    exact = _coefficients(fit(df, "y", solver="irls", offset_col="o"))
+    monkeypatch.setattr(fitting, "LOCAL_CELLS", 1000, raising=False)
+    monkeypatch.setattr(DataFrame, "toPandas", None)
+    assert _coefficients(fit(df, "y", solver="gd", offset_col="o")) == pytest.approx(exact, abs=1e-6)
+
+
 def test_multinomial_probabilities(spark):
     df = spark.range(150).selectExpr("cast(id as double) as x1", "cast(id % 3 as int) as y")
     model = api.multinom_fit(df, "y")
