@@ -1,11 +1,18 @@
-"""Removal of repeated multi-line chunks whose bounds follow the content.
+"""Removal of repeated multi-line passages, by two rules.
 
-A line is hashed; a rolling hash over it and the line before closes a chunk where it falls in one of ``spacing`` classes,
-so the same passage is cut alike wherever it stands. Chunks of at least two lines that are not blank are grouped over the
-whole corpus by digest and by text: the grouping compares bytes, and a digest that stands for two texts removes nothing.
-Of a repeated chunk the copy in the document with the smallest ``doc_id`` stays (its first one there); the others go.
+``report`` (the query, whose SQL fixes its rule) cuts chunks whose bounds follow the content: a line is hashed; a rolling
+hash over it and the line before closes a chunk where it falls in one of ``spacing`` classes. Chunks of at least two lines
+that are not blank are grouped over the whole corpus by digest and by text: the grouping compares bytes, and a digest that
+stands for two texts removes nothing. Of a repeated chunk the copy in the document with the smallest ``doc_id`` stays (its
+first one there); the others go. A bound hangs on the line before it, so a chunk at the edge of a passage merges with
+foreign lines, and repeats of fewer lines than a chunk are missed.
 
-Null texts stay null and have no lines. Rows with a null ``doc_id`` lose only chunks repeated within themselves. Rows
+``dedup`` (the pipeline's stage) has no bounds to miss: each two successive lines that are not blank, with the blank ones
+between them, are a piece, and so is a line of ``WORDS`` words or more. A piece that stands in a document with a smaller
+``doc_id``, or before in the same text, loses its lines, so of every repeated run of two lines the later copies go whole;
+each line's first copy stays. Pieces with equal SHA-256 are taken as equal.
+
+Null texts stay null and have no lines. Rows with a null ``doc_id`` lose only what repeats within themselves. Rows
 that share a ``doc_id`` are one document and keep alike. Other columns are kept by ``dedup``; an empty table gives an
 empty result.
 """
@@ -18,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import read
 
 SPACING = 3
+#: A single line of so many words is a passage.
+WORDS = 50
 
 #: Each array is bound to a name by a one-element transform, so that it is computed once a row.
 _CHUNKS = r"""
@@ -50,13 +59,39 @@ def removed(docs: DataFrame, spacing: int = SPACING) -> DataFrame:
     return lost.groupBy("doc_id").agg(F.collect_list("digest").alias("gone"))
 
 
-def dedup(docs: DataFrame, spacing: int = SPACING) -> DataFrame:
-    """The documents without the removed chunks; ``n_chars`` follows the text where the column exists."""
-    marks = removed(docs, spacing).select(F.col("doc_id").alias("_id"), F.col("gone").alias("_gone"))
+#: Of each text: its lines, and its pieces as (first line, last line, digest).
+_PIECES = rf"""
+transform(array(split(text, '\n')), lines ->
+  transform(array(filter(sequence(1, size(lines)), i -> trim(lines[i - 1]) <> '')), full -> struct(lines as lines, concat(
+    transform(filter(sequence(1, size(full)), k -> k < size(full)), k -> struct(full[k - 1] as i, full[k] as j,
+      unhex(sha2(array_join(slice(lines, full[k - 1], full[k] - full[k - 1] + 1), '\n'), 256)) as digest)),
+    transform(filter(full, i -> length(lines[i - 1]) >= {2 * WORDS - 1} and size(filter(split(lines[i - 1], '[ \t\r]+'), word -> word <> '')) >= {WORDS}), i -> struct(i as i, i as j,
+      unhex(sha2(lines[i - 1], 256)) as digest))
+  ) as pieces))[0]
+)[0]"""
+#: Lines outside the pieces that are lost to another document or stood before in the same text.
+_LEFT = f"""
+transform(array({_PIECES}), own -> transform(array(transform(own.pieces, p -> p.digest)), digests ->
+  transform(array_except(sequence(1, size(own.lines)), flatten(transform(
+    filter(own.pieces, (p, k) -> array_contains(gone, p.digest) or array_position(digests, p.digest) <= k), p -> sequence(p.i, p.j)))), i -> own.lines[i - 1])
+)[0])[0]"""
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, gone): digests of the pieces each document loses to a document with a smaller id."""
+    rows = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    found = rows.select("doc_id", F.explode(F.expr(f"array_distinct(transform({_PIECES}.pieces, p -> p.digest))")).alias("digest"))
+    keepers = found.groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper <> last").drop("last")
+    lost = found.join(keepers, "digest").where("doc_id <> keeper")
+    return lost.groupBy("doc_id").agg(F.collect_set("digest").alias("gone"))
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """The documents without later copies of repeated runs; ``n_chars`` follows the text where the column exists."""
+    marks = repeats(docs).select(F.col("doc_id").alias("_id"), F.col("gone").alias("_gone"))
     joined = docs.join(marks, docs["doc_id"] == F.col("_id"), "left")
-    kept = _KEPT.format(marked=_marked(spacing)).replace("gone", "coalesce(_gone, array())")
-    text = F.when(F.col("text").isNotNull(), F.array_join(F.expr(f"transform({kept}, c -> c.body)"), "\n"))
-    out = joined.withColumn("text", text)
+    left = _LEFT.replace("gone", "coalesce(_gone, array())")
+    out = joined.withColumn("text", F.when(F.col("text").isNotNull(), F.array_join(F.expr(left), "\n")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*docs.columns)

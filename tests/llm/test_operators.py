@@ -44,6 +44,30 @@ def test_line_dedup_removes_the_later_copy(spark):
     assert len(kept[2].split("\n")) < 15 and "tail of two" in kept[2]
 
 
+def left_lines(own):
+    """Lines left of (doc_id, text) rows with ids of their own, in the order of ids."""
+    seen, out = set(), {}
+    for doc, text in sorted(own):
+        lines = text.split("\n")
+        full = [i for i, x in enumerate(lines) if x.strip(" ")]
+        pieces = [*zip(full, full[1:]), *((i, i) for i in full if len(lines[i].split()) >= line_dedup.WORDS)]
+        gone = set()
+        for i, j in pieces:
+            body = "\n".join(lines[i : j + 1])
+            gone |= set(range(i, j + 1)) if body in seen else set()
+            seen.add(body)
+        out[doc] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return out
+
+
+def test_line_dedup_removes_whole_runs(spark):
+    rng = random.Random(1)
+    pool = [[f"line {k} of passage {n}" if rng.random() < 0.8 else "" for k in range(rng.randint(2, 5))] for n in range(12)] + [[" ".join(f"w{n}x{i}" for i in range(50))] for n in range(4)]
+    own = [(d, "\n".join(x for k in range(6) for x in ([f"own {d} {k}"] if rng.random() < 0.5 else rng.choice(pool)))) for d in range(60)]
+    found = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame(own, DOCS)).collect()}
+    assert found == left_lines(own)
+
+
 def test_html_keeps_the_article():
     page = """<html><head><title>T</title><style>p {}</style></head><body><nav><a href=x>Home</a></nav>
     <div class="cookie-notice">We use cookies, many of them, all day long.</div>
