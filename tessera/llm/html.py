@@ -1,13 +1,19 @@
 """Main text of web pages by composite text density.
 
-The page becomes a tree of block elements. Elements that hold no article by their kind (navigation, forms, scripts) or by
-the words of their class or id (adverts, notices, reader comments) are left out while it is built. Every node then gets
-its link-adjusted density: characters outside links for each tag, links counting as tags once more. A node's density sum
-adds up its children. The node with the largest sum is the body of the article; the smallest density on the path from the
-page's body to it is the threshold, and every part of the page that reaches it gives its own largest-sum subtree.
-
-Null and empty pages, and pages without text, give an empty string. Repeated rows each get a row; extra columns are
-ignored.
+The page becomes a tree with a node for every element; an end tag also closes what is still open inside its element, and
+start tags close paragraphs and list items as browsers do. Every node gets its link-adjusted density: characters outside
+links for each tag, links counting as tags once more. A node's density sum adds up its children. The block with the
+largest sum is the body of the article; the smallest density on the path from the page's body to it is the threshold, and
+every part of the page that reaches it gives its own largest-sum subtree.
+
+Text without links is dense in notices and reader comments too, so an element's kind (navigation, forms) and the words of
+its class, id or role (adverts, notices, comments) are evidence against it. The page's text decides how far it goes: an
+element with such evidence is left out before densities are summed unless it has a heading or an article inside and
+``BULK`` times the text of all elements without any, as a wrapper of the whole page has.
+
+Null and empty pages, and pages without text, give an empty string. Very long pages are read whole. Of equal sums the
+first node in page order counts. Repeated rows each get a row; extra columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -21,143 +27,185 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import own, read, slices
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[a-zA-Z/][^>]*>?|[^<]+|<", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-#: Elements whose content is not markup.
-RAW = frozenset("script style noscript template iframe svg math object textarea title".split())
-#: Elements that hold no article text.
-OUT = RAW | frozenset("head nav header footer aside form button select menu dialog canvas audio video map".split())
-#: Words of a class, id or role that mark an element as no part of the article.
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
+#: Elements whose content is text up to their end tag, and no article.
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+#: Elements that never hold article text.
+OUT = RAW | frozenset("head template noscript svg math object button select canvas audio video map datalist".split())
+#: Elements that seldom hold article text.
+ASIDE = frozenset("nav header footer aside form menu dialog".split())
+#: Words of a class, id or role that speak against an element.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu menubar breadcrumb breadcrumbs header footer masthead "
     "sidebar aside related recommended comment comments discussion respond disqus reply replies cookie cookies consent notice notices alert popup modal overlay newsletter subscribe signup login share sharing social "
     "widget toolbar pagination pager complementary contentinfo search form".split()
 )
+#: First words of names that tell what an element is combined with, and last words of names of articles.
+STATES, ARTICLES = frozenset("no has with without is not hide show".split()), frozenset("article story main".split())
+HEADINGS = frozenset("article main h1 h2".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: A start tag that ends an open element of the same group.
-CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements that a start tag closes if it comes inside them, or inside inline elements in them.
+CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
+#: Least characters, and multiple of the text without evidence, that outweigh evidence.
+LEAST, BULK = 250, 4
 
 
 class Node:
-    """A block element: its children and its own runs of text, in order."""
+    """An element: its children and its own runs of text, in order."""
 
-    __slots__ = ("chars", "density", "items", "kind", "links", "parent", "tags", "total")
+    __slots__ = ("against", "chars", "density", "items", "kind", "links", "out", "own", "parent", "tags", "total")
 
-    def __init__(self, kind: str, parent: Node | None):
-        self.kind, self.parent, self.items = kind, parent, []
-        self.chars = self.links = self.tags = 0
+    def __init__(self, kind: str, parent: Node | None, against: bool = False, out: bool = False):
+        self.kind, self.parent, self.items, self.against, self.out = kind, parent, [], against, out
+        self.chars = self.links = self.tags = self.own = 0
         self.density = self.total = 0.0
 
 
-def _left_out(kind: str, attributes: str) -> bool:
-    if kind in OUT:
+def _against(kind: str, attributes: str) -> bool:
+    if kind in ASIDE:
         return True
     if "=" not in attributes or kind in ("body", "html", "article", "main"):
         return False
-    return any(w in MARKS for m in _NAMES.finditer(attributes) for w in re.split(r"[^a-z]+", m[1].lower()))
+    for m in _ATTRIBUTE.finditer(attributes):
+        if m[1].lower() in ("class", "id", "role"):
+            for name in m[2].strip("\"'").split():
+                words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+                if words and words[0] not in STATES and words[-1] not in ARTICLES and not MARKS.isdisjoint(words):
+                    return True
+    return False
 
 
 def parse(page: str) -> tuple[Node, list[Node]]:
-    """The tree and its nodes in page order. Text runs are (text, inside a link)."""
+    """The tree and its nodes in page order. Text runs are (text, inside a link); None is a line break."""
     at = root = Node("body", None)
-    nodes, skip, depth, link = [root], "", 0, 0
+    nodes, raw = [root], ""
     for m in _TOKEN.finditer(page):
         kind = m[2].lower() if m[2] else ""
-        if skip:  # inside an element that is left out
-            if kind == skip and (m[1] or skip not in RAW):
-                depth += -1 if m[1] else not m[3].endswith("/")
-                skip = skip if depth else ""
-            continue
-        if not kind:
+        if raw:
+            raw = "" if kind == raw and m[1] else raw
+        elif not kind:
             if m[0][0] != "<" or m[0] == "<":
-                at.items.append((m[0], link > 0))
-            continue
-        if m[1]:
-            if kind == "a":
-                link = max(0, link - 1)
-            elif kind not in INLINE and kind not in VOID:
-                up = at
-                while up is not None and up.kind != kind:
-                    up = up.parent
-                if up is not None and up.parent is not None:
-                    at = up.parent
-            continue
-        if kind in VOID:
-            if kind == "br" or kind == "hr":
+                at.items.append(m[0])
+        elif m[1]:
+            up = at
+            while up is not None and up.kind != kind:
+                up = up.parent if kind not in INLINE or up.kind in INLINE else None  # an inline end tag closes no block
+            if up is not None and up.parent is not None:
+                at = up.parent
+        elif kind in VOID:
+            if kind in ("br", "hr"):
                 at.items.append(None)
             at.tags += 1
-        elif _left_out(kind, m[3]):
-            if not m[3].endswith("/"):
-                skip, depth = kind, 1
-        elif kind in INLINE:
-            link += kind == "a"
-            at.tags += 1
+        elif kind in RAW:
+            raw = "" if m[3].endswith("/") else kind
         elif kind not in ("html", "body"):
-            if kind in CLOSES or kind in ("div", "ul", "ol", "table", "section", "article", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6"):
-                while at.kind in CLOSES.get(kind, {"p"}) and at.parent is not None:
-                    at = at.parent
-            child = Node(kind, at)
+            if kind not in INLINE:
+                ends, up = CLOSES.get(kind, {"p"}), at
+                while up.kind in INLINE or up.kind in ends:
+                    if up.kind in ends:
+                        at = up.parent
+                    up = up.parent
+            child = Node(kind, at, _against(kind, m[3]), kind in OUT)
             at.items.append(child)
             nodes.append(child)
-            at, link = child, 0
+            at = at if m[3].endswith("/") and kind not in INLINE else child
     return root, nodes
 
 
+def judge(nodes: list[Node]) -> None:
+    """Marks the nodes that are left out."""
+    evidence: dict[int, Node | None] = {}  # the nearest element with evidence
+    heads: set[int] = set()
+    free = 0
+    for node in nodes:
+        up = evidence[id(node.parent)] if node.parent else None
+        evidence[id(node)] = up = node if node.against else up
+        n = 0 if node.out or (node.parent and node.parent.out) or _in_link(node) else sum(len(x.strip()) for x in node.items if isinstance(x, str))
+        node.out = node.out or bool(node.parent and node.parent.out)
+        if up is None:
+            free += n
+        else:
+            up.own += n
+            if node.kind in HEADINGS and node is not up:
+                heads.add(id(up))
+    for node in nodes:
+        lost = node.against and not (id(node) in heads and node.own >= max(LEAST, BULK * free))
+        node.out = node.out or lost or bool(node.parent and node.parent.out)
+
+
+def _in_link(node: Node | None) -> bool:
+    while node is not None and node.kind in INLINE:
+        if node.kind == "a":
+            return True
+        node = node.parent
+    return False
+
+
 def weigh(nodes: list[Node]) -> None:
-    """Counts and densities from the leaves up."""
+    """Counts and densities from the leaves up, without the nodes that are left out."""
     for node in reversed(nodes):
+        if node.out:
+            continue
+        link = node.kind == "a"
         for item in node.items:
-            if isinstance(item, tuple):
-                n = len(item[0].strip())
-                node.chars += n
-                node.links += n * item[1]
-            elif item is not None:
+            if isinstance(item, str):
+                node.chars += len(item.strip())
+            elif item is not None and not item.out:
                 node.chars += item.chars
                 node.links += item.links
                 node.tags += item.tags + 1
                 node.total += item.density
+        node.links = node.chars if link else node.links
         outside = node.chars - node.links
         node.density = outside / max(1, node.tags) * (outside / node.chars) if node.chars else 0.0
 
 
+def _children(node: Node) -> list[Node]:
+    return [x for x in node.items if isinstance(x, Node) and not x.out and x.kind not in INLINE]
+
+
 def _largest(top: Node) -> Node:
     best, todo = top, [top]
     while todo:
         node = todo.pop()
         if (node.total or node.density if node is top else node.total) > (best.total or best.density if best is top else best.total):
             best = node
-        todo += [x for x in node.items if isinstance(x, Node)]
-    return best
+        todo += _children(node)
+    return _block(best, top)
+
+
+def _block(node: Node, top: Node) -> Node:
+    """A paragraph, however much its inline elements add up to, is a part of what it stands in."""
+    while node is not top and node.parent is not None and not _children(node):
+        node = node.parent
+    return node
 
 
 def content(root: Node, nodes: list[Node]) -> set[int]:
     """Identities of the nodes whose subtrees are the article."""
+    judge(nodes)
     weigh(nodes)
-    best = max(nodes, key=lambda n: n.total)  # the first in page order of equals
+    best = _block(max((n for n in nodes if not n.out and n.kind not in INLINE), key=lambda n: n.total), root)  # the first of equals
     if not best.total:
         return {id(root)}
-    threshold, up = best.density, best
+    path, up = [best], best.parent
     while up is not None:
-        threshold, up = min(threshold, up.density), up.parent
+        path.append(up)
+        up = up.parent
+    threshold, above = min(n.density for n in path), {id(n) for n in path[1:]}
     chosen, todo = {id(best)}, [root]
     while todo:
         node = todo.pop()
-        if node.chars and node.density >= threshold and node is not root and not any(True for _ in _above(node, best)):
+        if node.chars and node.density >= threshold and node is not root and id(node) not in above:
             chosen.add(id(_largest(node)))
-        todo += [x for x in node.items if isinstance(x, Node) and id(node) not in chosen]
+        if id(node) not in chosen:
+            todo += _children(node)
     return chosen
 
 
-def _above(node: Node, best: Node):
-    up = best.parent
-    while up is not None:
-        if up is node:
-            yield up
-        up = up.parent
-
-
 def blocks(root: Node, chosen: set[int]) -> list[str]:
-    """Texts of the chosen subtrees in page order; a line break ends a block as an element does."""
+    """Texts of the chosen subtrees in page order; a line break ends a block as a block element does."""
     out, run = [], []
 
     def flush():
@@ -170,15 +218,18 @@ def blocks(root: Node, chosen: set[int]) -> list[str]:
         node, inside, items = todo[-1]
         for item in items:
             if isinstance(item, Node):
-                flush()
-                todo.append((item, inside or id(item) in chosen, iter(item.items)))
-                break
-            if item is None:
+                if item.kind not in INLINE:
+                    flush()
+                if not item.out:
+                    todo.append((item, inside or id(item) in chosen, iter(item.items)))
+                    break
+            elif item is None:
                 flush()
             elif inside:
-                run.append(item[0])
+                run.append(item)
         else:
-            flush()
+            if node.kind not in INLINE:
+                flush()
             todo.pop()
     return out
 

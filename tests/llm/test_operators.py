@@ -79,6 +79,64 @@ def test_html_keeps_the_article():
     assert html.main_text("plain words") == "plain words"
 
 
+_ARTICLE = """<h1>Head line of it</h1><p>First paragraph of the article, which is long enough to count as the text of a page, and then some more words.</p>
+<p>Second paragraph of the article, which is long enough to count as the text of a page, and then some more words.</p><p>Third <b>paragraph</b> with <a href=x>a link</a> inside.</p>"""
+_NAV, _FOOT = "<nav><ul><li><a href=a>Home</a><li><a href=b>News</a></ul></nav>", '<div class="comments"><p>A reader comment that says nothing at all of note, at some length.</p></div><footer>Imprint and more</footer>'
+PAGES = {
+    "state in a class": '{n}<div class="page has-sidebar">{a}</div>{f}', "form as an id": '{n}<div id="form">{a}</div>{f}', "article at the end of a class": '{n}<div class="search-results-article">{a}</div>{f}',
+    "no comments": '{n}<div class="single no-comments">{a}</div>{f}', "open form": "{n}<form action=x><input name=q><div>{a}</div>{f}", "open aside": "{n}<aside>Related<article>{a}</article>{f}",
+    "open list item": "{n}<ul><li class=share><a href=x>Share</a></ul><div>{a}</div>{f}", "open notice": '{n}<p class="notice">We use cookies<div>{a}</div>{f}', "other attribute": '{n}<div title="my class=ad thing">{a}</div>{f}',
+    "notice before paragraphs": "{n}<div><p class=notice>We use cookies{a}</div>{f}", "wrapper": '<div id="header-fixed">{n}<div>{a}</div>{f}</div>', "aside within": "{n}<div class=content>{a}<aside class=related>Read this as well.</aside></div>{f}",
+    "form around all": "<form id=all>{n}<div>{a}</div>{f}</form>", "site header": "<header><h1>Site</h1><p>Tag line of the site</p></header><article>{a}</article>{f}", "inline wrapper": "{n}<div><span class=intro>{a}</span></div>{f}",
+}
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_html_evidence_gives_way_to_the_article(name):
+    want = "\n".join(re.sub("<[^>]*>", "", x) for x in re.findall("<(?:h1|p)>(.*?)</(?:h1|p)>", _ARTICLE))
+    assert html.main_text("<html><head><title>t</title></head><body>" + PAGES[name].format(n=_NAV, a=_ARTICLE, f=_FOOT) + "</body></html>") == want
+
+
+def test_html_without_an_article_is_empty():
+    assert html.main_text(f"<body>{_NAV}{_FOOT}</body>") == ""
+
+
+def article_blocks(page):
+    """The blocks of the tables' article element, read with the library's parser."""
+    from html.parser import HTMLParser
+
+    class Blocks(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.found = 0, [[]]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            if tag in ("p", "h1", "br", "article"):
+                self.found.append([])
+
+        def handle_endtag(self, tag):
+            self.inside -= tag == "article"
+            if tag in ("p", "h1", "article"):
+                self.found.append([])
+
+        def handle_data(self, data):
+            if self.inside:
+                self.found[-1].append(data)
+
+    parser = Blocks()
+    parser.feed(page)
+    parser.close()
+    return "\n".join(x for x in (" ".join("".join(run).split()) for run in parser.found) if x)
+
+
+def test_html_matches_the_articles_of_the_tables(spark):
+    pages = {r["page_id"]: r["html"] for r in pq.read_table(f"{LARGE}/pages.parquet").to_pylist()}
+    found = rows(html.query(spark, LARGE), "page_id")
+    assert {k: found[k]["text"] for k in pages} == {k: article_blocks(x or "") for k, x in pages.items()}
+    assert all(r["n_chars"] == len(r["text"]) for r in found.values())
+
+
 def test_packing_is_gapless_and_tight(spark):
     found = packing.query(spark, SMALL).collect()
     tokenizer, own = Tokenizer.from_file(BYTE), texts()
