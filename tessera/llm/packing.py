@@ -4,8 +4,9 @@ Only the counts of the at most ``capacity`` lengths reach the driver. Best-fit d
 for a whole run of equal sequences at a time, and gives intervals of ranks: "pieces of this length with ranks a to b go
 to sequences s, s+1, ... at this offset". Pieces then find their slot by a join on their rank within their length.
 
-Null and empty texts are packed as their end id alone; repeated rows are packed as often as they occur; extra columns
-are ignored; an empty table gives an empty result.
+Null and empty texts are packed as their end id alone; very long texts are cut into pieces of ``capacity`` ids; repeated
+rows are packed as often as they occur; pieces of equal length are ranked by hash, then by their columns, and which of
+two equal ones takes a slot is open; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, own, read, slices
-from .tokens import KEEPS_BLANKS, encoder
+from .tokens import encoder
 
 #: Rows that share one ranking task at most, about.
 RANKED_TOGETHER = 20_000
@@ -30,9 +31,9 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> Data
     """One row per piece: texts longer than ``capacity`` ids are cut from the end, so the first piece may be shorter."""
 
     def cut(batches):
-        coder = encoder(vocabulary, KEEPS_BLANKS)
+        coder = encoder(vocabulary)
         for batch in slices(batches, 1):
-            bounds, ids = coder.encode(batch.column(1).to_pylist(), end_id)
+            bounds, ids = coder.encode(batch.column(1), end_id)
             raw, rows = memoryview(ids.astype("<u4").tobytes()), []
             for row, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
                 stops = [*range(a + ((b - a) % capacity or capacity), b, capacity), b]
@@ -100,7 +101,7 @@ def pack(cut: DataFrame, capacity: int) -> DataFrame:
     widths = spark.createDataFrame(list(width.items()), "length long, width long")
 
     buckets = max(1, sum(histogram.values()) // RANKED_TOGETHER)
-    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
     before = (
         dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
         .withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n"))

@@ -4,8 +4,9 @@ A file holds a range of ``doc_id``; each row has the document's ids, its place w
 the file. ``doc_id`` is sorted, so row-group and page indexes let a reader fetch the ids of a few documents, and metadata
 columns are read without the ids.
 
-Null and empty texts hold their end id alone; null ``doc_id`` come first; rows with the same ``doc_id`` are all kept, in
-the order of their texts; extra columns are ignored; an empty table gives an empty result.
+Null and empty texts hold their end id alone; very long texts are encoded whole, one to a slice; null ``doc_id`` come
+first; rows with the same ``doc_id`` are all kept, in the order of their texts' hashes, and may lie in several files;
+extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import own, parallelism, read, shared_dir, slices
-from .tokens import DROPS_BLANKS, encoder
+from .tokens import encoder
 
 FILE = "doc_id long, ids array<int>, n_tokens int, part int, place long, before long"
 #: How ids are laid out: a dictionary for each row group, or deltas in packed blocks.
@@ -29,13 +30,14 @@ LAYOUTS = {
 }
 
 
-def write_ids(docs: DataFrame, path: str, vocabulary: str, kind: str = DROPS_BLANKS, end_id: int = 1, layout: str = "dictionary", row_group_mb: int = 16, page_rows: int = 2000) -> None:
-    """Encode every text and write the files. Texts are sorted before they are encoded, so they are encoded once."""
+def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, layout: str = "dictionary", row_group_mb: int = 16, page_rows: int = 2000, file_mb: int = 256) -> None:
+    """Encode every text and write the files. Texts are sorted before they are encoded, so they are encoded once. Files
+    hold about ``file_mb`` MB of text each; small inputs are dealt to as many files as the session has shuffle partitions."""
 
     def encode(batches):
-        coder, part, place, before = encoder(vocabulary, kind), TaskContext.get().partitionId(), 0, 0
+        coder, part, place, before = encoder(vocabulary), TaskContext.get().partitionId(), 0, 0
         for batch in slices(batches, 1):
-            bounds, ids = coder.encode(batch.column(1).to_pylist(), end_id)
+            bounds, ids = coder.encode(batch.column(1), end_id)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [
@@ -46,7 +48,10 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, kind: str = DROPS_BLA
             )
             place, before = place + n, before + int(bounds[-1])
 
-    ordered = own(docs, "doc_id", "text").repartitionByRange(parallelism(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    docs = own(docs, "doc_id", "text").withColumn("h", F.xxhash64("text"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    files = max(parallelism(docs.sparkSession), -(-size // (file_mb << 20)))
+    ordered = docs.repartitionByRange(files, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     options = LAYOUTS[layout] | {"parquet.block.size": row_group_mb << 20, "parquet.page.row.count.limit": page_rows, "compression": "zstd"}
     ordered.mapInArrow(encode, FILE).write.options(**options).parquet(path)
 

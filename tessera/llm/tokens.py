@@ -1,104 +1,134 @@
-"""Whole-text encoding with the tokenizers library, one Arrow batch at a time.
+"""Whole-text encoding with the tokenizers library, one slice of an Arrow batch at a time.
 
-Both vocabularies split a text into pre-tokens before merging, and no pre-token reaches across the cuts made here, so a
-text's ids are the ids of its pieces in order. Each distinct piece is encoded once per worker.
+Texts are cut at the vocabulary's added tokens, which the library takes out before anything else, and before the last
+blank of a run of blanks; no pre-token reaches across such a cut, so a text's ids are the ids of its pieces in order. A
+cut left out does no harm, so only ASCII blanks are cut at, and none beside what may be another kind of blank. Within a
+slice each distinct piece is encoded once. The pieces met most often are remembered by the worker for its next slices and
+tasks, in ``memory`` bytes at most.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from itertools import repeat
+from functools import cache
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
-#: White space as the vocabularies' patterns see it (fixed by the Unicode property).
-_WS = r"\t-\r \x85\xa0  -     　"
-_RUN = re.compile(f"[{_WS}]{{2}}")
-_CUT = re.compile(f"(?=[{_WS}][^{_WS}])")
-_CONTROL = re.compile("[\x1c-\x1f]")
-#: Added token that both vocabularies cut out before anything else: it separates pieces that are encoded together.
-_MARK = "<|endoftext|>"
-#: What a vocabulary does with blanks between words.
-KEEPS_BLANKS, DROPS_BLANKS = "keeps_blanks", "drops_blanks"
-_WORKERS: dict = {}
+#: First bytes of the blanks outside ASCII (fixed by the Unicode property White_Space in UTF-8).
+_WIDE_BLANKS = (0xC2, 0xE1, 0xE2, 0xE3)
+_BLANK, _PLAIN = np.zeros(256, bool), np.ones(256, bool)
+_BLANK[[*range(9, 14), 32]] = True
+_PLAIN[[*range(9, 14), 32, *_WIDE_BLANKS]] = False
+_TOGETHER = 64
+#: Bytes a remembered piece takes besides its characters and ids, about.
+_ENTRY = 150
+
+
+@cache
+def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
 
 
 class PieceEncoder:
-    """Encodes texts to flat ids. ``memory`` bounds the number of pieces remembered between batches."""
-
-    def __init__(self, path: str, kind: str, memory: int = 1_200_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.kind, self.memory = Tokenizer.from_file(path), kind, memory
-        self.mark = self.tokenizer.token_to_id(_MARK)
-        self._forget()
-
-    def _forget(self):
-        self.known: dict[str, int] = {}
-        self.ids = np.zeros(1 << 20, np.uint32)
-        self.bounds = np.zeros(1 << 18, np.int64)
-
-    def whole(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: list[str]) -> None:
-        plain = [p for p in pieces if "<|" not in p]
-        coded = self.whole([_MARK.join(plain[i : i + 64]) for i in range(0, len(plain), 64)])
-        flat = np.fromiter((i for ids in coded for i in (*ids, self.mark)), np.int64)
-        ends = np.flatnonzero(flat == self.mark) - np.arange(len(plain))
-        odd = self.whole([p for p in pieces if "<|" in p])
-        flat = np.concatenate([flat[flat != self.mark], np.array([i for ids in odd for i in ids], np.int64)])
-        ends = np.concatenate([ends, (ends[-1] if len(ends) else 0) + np.cumsum([len(x) for x in odd], dtype=np.int64)])
-        n, at = len(self.known), self.bounds[len(self.known)]
-        while n + len(ends) + 1 > len(self.bounds):
-            self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
-        while at + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.bounds[n + 1 : n + 1 + len(ends)] = at + ends
-        self.ids[at : at + len(flat)] = flat
-        self.known.update(zip(plain + [p for p in pieces if "<|" in p], range(n, n + len(ends)), strict=True))
-
-    def pieces(self, text: str) -> list[str]:
-        """Pieces whose ids, one after the other, are those of the text."""
-        if self.kind == DROPS_BLANKS:
-            return text.split() if not _CONTROL.search(text) else re.split("[\t-\r ]+", text)
-        if not text:
-            return []
-        if _RUN.search(text) or text[0] == " ":
-            return _CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + p for p in rest]]
-
-    def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Encodes texts to flat ids."""
+
+    def __init__(self, path: str, memory: int = 96 << 20):
+        self.tokenizer, self.memory = _tokenizer(path), memory
+        self.added = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.at_added = re.compile(b"|".join(map(re.escape, self.added)))
+        # stands between pieces that are encoded together; no piece holds it, and none can complete it
+        self.between, self.mark = next((t.decode(), i) for t, i in self.added.items() if b"<" not in t[1:])
+        self.known: dict[bytes, int] = {}
+        self.bounds, self.ids, self.hits = np.zeros(1, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def cuts(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Where pieces start in texts laid end to end, and the end of the last."""
+        found = np.zeros(len(data) + 1, bool)
+        if len(data):
+            found[: len(data) - 1] = _BLANK[data[:-1]] & _PLAIN[data[1:]]
+        found[np.maximum(bounds, 1) - 1] = False  # the last byte of a text has no next
+        raw = data.tobytes()
+        spans = [m.span() for m in self.at_added.finditer(raw)] if b"<|" in raw else []
+        spans = [(i, j) for i, j in spans if j <= bounds[np.searchsorted(bounds, i, "right")]]  # not across two texts
+        for i, _ in spans:
+            found[i - 1] = False  # the blanks before an added token end a stretch of their own
+        for i, j in spans:
+            found[[i, j]] = True
+        found[bounds] = True
+        return np.flatnonzero(found)
+
+    def _learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds (one more than pieces) and flat ids."""
+        plain = [p.decode() for p in pieces if p not in self.added]
+        joined = [self.between.join([*plain[i : i + _TOGETHER], ""]) for i in range(0, len(plain), _TOGETHER)]
+        coded = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+        flat = np.fromiter(chain.from_iterable(x.ids for x in coded), np.int64)
+        stops = np.flatnonzero(flat == self.mark)
+        lengths = np.ones(len(pieces), np.int64)
+        whole = np.array([p not in self.added for p in pieces], bool)
+        lengths[whole] = np.diff(stops, prepend=-1) - 1
+        bounds = np.concatenate([[0], np.cumsum(lengths)])
+        out = np.zeros(bounds[-1], np.uint32)
+        own = np.repeat(whole, lengths)
+        out[own] = flat[flat != self.mark]
+        out[~own] = [self.added[pieces[i]] for i in np.flatnonzero(~whole).tolist()]
+        return bounds, out
+
+    def _trim(self) -> None:
+        """Forgets the pieces met least often once the remembered ones take more than ``memory`` bytes."""
+        sizes = np.fromiter(map(len, self.known), np.int64, len(self.known)) + _ENTRY + 4 * np.diff(self.bounds)
+        if sizes.sum() <= self.memory:
+            return
+        order = np.argsort(-self.hits, kind="stable")
+        kept = np.zeros(len(order), bool)
+        kept[order[np.cumsum(sizes[order]) <= self.memory // 2]] = True
+        pieces = [p for p, k in zip(self.known, kept.tolist(), strict=True) if k]
+        lengths = np.diff(self.bounds)
+        self.ids = self.ids[np.repeat(kept, lengths)]
+        self.bounds = np.concatenate([[0], np.cumsum(lengths[kept])])
+        self.hits = self.hits[kept] // 2
+        self.known = dict(zip(pieces, range(len(pieces)), strict=True))
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Bounds (one more than texts) and flat ids, ``end_id`` after every text. Null texts are empty."""
-        if len(self.known) > self.memory:
-            self._forget()
-        words: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            words += (own := self.pieces(text or ""))
-            counts[i] = len(own)
-        slots = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        if len(gaps := np.flatnonzero(slots < 0)):
-            missing = [words[i] for i in gaps]
-            self._learn(list(dict.fromkeys(missing)))
-            slots[gaps] = np.fromiter(map(self.known.__getitem__, missing), np.int64, len(missing))
-        last = np.cumsum(counts)
-        # one more "piece" per text carries the end id
+        texts = texts.fill_null("").cast(pa.large_string())
+        places = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[places[0] : places[-1]] if places[-1] > places[0] else np.zeros(0, np.uint8)
+        places = places - places[0]
+        starts = self.cuts(data, places)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)]).dictionary_encode()
+        counts = np.diff(np.searchsorted(starts, places))
+
+        distinct = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        slot = np.fromiter((self.known.get(p, -1) for p in distinct), np.int64, len(distinct))
+        new = np.flatnonzero(slot < 0)
+        slot[new] = len(self.known) + np.arange(len(new))
+        fresh = [distinct[i] for i in new.tolist()]
+        bounds, ids = self._learn(fresh)
+        self.known.update(zip(fresh, slot[new].tolist(), strict=True))
+        self.bounds, self.ids = np.concatenate([self.bounds, self.bounds[-1] + bounds[1:]]), np.concatenate([self.ids, ids])
+        codes = pieces.indices.to_numpy(zero_copy_only=False)
+        self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
+        self.hits[slot] += np.bincount(codes, minlength=len(distinct))
+
+        # one more "piece" per text, of one id, carries the end id
+        last, slots = np.cumsum(counts), slot[codes]
         starts, stops = np.insert(self.bounds[slots], last, -1), np.insert(self.bounds[slots + 1], last, 0)
         lengths = stops - starts
         ends = np.cumsum(lengths)
         flat = np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
-        out = self.ids[flat]
-        bounds = np.concatenate([[0], ends[last + np.arange(len(texts))]]).astype(np.int64)
-        out[bounds[1:] - 1] = end_id
-        return bounds, out
+        out = np.append(self.ids, np.uint32(end_id))[flat]
+        self._trim()
+        return np.concatenate([[0], ends[last + np.arange(len(texts))]]).astype(np.int64), out
 
 
-def encoder(path: str, kind: str) -> PieceEncoder:
-    """The worker's encoder for a vocabulary file; kept between tasks, since workers are reused."""
-    if (path, kind) not in _WORKERS:
-        _WORKERS[path, kind] = PieceEncoder(path, kind)
-    return _WORKERS[path, kind]
+@cache
+def encoder(path: str) -> PieceEncoder:
+    """The worker's encoder for a vocabulary file."""
+    return PieceEncoder(path)
