@@ -26,11 +26,14 @@ def let(value: Column, body) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below the checkpoint folder that driver and executors share.
 
-    The session's ``spark.checkpoint.dir`` wins; a temporary folder is set only where none is configured.
+    The session's ``spark.checkpoint.dir`` wins. Where none is configured, a local session gets a temporary folder; on a
+    cluster the executors could not share one, so that is an error.
     """
     context = spark.sparkContext
     base = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -52,6 +55,20 @@ def own(df: DataFrame, *needed: str) -> DataFrame:
     return df.select(*[df[c] for c in needed])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` is none of the distinct ids in the one column of ``ids``; null is an id."""
+    gone = ids.toDF(free_name(docs, "gone"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col(gone.columns[0])), "left_anti")
+
+
 def slices(batches, column: int, budget: int = 6 << 20):
     """Cut Arrow record batches so that a slice holds about ``budget`` bytes of text; a longer text stands alone."""
     import numpy as np

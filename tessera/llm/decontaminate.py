@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import own, read, slices
+from .common import materialise, own, read, slices, without
 
 #: Per byte: lower case for A to Z, a blank for ASCII other than letters and digits, bytes of longer characters as they are.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -108,7 +108,7 @@ def _broadcast(docs: DataFrame, items: list[tuple[int, str]], n: int) -> DataFra
 
 
 def _window_rows(texts: DataFrame, n: int, sizes: list[int] | None) -> DataFrame:
-    """(row, words, place, window): all windows of ``sizes`` words; of an item (no sizes) those of ``n`` or all its words."""
+    """(row, place, window): all windows of ``sizes`` words; of an item (no sizes) those of ``n`` or all its words."""
     low = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     split = texts.withColumn("words", F.filter(F.split(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != ""))
     split = split.withColumn("size", F.explode(F.array(*map(F.lit, sizes))) if sizes else F.least(F.lit(n), F.size("words")))
@@ -117,15 +117,21 @@ def _window_rows(texts: DataFrame, n: int, sizes: list[int] | None) -> DataFrame
 
 
 def _joined(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
-    """The same result for a benchmark of any size: windows meet in a join on their hash, then on their words."""
-    item_windows = _window_rows(benchmark, n, None).select(F.col("item_id").cast("string").alias("item_id"), "window", F.xxhash64("window").alias("key")).distinct()
+    """The same result for a benchmark of any size: windows meet in a join on their hash, and those that do on their words."""
+    item_windows = materialise(_window_rows(benchmark, n, None).select(F.col("item_id").cast("string").alias("item_id"), "window", F.xxhash64("window").alias("key")).distinct())
     sizes = sorted(r[0] for r in item_windows.select(F.size("window")).distinct().collect())  # at most n numbers
-    numbered = docs.withColumn("row", F.monotonically_increasing_id())
+    numbered = materialise(docs.withColumn("row", F.monotonically_increasing_id()))
     counted = _window_rows(numbered, n, [1]).groupBy("row").agg(F.count("*").alias("n_words"))
     found = numbered.limit(0).select("row", F.lit("").alias("item_id"), F.lit(1).alias("place"), F.lit(1).alias("size"))
     if sizes:
-        found = _window_rows(numbered, n, sizes).withColumn("key", F.xxhash64("window")).join(item_windows, ["key", "window"]).select("row", "item_id", "place", "size")
-    hits = found.select("row", F.explode(F.sequence("place", F.col("place") + F.col("size") - 1)).alias("hit")).groupBy("row").agg(F.countDistinct("hit").alias("n_hit"))
+        # hashes and places travel; the few whose hash is an item's are read again with their words
+        keys = item_windows.select("key").distinct()
+        places = _window_rows(numbered, n, sizes).select("row", "size", "place", F.xxhash64("window").alias("key"))
+        near = materialise(places.join(keys, "key", "left_semi").groupBy("row").agg(F.collect_set(F.struct("size", "place")).alias("near")))
+        read_again = numbered.join(near, "row").select("row", "text", F.explode("near").alias("at"))
+        wanted = _window_rows(read_again, n, sizes).where("size = at.size and place = at.place").withColumn("key", F.xxhash64("window"))
+        found = materialise(wanted.join(item_windows, ["key", "window"]).select("row", "item_id", "place", "size"))
+    hits = found.select("row", F.explode(F.sequence("place", F.col("place") + F.col("size") - 1)).alias("hit")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
     items = found.groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     out = numbered.select("row", "doc_id").join(counted, "row", "left").join(hits, "row", "left").join(items, "row", "left")
     n_hit, names = F.coalesce("n_hit", F.lit(0)), F.coalesce("items", F.array().cast("array<string>"))
@@ -135,7 +141,11 @@ def _joined(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
     )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_words: int = 2_000_000) -> DataFrame:
+#: Benchmark words that may travel to every task: a window takes some 400 bytes there, so 80 MB at most.
+BROADCAST_WORDS = 200_000
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """One row per document; see the module's text."""
     items = own(benchmark, "item_id", "text").where("item_id is not null")
     docs = own(docs, "doc_id", "text")
@@ -145,16 +155,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_
     return _joined(docs, items, n)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_words: int = 2_000_000) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """The documents no window occurs in, with all their columns."""
-    found = contamination(docs, benchmark, n, broadcast_words).where("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_hit"]), "left_anti")
+    return without(docs, contamination(docs, benchmark, n, broadcast_words).where("contaminated").select("doc_id").distinct())
 
 
-def without_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """Documents with the hit words removed from their texts (benchmarks of bounded size only); other columns stay."""
+def without_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """Documents with the hit words removed from their texts; other columns stay. A benchmark of more words than may be
+    broadcast raises an error: cut it into parts and remove the spans of each."""
     import re
 
+    size = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    if size > 4 * broadcast_words:
+        raise ValueError(f"the benchmark has about {size // 5} words; at most {broadcast_words} may be broadcast")
     items = [tuple(r) for r in own(benchmark, "item_id", "text").where("item_id is not null").collect()]
     shared = docs.sparkSession.sparkContext.broadcast(WindowSet(items, n))
     pattern, at = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), docs.columns.index("text")

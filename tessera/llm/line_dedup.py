@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import free_name, own, read
 
 SPACING = 3
 #: A single line of so many words is a passage.
@@ -88,9 +88,10 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The documents without later copies of repeated runs; ``n_chars`` follows the text where the column exists."""
-    marks = repeats(docs).select(F.col("doc_id").alias("_id"), F.col("gone").alias("_gone"))
-    joined = docs.join(marks, docs["doc_id"] == F.col("_id"), "left")
-    left = _LEFT.replace("gone", "coalesce(_gone, array())")
+    id_name, gone = free_name(docs, "id"), free_name(docs, "gone")
+    marks = repeats(docs).select(F.col("doc_id").alias(id_name), F.col("gone").alias(gone))
+    joined = docs.join(marks, docs["doc_id"] == F.col(id_name), "left")
+    left = _LEFT.replace("gone", f"coalesce({gone}, array())")
     out = joined.withColumn("text", F.when(F.col("text").isNotNull(), F.array_join(F.expr(left), "\n")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
@@ -100,7 +101,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 def report(docs: DataFrame, spacing: int = SPACING) -> DataFrame:
     """(doc_id, n_lines, n_chunks, n_removed_lines, kept_md5) for every row."""
     marks = removed(docs, spacing).select(F.col("doc_id").alias("_id"), "gone")
-    joined = docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("_id"), "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<string>")))
+    joined = own(docs, "doc_id", "text").join(marks, F.col("doc_id") == F.col("_id"), "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<string>")))
     marked = _marked(spacing)
     sums = f"""transform(array({marked}), every -> transform(array({_KEPT.format(marked="every")}), kept -> struct(
         aggregate(every, 0L, (n, c) -> n + c.n) as n_lines, cast(size(every) as bigint) as n_chunks,

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, own, read, slices
+from .common import materialise, own, read, slices, without
 
 SKETCH, WIDTH, ROUNDS = 128, 3, 2
 COORDINATES = SKETCH // WIDTH
@@ -352,8 +352,7 @@ def link(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100)) -
 
 def dedup(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
     """The kept documents with all their columns."""
-    gone = link(docs, n, similarity).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return without(docs, link(docs, n, similarity).where("not kept").select("doc_id").distinct())
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

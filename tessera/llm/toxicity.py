@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import own, read, slices
+from .common import own, read, slices, without
 
 FOLDS = 5
 #: Per byte: lower case, and a blank for ASCII that is not a letter.
@@ -225,8 +225,7 @@ def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that are not predicted toxic, with all their columns."""
-    toxic = score(docs, labels, **options).where("predicted = 1").select(F.col("doc_id").alias("_toxic")).distinct()
-    return docs.join(toxic, docs["doc_id"].eqNullSafe(F.col("_toxic")), "left_anti")
+    return without(docs, score(docs, labels, **options).where("predicted = 1").select("doc_id").distinct())
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
