@@ -38,7 +38,7 @@ def _tokenizer(path: str):
 class PieceEncoder:
     """Encodes texts to flat ids."""
 
-    def __init__(self, path: str, memory: int = 96 << 20):
+    def __init__(self, path: str, memory: int = 48 << 20):
         self.tokenizer, self.memory = _tokenizer(path), memory
         self.added = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.at_added = re.compile(b"|".join(map(re.escape, self.added)))

@@ -1,16 +1,21 @@
 """Toxic spans by a linear-chain conditional random field, aggregated to document scores.
 
-Documents are labelled, tokens are not: a token of a toxic training document counts as toxic if it carries a feature (the
-whole word, or its first letters) that occurs in toxic training documents and practically never in others. A two-state
-chain is trained on stretches around such tokens. Scoring takes whole texts: tokens without features share one emission,
-so the runs between the others are powers of one 2 x 2 matrix, and forward-backward gives each token's marginal. The
-expected number of toxic tokens, calibrated on the training documents, is the score; tokens with a marginal of one half
+Documents are labelled, tokens are not, so token labels are latent. They start from features (the whole word, or its first
+letters) that occur in toxic training documents and practically never in others; then the chain is fitted with all features
+that lean to toxic documents, and the marginals it gives the tokens of toxic documents are their labels for the next fit
+(``rounds`` times). Tokens of other documents stay clean. Scoring takes whole texts: tokens without features share one
+emission, so the runs between the others are powers of one 2 x 2 matrix, and forward-backward gives each token's marginal.
+The expected number of toxic tokens, calibrated on the training documents, is the score; tokens with a marginal of one half
 or more are the offending spans.
 
-The classifier is fitted on at most ``sample`` labelled rows of each class, those with the smallest hash of their id.
-Null and empty texts have no tokens and get the score of no toxic token. Null labels are no labels; a ``doc_id`` with
-several labels is used for each; without training rows of both classes every score is 0. Repeated rows each get a row;
-extra columns are ignored by ``score`` and kept by ``clean``.
+Bounds of the fit, all parameters of ``train``: at most ``sample`` labelled rows of each class, those with the smallest hash
+of their id, whose texts together have at most ``sample_mb`` MB; at most ``most`` features; at most ``places`` stretches a
+text, drawn at random from its tokens with features, and ``stretches`` in all. Everything else covers all rows.
+
+Null and empty texts have no tokens and get the score of no toxic token; very long texts are scored whole. Null labels are
+no labels; a ``doc_id`` with several labels is used for each; ties of the hash go by id; without training rows of both
+classes every score is 0. Repeated rows each get a row; extra columns are ignored by ``score`` and kept by ``clean``; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import own, read, slices, without
+from .common import materialise, own, read, slices, without
 
 FOLDS = 5
 #: Per byte: lower case, and a blank for ASCII that is not a letter.
@@ -64,15 +69,17 @@ class Chain:
         """Up to a factor: the product over ``n`` tokens without features."""
         return self.parts[0] + self.ratio**n * self.parts[1]
 
-    def fit(self, sequences: list[tuple[list[list[int]], list[int]]], rounds: int = 120, rate: float = 0.1, ridge: float = 1e-3) -> None:
-        """Gradient ascent (Adam) on the likelihood of equally long stretches: lists of feature slots and labels."""
+    def fit(self, sequences: list[tuple[list[list[int]], np.ndarray]], rounds: int = 120, rate: float = 0.1, ridge: float = 1e-3) -> None:
+        """Gradient ascent (Adam) on the expected likelihood of equally long stretches: lists of feature slots, and each
+        token's probability of being toxic."""
         n = len(sequences)
         y = np.array([labels for _, labels in sequences], float)
         token = np.array([i * STRETCH + t for i, (feats, _) in enumerate(sequences) for t, f in enumerate(feats) for _ in f], np.int64)
         slot = np.array([s for feats, _ in sequences for f in feats for s in f], np.int64)
         theta, first, second = np.concatenate([self.weight, [self.bias], self.step.ravel()]), 0.0, 0.0
         k = len(self.weight)
-        true = np.array([[((y[:, :-1] == i) & (y[:, 1:] == j)).sum() for j in (0, 1)] for i in (0, 1)], float)
+        both = (1 - y, y)
+        true = np.array([[(both[i][:, :-1] * both[j][:, 1:]).sum() for j in (0, 1)] for i in (0, 1)])
         for it in range(1, rounds + 1):
             w, b, step = theta[:k], theta[k], theta[k + 1 :].reshape(2, 2)
             emit = np.ones((n, STRETCH, 2))
@@ -100,13 +107,24 @@ class Chain:
     def marginals(self, words: list[bytes]) -> tuple[list[int], np.ndarray]:
         """Places of the words that have features, and their probabilities of the toxic state."""
         heads, slot = self.heads, self.slot
-        at, emits = [], []
+        at, found = [], []
         for i in [i for i, w in enumerate(words) if w[:3] in heads or (len(w) < 3 and w + b" " in slot)]:
-            if found := [slot[f] for f in features(words[i]) if f in slot]:
+            if own_features := [slot[f] for f in features(words[i]) if f in slot]:
                 at.append(i)
-                emits.append(np.array([1.0, np.exp(np.clip(self.bias + self.weight[found].sum(), -30, 30))]))
+                found.append(own_features)
+        return at, self._chain(at, found, len(words))
+
+    def posterior(self, part: list[list[int]]) -> np.ndarray:
+        """The same for tokens given by their features' slots, 0 where there are none."""
+        at, out = [i for i, f in enumerate(part) if f], np.zeros(len(part))
+        out[at] = self._chain(at, [part[i] for i in at], len(part))
+        return out
+
+    def _chain(self, at: list[int], found: list[list[int]], length: int) -> np.ndarray:
+        """Forward-backward over the tokens with features, the others between them taken at once."""
         if not at:
-            return at, np.zeros(0)
+            return np.zeros(0)
+        emits = [np.array([1.0, np.exp(np.clip(self.bias + self.weight[f].sum(), -30, 30))]) for f in found]
         move, state, forward = np.exp(self.step), None, []
         for k, (i, emit) in enumerate(zip(at, emits, strict=True)):
             if k == 0:
@@ -116,15 +134,15 @@ class Chain:
             state = np.maximum(state * emit, 1e-300)
             state = state / state.sum()
             forward.append(state)
-        back, out = self.gap(len(words) - 1 - at[-1]).sum(1), np.zeros(len(at))
+        back, out = self.gap(length - 1 - at[-1]).sum(1), np.zeros(len(at))
         for k in range(len(at) - 1, -1, -1):
             both = np.maximum(forward[k] * back, 1e-300)
             out[k] = both[1] / both.sum()
             if k:
                 n = at[k] - at[k - 1] - 1
-                back = move @ (emits[k] * back)
-                back = (self.gap(n) @ back if n else back) / back.sum()
-        return at, out
+                back = move @ (emits[k] * back) if not n else self.gap(n) @ (move @ (emits[k] * back))
+                back = back / back.sum()
+        return out
 
     def score(self, marginals: np.ndarray) -> float:
         return float(1 / (1 + np.exp(-(self.intercept + self.slope * np.log1p(marginals.sum())))))
@@ -145,44 +163,68 @@ def _surprise(toxic: int, other: int, n: np.ndarray) -> float:
     return (toxic + other) * (share * log(share / base) + (log((1 - share) / (1 - base)) * (1 - share) if other else 0.0))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 2000, least: int = 3, most: int = 4000) -> Chain | None:
-    """Fit on at most ``sample`` labelled rows of each class outside the held-out fold. ``least``: toxic documents that a
-    feature needs; ``most``: features kept."""
+def _chosen(docs: DataFrame, labels: DataFrame, sample: int, sample_mb: int) -> list:
+    """The training rows (toxic, text): at most ``sample`` of each class and ``sample_mb`` MB of text together."""
+    usable = own(labels, "doc_id", "toxic").where("toxic is not null").where(~held_out(F.col("doc_id")))
+    chosen = [usable.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
+    chosen = chosen[0].union(chosen[1]).select(F.col("doc_id").alias("_id"), "toxic")  # at most 2 x sample ids
+    rows = own(docs, "doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    rows = materialise(rows.select("toxic", F.xxhash64("doc_id").alias("h"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")))
+    sizes = sorted((r["h"], r["size"]) for r in rows.select("h", F.octet_length("text").alias("size")).collect())  # a row's two numbers
+    total, last = 0, None
+    for h, size in sizes:
+        total += size
+        if total > sample_mb << 20:
+            break
+        last = h
+    return [] if last is None else rows.where(F.col("h") <= last).select("toxic", "text").collect()
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = 2000, sample_mb: int = 64, least: int = 3, most: int = 20_000, places: int = 20, stretches: int = 6000, rounds: int = 2, lean: float = 4) -> Chain | None:
+    """Fit on labelled rows outside the held-out fold. ``least``: toxic documents that a feature needs; ``lean``: how
+    many times as often it has to occur in toxic documents as in others; the other bounds are in the module's text."""
     usable = own(labels, "doc_id", "toxic").where("toxic is not null").where(~held_out(F.col("doc_id")))
     totals = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect() if r["toxic"] in (0, 1)}
     if len(totals) < 2:
         return None
-    # at most 2 x sample ids and texts
-    chosen = [usable.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
-    chosen = chosen[0].union(chosen[1]).select(F.col("doc_id").alias("_id"), "toxic")
-    rows = own(docs, "doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("toxic", F.col("text").cast("binary").alias("text")).collect()
+    rows = _chosen(docs, labels, sample, sample_mb)
     y = np.array([r["toxic"] for r in rows])
     if len(set(y.tolist())) < 2:
         return None
-    texts = [bytes(r["text"] or b"").translate(_FOLD).split() for r in rows]
+    return learn([bytes(r["text"]).translate(_FOLD).split() for r in rows], y, totals, least, most, places, stretches, rounds, lean)
+
+
+def learn(texts: list[list[bytes]], y: np.ndarray, totals: dict[int, int], least: int, most: int, places: int, stretches: int, rounds: int, lean: float) -> Chain | None:
+    """The chain for tokenized texts and their labels; ``totals``: labelled rows of each class, to calibrate the score."""
     seen = (Counter(), Counter())
     for words, label in zip(texts, y.tolist(), strict=True):
         seen[label].update({f for w in set(words) for f in features(w)})
     n = np.bincount(y, minlength=2)
     ratio = {f: (c / n[1]) / ((seen[0][f] + 0.5) / n[0]) for f, c in seen[1].items() if c >= least}
-    # practically never in other documents, and not by chance among so many features
-    pure = [f for f, r in ratio.items() if r >= 5 and seen[0][f] * n[1] <= 0.05 * seen[1][f] * n[0] and _surprise(seen[1][f], seen[0][f], n) > log(20 * len(ratio))]
-    names = sorted(pure, key=lambda f: (-seen[1][f], f))[:most]
+    # practically never in other documents, and not by chance among so many features: the first labels
+    pure = {f for f, r in ratio.items() if r >= 5 and seen[0][f] * n[1] <= 0.05 * seen[1][f] * n[0] and _surprise(seen[1][f], seen[0][f], n) > log(20 * len(ratio))}
+    names = sorted((f for f, r in ratio.items() if r >= lean), key=lambda f: (-_surprise(seen[1][f], seen[0][f], n), f))[:most]
+    if not pure:
+        return None
     model = Chain(names)
-    rng, stretches = np.random.default_rng(0), []
+    marks = {model.slot[f] for f in pure if f in model.slot}
+    rng, cut = np.random.default_rng(0), []
     for words, label in zip(texts, y.tolist(), strict=True):
         found = [[model.slot[f] for f in features(w) if f in model.slot] if w[:3] in model.heads else [] for w in words]
-        marked = [i for i, f in enumerate(found) if f]
-        for i in {*marked[:20], *(rng.integers(0, len(words), 2).tolist() if words else [])}:
+        first = [i for i, f in enumerate(found) if not marks.isdisjoint(f)]
+        other = [i for i, f in enumerate(found) if f]
+        chosen = rng.permutation(first)[:places].tolist() + rng.permutation(other)[: places // 4].tolist() + (rng.integers(0, len(words), 2).tolist() if words else [])
+        for i in dict.fromkeys(map(int, chosen)):
             a = max(0, min(i - int(rng.integers(0, STRETCH)), len(words) - STRETCH))
-            if len(words) >= STRETCH:
-                feats = found[a : a + STRETCH]
-                stretches.append((feats, [int(bool(f) and label == 1) for f in feats]))
-    if not names or not stretches:
-        return None
-    if len(stretches) > 6_000:
-        stretches = [stretches[i] for i in rng.choice(len(stretches), 6_000, replace=False)]
-    model.fit(stretches)
+            part = found[a : a + STRETCH]
+            cut.append((part + [[]] * (STRETCH - len(part)), label))  # a short text is filled up with tokens without features
+    if len(cut) > stretches:
+        cut = [cut[i] for i in rng.choice(len(cut), stretches, replace=False)]
+    hidden = [np.array([float(label == 1 and not marks.isdisjoint(f)) for f in part]) for part, label in cut]
+    for turn in range(rounds):
+        model.fit([(part, z) for (part, _), z in zip(cut, hidden, strict=True)])
+        if turn < rounds - 1:
+            hidden = [model.posterior(part) if label == 1 else z for (part, label), z in zip(cut, hidden, strict=True)]
     sums = np.array([model.marginals(words)[1].sum() for words in texts])
     model.calibrate(sums, y, np.where(y == 1, totals[1] / n[1], totals[0] / n[0]) / sum(totals.values()) * len(y))
     return model
