@@ -1,15 +1,20 @@
 """Quality rules with risk-controlled cutoffs.
 
-Texts are reduced to a few counts in one pass; nothing but those counts is shuffled. Rows with a quality label are the
-holdout: for each stratum (``lang`` here) and rule, cutoffs are tested from the mildest to the strictest. A cutoff is
-taken while the exact binomial (Clopper-Pearson) upper bound on the share of good rows it rejects stays within the
-rule's part of ``risk``; testing in a fixed order needs no further correction within a rule, and the error probability
-``delta`` is divided by the number of rules and strata (Bonferroni). With probability 1 - ``delta`` all strata therefore
-reject at most ``risk`` of their good documents. A rule that cannot be certified in a stratum rejects nothing there.
-
-Null and empty texts have no words and fail the base rules; strata without labels keep whatever passes the base rules;
-a null stratum is a stratum; rows whose label is null are no evidence; repeated rows each get a row; a ``doc_id`` with
-several labels counts once for each; extra columns are ignored.
+Texts are reduced to a few counts in one pass; nothing but those counts is shuffled. Rows with the label of good quality are
+the holdout, of which one half (by hash of ``doc_id``) proposes cutoffs and the other certifies them, for each stratum
+(``lang`` here) on its own.
+
+Proposal: at step j every rule gets the strictest cutoff that rejects at most the share ``STEPS[j]`` of the first half, so
+steps grow stricter from a predeclared list. Certification: the rows of the second half that any rule rejects at step j are
+counted, and the step holds while the exact binomial (Clopper-Pearson) upper bound on that joint rejection rate is at most
+``risk``. Steps are tested in their fixed order up to the first failure, which needs no correction; the error probability
+``delta`` is divided by the number of strata (Bonferroni). With probability 1 - ``delta`` all strata together therefore
+reject at most the share ``risk`` of their good documents. A stratum without a certified step rejects nothing by rules.
+
+Null and empty texts have no words and fail the base rules; very long texts are counted whole; strata without labels keep
+whatever passes the base rules; a null stratum is a stratum; rows whose label is null are no evidence; ties at a cutoff are
+kept; repeated rows each get a row; a ``doc_id`` with several labels counts once for each; extra columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,8 +36,10 @@ _SMALL = bytes(range(97, 123))
 _POINTS = b"!?;:"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_letters", "n_points", "n_distinct")
-#: Cutoffs in the order of testing, mildest first: shares rejected when above, in thousandths.
-GRID = tuple(range(1000, 0, -5))
+#: Shares of the proposing rows that a rule may reject, step by step.
+STEPS = (0.0, 0.001, 0.002, 0.005, 0.01, 0.02)
+#: Cutoffs travel to the driver and to every task: a few numbers for each stratum.
+MOST_STRATA = 10_000
 #: rule -> (counted, out of)
 RULES = {
     "symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"),
@@ -113,41 +120,69 @@ def rate(rule: str) -> Column:
     return F.coalesce(F.floor(F.try_divide(1000 * part, F.col(whole))), F.lit(0))
 
 
-def cutoffs(histogram: dict[tuple, dict[int, int]], strata: dict, risk: float, delta: float) -> dict[tuple, int]:
-    """(stratum, rule) -> the strictest certified cutoff. ``histogram``: (stratum, rule) -> share -> good rows."""
-    chosen = {}
-    for (stratum, rule), shares in histogram.items():
-        values = np.array(sorted(shares))
-        above = np.cumsum([shares[v] for v in values][::-1])[::-1]
-        for cut in GRID:
-            i = int(np.searchsorted(values, cut, "right"))
-            rejected = int(above[i]) if i < len(values) else 0
-            if not certified(rejected, strata[stratum], risk / len(RULES), delta / (len(RULES) * len(strata))):
-                break
-            chosen[stratum, rule] = cut
-    return chosen
+def proposed(shares: dict[int, int]) -> list[int]:
+    """The cutoff of each step for one rule: the least share that leaves few enough rows above. ``shares``: share -> rows."""
+    values = np.array(sorted(shares))
+    rows = np.array([shares[v] for v in values.tolist()])
+    above = rows.sum() - np.cumsum(rows)
+    return [int(values[np.argmax(above <= int(step * rows.sum()))]) for step in STEPS]
 
 
-def verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.06, delta: float = 0.05) -> DataFrame:
+def certified_step(rejected: dict[int, int], good: int, risk: float, delta: float) -> int:
+    """How many steps hold. ``rejected``: first step that rejects (1 for the mildest, 0 for none) -> rows."""
+    total = 0
+    for step in range(1, len(STEPS) + 1):
+        total += rejected.get(step, 0)
+        if not certified(total, good, risk, delta):
+            return step - 1
+    return len(STEPS)
+
+
+def _first(rule: str) -> Column:
+    """The first step whose cutoff the row is above; 0 if none."""
+    return F.coalesce(F.array_position(F.transform(f"cuts.{rule}", lambda cut: rate(rule) > cut), F.lit(True)), F.lit(0))
+
+
+def certificates(counted: DataFrame, labels: DataFrame, stratum: str, risk: float, delta: float) -> list[dict]:
+    """For each stratum: its cutoffs by rule and step, the steps certified, and the evidence."""
+    labels = own(labels, "doc_id", "quality").where("quality = 1").select(F.col("doc_id").alias("label_id"))
+    good = counted.where("not base_failed").join(labels, F.col("doc_id") == F.col("label_id")).withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
+    good = materialise(good.select(F.col(stratum).alias("s"), "half", *COUNTS))
+    shares = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), rate(r).alias("share")) for r in RULES])).alias("x")
+    spark, kind = counted.sparkSession, dict(counted.dtypes)[stratum]
+    if good.select("s").distinct().count() > MOST_STRATA:
+        raise ValueError(f"{stratum} has more than {MOST_STRATA} labelled values")
+    found: dict = {}  # at most a thousand shares for each rule and stratum
+    for r in good.where("half = 0").select("s", shares).groupBy("s", "x.rule", "x.share").agg(F.count("*").alias("n")).collect():
+        found.setdefault(r["s"], {}).setdefault(r["rule"], {})[r["share"]] = r["n"]
+    cuts = {s: {rule: proposed(rules[rule]) for rule in RULES} for s, rules in found.items()}
+    schema = f"stratum {kind}, cuts struct<{', '.join(f'{r}: array<int>' for r in RULES)}>"
+    table = spark.createDataFrame([(s, tuple(c[r] for r in RULES)) for s, c in cuts.items()], schema)
+    steps = [_first(r) for r in RULES]
+    first = F.coalesce(F.least(*[F.when(x > 0, x) for x in steps]), F.lit(0))
+    judged = good.where("half = 1").join(F.broadcast(table), F.col("s").eqNullSafe(F.col("stratum")), "left").select("s", F.coalesce(first, F.lit(0)).alias("first"))
+    tested: dict = {}
+    for r in judged.groupBy("s", "first").agg(F.count("*").alias("n")).collect():
+        tested.setdefault(r["s"], {})[r["first"]] = r["n"]
+    out = []
+    for s, c in cuts.items():
+        rejected = tested.get(s, {})
+        n = sum(rejected.values())
+        step = certified_step(rejected, n, risk, delta / len(cuts))
+        out.append({"stratum": s, "cuts": c, "step": step, "good": n, "rejected": sum(v for k, v in rejected.items() if 0 < k <= step)})
+    return out
+
+
+def verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.03, delta: float = 0.05) -> DataFrame:
     """All documents with their counts, ``base_failed``, the first certified rule that rejects them, and ``kept``."""
     counted = materialise(measure(docs, "doc_id", stratum))
     words, repeats = F.col("n_words"), F.col("n_repeat_words")
     counted = counted.withColumn("base_failed", (words < 20) | (100 * repeats > 30 * words))
-    labels = own(labels, "doc_id", "quality").where("quality = 1").select(F.col("doc_id").alias("_id"))
-    good = counted.where("not base_failed").join(labels, F.col("doc_id") == F.col("_id"))
-    shares = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), rate(r).alias("share")) for r in RULES])).alias("x")
-    # at most a thousand shares for each rule and stratum
-    rows = good.select(F.col(stratum).alias("s"), shares).groupBy("s", "x.rule", "x.share").agg(F.count("*").alias("n")).collect()
-    histogram: dict[tuple, dict[int, int]] = {}
-    for r in rows:
-        histogram.setdefault((r["s"], r["rule"]), {})[r["share"]] = r["n"]
-    strata = {s: sum(shares.values()) for (s, rule), shares in histogram.items() if rule == "symbols"}
-    chosen = cutoffs(histogram, strata, risk, delta)
-    reason = F.coalesce(
-        F.when(F.col("base_failed"), "base"),
-        *[F.when(F.col(stratum).eqNullSafe(F.lit(s)) & (rate(rule) > cut), rule) for (s, rule), cut in sorted(chosen.items(), key=str)],
-    )
-    return counted.withColumn("rejected_by", reason).withColumn("kept", reason.isNull())
+    rows = [(c["stratum"], tuple(c["cuts"][r][c["step"] - 1] for r in RULES)) for c in certificates(counted, labels, stratum, risk, delta) if c["step"]]
+    chosen = docs.sparkSession.createDataFrame(rows, f"s {dict(counted.dtypes)[stratum]}, cuts struct<{', '.join(f'{r}: int' for r in RULES)}>")
+    joined = counted.join(F.broadcast(chosen), F.col(stratum).eqNullSafe(F.col("s")), "left")  # at most MOST_STRATA rows
+    reason = F.coalesce(F.when(F.col("base_failed"), "base"), *[F.when(rate(r) > F.col(f"cuts.{r}"), r) for r in RULES])
+    return joined.withColumn("rejected_by", reason).withColumn("kept", reason.isNull()).drop("s", "cuts")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
