@@ -1,11 +1,15 @@
 """The text operators against plain versions on small inputs, SQL where it can express them, and hard inputs."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -14,7 +18,7 @@ pytest.importorskip("tessera.llm")
 
 from tokenizers import Tokenizer  # noqa: E402
 
-from tessera.llm import chat, decontaminate, html, line_dedup, neardup, packing, quality, registry, suffix_dedup, token_files, toxicity  # noqa: E402
+from tessera.llm import chat, decontaminate, html, line_dedup, neardup, packing, quality, registry, suffix_dedup, token_files, tokens, toxicity  # noqa: E402
 from tessera.llm.common import read  # noqa: E402
 
 SMALL, MEDIUM, LARGE = (f"/root/testdata/sf{x}" for x in ("0.001", "0.01", "0.1"))
@@ -137,6 +141,19 @@ def test_html_matches_the_articles_of_the_tables(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in found.values())
 
 
+@pytest.mark.parametrize("path", (BYTE, WORD))
+def test_ids_are_the_librarys(path):
+    """Random strings of blanks, marks, added tokens and their parts, with a memory that forgets all the time."""
+    rng, coder, tokenizer = random.Random(7), tokens.PieceEncoder(path, memory=20_000), Tokenizer.from_file(path)
+    parts = [*"ab .<>|1é文ßΣ", "  ", "\n", "\n\n", "\t", "\r\n", "'s", "'ll", "\u0301", "\xa0", "\u2003", "\u3000", "\x85", "\x1c", "\u200b", "<|endoftext|>", "<|startoftext|>", "<|endoftext|", "endoftext", "<|", "|>", "İ", "\U0001f600", "The", ""]
+    for _ in range(60):
+        own = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(500)]
+        bounds, ids = coder.encode(pa.array(own), 2)
+        for i, x in enumerate(tokenizer.encode_batch(own, add_special_tokens=False)):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == [*x.ids, 2], own[i]
+    assert coder.encode(pa.array([None, "a b", None]).slice(1), 2)[0][-1] == len(tokenizer.encode("a b", add_special_tokens=False).ids) + 2
+
+
 def test_packing_is_gapless_and_tight(spark):
     found = packing.query(spark, SMALL).collect()
     tokenizer, own = Tokenizer.from_file(BYTE), texts()
@@ -179,8 +196,14 @@ def covered(texts, length):
     return gone
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_repeated_bytes_match_brute_force(spark, seed):
+def test_covers_are_perfect():
+    for period, cover in suffix_dedup.COVERS.items():
+        assert {(a - b) % period for a in cover for b in cover} == set(range(period))
+
+
+@pytest.mark.parametrize(("seed", "length", "slice_bytes"), [(0, 200, 20_000), (1, 200, 8 << 20), (2, 200, 1_000), (3, 50, 5_000), (4, 12, 2_000)])
+def test_repeated_bytes_match_brute_force(spark, monkeypatch, seed, length, slice_bytes):
+    monkeypatch.setattr(suffix_dedup, "SLICE", slice_bytes)
     rng = random.Random(seed)
     word = lambda: "".join(rng.choices("abcdé", k=rng.randint(1, 6)))
     pool = [" ".join(word() for _ in range(rng.choice([50, 60, 70, 200]))) for _ in range(6)]
@@ -193,13 +216,27 @@ def test_repeated_bytes_match_brute_force(spark, seed):
             text += p[rng.randint(0, 40) :] + text[:100]
         own.append(text if kind < 0.8 else rng.choice([*own, "", "ab" * 300]))
     raw = [x.encode() for x in own]
-    gone = covered(raw, 200)
-    found = rows(suffix_dedup.dedup(spark.createDataFrame(list(enumerate(own)), DOCS)), "doc_id")
+    gone = covered(raw, length)
+    found = rows(suffix_dedup.dedup(spark.createDataFrame(list(enumerate(own)), DOCS), length), "doc_id")
     for k, (text, mask) in enumerate(zip(raw, gone, strict=True)):
         rest = bytes(b for b, m in zip(text, mask, strict=True) if not m)
         spans = len(re.findall(b"\1+", bytes(mask)))
         r = found[k]
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(text), sum(mask), spans, hashlib.sha256(rest).hexdigest())
+        assert r["kept"] == (rest if sum(mask) else None)
+
+
+def test_repeated_bytes_of_the_tables(spark):
+    own = {k: (t or "").encode() for k, t in texts(MEDIUM).items()}
+    at = Counter(raw[i : i + 200] for raw in own.values() for i in range(len(raw) - 199))
+    found = rows(suffix_dedup.query(spark, MEDIUM), "doc_id")
+    for k, raw in own.items():
+        mask = bytearray(len(raw))
+        for i in range(len(raw) - 199):
+            if at[raw[i : i + 200]] > 1:
+                mask[i : i + 200] = b"\1" * 200
+        rest = bytes(b for b, m in zip(raw, mask, strict=True) if not m)
+        assert (found[k]["n_removed"], found[k]["kept_sha256"]) == (sum(mask), hashlib.sha256(rest).hexdigest())
 
 
 def near_components(texts, n):
@@ -272,6 +309,37 @@ def test_candidates_beyond_the_broadcast_bound_give_the_same(spark, monkeypatch)
     check_near(spark, own, 2)
 
 
+def test_marginals_match_enumeration():
+    chain = toxicity.Chain([b"aaa ", b"bbb "])
+    chain.weight, chain.bias, chain.step = np.array([1.3, -0.7]), -0.4, np.array([[0.2, -0.5], [0.1, 0.6]])
+    chain._finish()
+    for text in (b"aaa x y bbb z aaa q", b"x x aaa", b"aaa", b"x aaa aaa q q q bbb"):
+        words, total, want = text.split(), 0.0, 0.0
+        for states in itertools.product((0, 1), repeat=len(words)):
+            energy = sum(chain.bias + sum(chain.weight[chain.slot[f]] for f in toxicity.features(w) if f in chain.slot) for w, s in zip(words, states, strict=True) if s)
+            weight = np.exp(energy + sum(chain.step[i, j] for i, j in zip(states, states[1:], strict=False)))
+            total, want = total + weight, want + weight * np.array(states)
+        at, found = chain.marginals(words)
+        assert np.allclose(found, (want / total)[at], atol=1e-12)
+
+
+def test_latent_labels_find_the_words(spark):
+    rng, plain, bad = random.Random(3), [f"word{c}{d}" for c in "abcdefgh" for d in "klmnopqr"], ["vilest", "rotten", "nasty"]
+    own, marked = [], []
+    for i in range(400):
+        words = rng.choices(plain, k=rng.randint(5, 60))
+        if i % 4 == 0:
+            for _ in range(rng.randint(1, 4)):
+                words.insert(rng.randrange(len(words)), rng.choice(bad))
+        own.append((i, " ".join(words)))
+        marked.append((i, int(i % 4 == 0)))
+    scored = rows(toxicity.score(spark.createDataFrame(own, DOCS), spark.createDataFrame(marked, "doc_id long, toxic int")), "doc_id")
+    for i, text in own:
+        r = scored[i]
+        assert r["predicted"] == int(i % 4 == 0)
+        assert {text[x["start"] : x["stop"]] for x in r["spans"]} == {w for w in text.split() if w in bad}
+
+
 def test_toxicity_holds_out_and_ranks(spark):
     # the smaller tables hold six toxic rows in the held-out fold, too few to rank by
     found = rows(toxicity.query(spark, LARGE), "doc_id")
@@ -313,7 +381,7 @@ def test_decontamination_matches_brute_force(spark):
     items = [(r["item_id"], r["text"]) for r in pq.read_table(f"{MEDIUM}/benchmark.parquet").to_pylist()]
     docs, benchmark = read(spark, MEDIUM, "documents"), read(spark, MEDIUM, "benchmark")
     want = {k: hits(t, items, 10) for k, t in texts(MEDIUM).items()}
-    for most in (2_000_000, 0):  # broadcast, then joined
+    for most in (200_000, 0):  # broadcast, then joined
         found = rows(decontaminate.contamination(docs, benchmark, broadcast_words=most), "doc_id")
         for k, w in want.items():
             r = found[k]
@@ -363,7 +431,51 @@ def test_certified_bound_is_the_exact_binomial():
     assert not quality.certified(0, 0, 0.05, 0.05)
 
 
-CLASHING = "doc_id long, text string, lang string, row long, name string, names array<int>, key long, id long, hub int, stop int, names_b int"
+def test_cutoffs_match_brute_force(spark):
+    """The documented procedure, row by row, on the tables' labels."""
+    found = quality.query(spark, LARGE).collect()
+    langs = {r["doc_id"]: r["lang"] for r in pq.read_table(f"{LARGE}/documents.parquet", columns=["doc_id", "lang"]).to_pylist()}
+    good = {r["doc_id"] for r in pq.read_table(f"{LARGE}/labels.parquet").to_pylist() if r["quality"] == 1}
+    counted = rows(quality.measure(read(spark, LARGE, "documents"), "doc_id"), "doc_id")
+    half = {r["doc_id"]: r["half"] for r in read(spark, LARGE, "documents").selectExpr("doc_id", "pmod(xxhash64(doc_id), 2) as half").collect()}
+    base = {r["doc_id"] for r in found if r["base_failed"]}
+
+    def share(k, rule):
+        part, whole = quality.RULES[rule]
+        r = counted[k]
+        top = r["n_words"] - r["n_distinct"] if part == "n_same" else r[part]
+        return 1000 * top // r[whole] if r[whole] else 0
+
+    strata = sorted({langs[k] for k in good - base if half[k] == 0})
+    chosen = {}
+    for s in strata:
+        own = [k for k in good - base if langs[k] == s]
+        first, second = ([k for k in own if half[k] == h] for h in (0, 1))
+        for step in quality.STEPS:
+            cuts = {rule: min(c for c in {share(k, rule) for k in first} if sum(share(k, rule) > c for k in first) <= int(step * len(first))) for rule in quality.RULES}
+            rejected = sum(any(share(k, rule) > c for rule, c in cuts.items()) for k in second)
+            tail = sum(math.comb(len(second), i) * 0.03**i * 0.97 ** (len(second) - i) for i in range(rejected + 1))
+            if tail > 0.05 / len(strata):
+                break
+            chosen[s] = cuts
+    assert chosen
+    for r in found:
+        k = r["doc_id"]
+        bad = any(share(k, rule) > c for rule, c in chosen.get(langs[k], {}).items())
+        assert r["kept"] == (not r["base_failed"] and not bad)
+
+
+def test_false_rejections_on_unseen_labels(spark):
+    """Cutoffs from two thirds of the labels, judged on the rest."""
+    labels = read(spark, LARGE, "labels")
+    unseen = {r["doc_id"] for r in labels.where("quality = 1 and crc32(cast(doc_id as string)) % 3 = 0").collect()}
+    out = quality.verdicts(read(spark, LARGE, "documents"), labels.where("crc32(cast(doc_id as string)) % 3 <> 0")).where("not base_failed").collect()
+    own = [r for r in out if r["doc_id"] in unseen]
+    assert sum(not r["kept"] for r in own) <= 0.03 * len(own) + 3 * (0.03 * len(own)) ** 0.5
+    assert sum(r["rejected_by"] is not None for r in out) > 0
+
+
+CLASHING = "doc_id long, text string, lang string, row long, name string, names array<int>, key long, id long, hub int, stop int, names_b int, _id int, _gone int, _toxic int, _hit int, gone int, home int, slice int, answers int"
 LONG = "one very long line of words " * 40_000
 HARD = [
     (1, "a plain text of some words"), (1, "a plain text of some words"), (2, None), (None, "text without an id"), (None, None), (3, ""), (4, LONG), (5, LONG), (6, " \n\t\n "),
@@ -372,7 +484,7 @@ HARD = [
 OPERATORS = {
     "lines": line_dedup.report, "lines_dedup": line_dedup.dedup, "bytes": suffix_dedup.dedup, "near": neardup.link, "near_dedup": neardup.dedup,
     "pack": lambda d: packing.pack_documents(d, BYTE), "quality": lambda d: quality.verdicts(d, marks(d, "quality")), "toxicity": lambda d: toxicity.score(d, marks(d, "toxic")),
-    "clean": lambda d: toxicity.clean(d, marks(d, "toxic")), "leaks": lambda d: decontaminate.contamination(d, bench(d)), "leaks_joined": lambda d: decontaminate.contamination(d, bench(d), broadcast_words=0),
+    "leaks_clean": lambda d: decontaminate.clean(d, bench(d)), "spans": lambda d: decontaminate.without_spans(d, bench(d)), "clean": lambda d: toxicity.clean(d, marks(d, "toxic")), "leaks": lambda d: decontaminate.contamination(d, bench(d)), "leaks_joined": lambda d: decontaminate.contamination(d, bench(d), broadcast_words=0),
 }
 
 
@@ -398,7 +510,9 @@ def test_hard_rows_in_other_tables(spark, tmp_path):
     pages = spark.createDataFrame([(1, None, None), (None, "u", "<p>text"), (2, "u", "")], "page_id long, url string, html string")
     assert html.extract(pages).count() == 3 and html.extract(pages.limit(0)).count() == 0
     turns = spark.createDataFrame([(None, 0, None, None), (1, 0, "u", None), (1, 0, "u", None)], "conv_id long, turn int, role string, text string")
-    assert {r["conv_id"] for r in chat.render(chat.maximal(turns)).collect()} <= {None, 1}
+    assert [r["conv_id"] for r in chat.render(chat.maximal(turns)).collect()] == [1]
+    clashing = pages.selectExpr("*", "1 as text", "2 as n_chars", "page_id as _id")
+    assert html.extract(clashing).columns == ["page_id", "url", "text", "n_chars"]
     assert chat.render(chat.maximal(turns.limit(0))).collect() == []
     docs = spark.createDataFrame(HARD, DOCS)
     token_files.write_ids(docs, str(tmp_path / "ids"), WORD)
