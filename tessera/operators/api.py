@@ -12,32 +12,44 @@ _EXTRA = {"tweedie": ("power", 1.5), "nbinom": ("alpha", 1.0)}
 def _define(short: str) -> dict:
     kind, (extra, default) = _KINDS[short], _EXTRA.get(short, (None, None))
 
-    def fam(value=None):
-        return family(kind, **({extra: value} if extra else {}))
+    def split(args: tuple, options: dict):
+        """The family, and the positional arguments besides its parameter, which is the first unless it has been named."""
+        if not extra:
+            return family(kind), args
+        if extra in options:
+            return family(kind, **{extra: options.pop(extra)}), args
+        return family(kind, **{extra: args[0] if args else default}), args[1:]
 
     def fit(tbl, outcome, *args, **options):
-        value = options.pop(extra, args[0] if args else default) if extra else None
-        return fitting.fit(fam(value), tbl, outcome, *(args[1:] if extra else args), **options)
-
-    def predict(model, tbl, *args, **options):
-        names = ("threshold", "offset_col") if short == "logit" else ("offset_col",)
-        return scoring.predict(fam(default), model, tbl, **dict(zip(names, args, strict=False)), **options)
+        fam, rest = split(args, options)
+        return fitting.fit(fam, tbl, outcome, *rest, **options)
 
     def evaluate(model, tbl, outcome, *args, **options):
-        value = options.pop(extra, args[0] if args else default) if extra else None
-        return scoring.evaluate(fam(value), model, tbl, outcome, *(args[1:] if extra else args), **options)
+        fam, rest = split(args, options)
+        return scoring.evaluate(fam, model, tbl, outcome, *rest, **options)
 
     def summary(model, tbl, outcome, *args, **options):
-        value = options.pop(extra, args[0] if args else default) if extra else None
-        return inference.summary(fam(value), model, tbl, outcome, *(args[1:] if extra else args), **options)
+        fam, rest = split(args, options)
+        return inference.summary(fam, model, tbl, outcome, *rest, **options)
 
     def predict_ci(model, tbl, outcome, newdata=None, *args, **options):
-        value = options.pop(extra, args[0] if args else default) if extra else None
-        return inference.predict_ci(fam(value), model, tbl, outcome, newdata, *(args[1:] if extra else args), **options)
+        fam, rest = split(args, options)
+        return inference.predict_ci(fam, model, tbl, outcome, newdata, *rest, **options)
 
     def influence(model, tbl, outcome, *args, **options):
-        value = options.pop(extra, args[0] if args else default) if extra else None
-        return inference.influence(fam(value), model, tbl, outcome, *(args[1:] if extra else args), **options)
+        fam, rest = split(args, options)
+        return inference.influence(fam, model, tbl, outcome, *rest, **options)
+
+    fam = split((), {})[0]
+    if short == "logit":
+
+        def predict(model, tbl, threshold=0.5, offset_col=None):
+            return scoring.predict(fam, model, tbl, threshold, offset_col)
+
+    else:
+
+        def predict(model, tbl, offset_col=None):
+            return scoring.predict(fam, model, tbl, offset_col=offset_col)
 
     return {f"{short}_{f.__name__}": f for f in (fit, predict, evaluate, summary, predict_ci, influence)}
 
@@ -50,33 +62,33 @@ reg_grid, dummy_encode_sql, encode_dummies = selection.reg_grid, selection.dummy
 nbinom_dispersion, nbinom_dispersion_refine = selection.nbinom_dispersion, selection.nbinom_dispersion_refine
 
 
-def cv_l2(tbl, outcome, family_name, grid, k=5, **options):
-    return selection.cross_validate("l2", tbl, outcome, family_name, grid, k, **options)
+def cv_l2(tbl, outcome, family_name, grid, k=5, *args, **options):
+    return selection.cross_validate("l2", tbl, outcome, family_name, grid, k, *args, **options)
 
 
-def cv_l1(tbl, outcome, family_name, grid, k=5, **options):
-    return selection.cross_validate("l1", tbl, outcome, family_name, grid, k, **options)
+def cv_l1(tbl, outcome, family_name, grid, k=5, *args, **options):
+    return selection.cross_validate("l1", tbl, outcome, family_name, grid, k, *args, **options)
 
 
-def cv_power(tbl, outcome, grid, k=5, **options):
-    return selection.cross_validate("power", tbl, outcome, "tweedie", grid, k, **options)
+def cv_power(tbl, outcome, grid, k=5, *args, **options):
+    return selection.cross_validate("power", tbl, outcome, "tweedie", grid, k, *args, **options)
 
 
-def cv_alpha(tbl, outcome, grid, k=5, **options):
-    return selection.cross_validate("alpha", tbl, outcome, "nbinom", grid, k, **options)
+def cv_alpha(tbl, outcome, grid, k=5, *args, **options):
+    return selection.cross_validate("alpha", tbl, outcome, "nbinom", grid, k, *args, **options)
 
 
-def cv_l2_refine(tbl, outcome, family_name, grid, k=5, n_refine=10, **options):
-    return selection.cross_validate_refine("l2", tbl, outcome, family_name, grid, n_refine, k=k, **options)
+def cv_l2_refine(tbl, outcome, family_name, grid, k=5, n_refine=10, *args, **options):
+    return selection.cross_validate_refine("l2", tbl, outcome, family_name, grid, k, n_refine, *args, **options)
 
 
-def cv_l1_refine(tbl, outcome, family_name, grid, k=5, n_refine=10, **options):
-    return selection.cross_validate_refine("l1", tbl, outcome, family_name, grid, n_refine, k=k, **options)
+def cv_l1_refine(tbl, outcome, family_name, grid, k=5, n_refine=10, *args, **options):
+    return selection.cross_validate_refine("l1", tbl, outcome, family_name, grid, k, n_refine, *args, **options)
 
 
-def cv_power_refine(tbl, outcome, grid, k=5, n_refine=10, **options):
-    return selection.cross_validate_refine("power", tbl, outcome, "tweedie", grid, n_refine, k=k, **options)
+def cv_power_refine(tbl, outcome, grid, k=5, n_refine=10, *args, **options):
+    return selection.cross_validate_refine("power", tbl, outcome, "tweedie", grid, k, n_refine, *args, **options)
 
 
-def cv_alpha_refine(tbl, outcome, grid, k=5, n_refine=10, **options):
-    return selection.cross_validate_refine("alpha", tbl, outcome, "nbinom", grid, n_refine, k=k, **options)
+def cv_alpha_refine(tbl, outcome, grid, k=5, n_refine=10, *args, **options):
+    return selection.cross_validate_refine("alpha", tbl, outcome, "nbinom", grid, k, n_refine, *args, **options)

@@ -193,7 +193,7 @@ def fit(fam: Family, source: DataFrame | str, outcome: str, max_iter: int = 5000
     df = table(source)
     design = Design(df, outcome, fam, offset_col, weights_col)
     try:
-        beta = None if solver == "gd" else irls(design, fam, l1, l2, tol, min(max_iter, 200), solver == "irls")
+        beta = None if solver == "gd" else irls(design, fam, l1, l2, tol, max_iter, solver == "irls")
         if beta is None and solver == "irls":
             raise ModelError("irls did not converge: the system is singular or the data are separated; use solver 'auto' or l2 > 0")
         if beta is None:

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions.distributions import normal_cdf, normal_ppf, student_ppf, student_tail
 from tessera.operators.families import COLUMNS, Family, ModelError
-from tessera.operators.fitting import INTERCEPT, number
+from tessera.operators.fitting import INTERCEPT, number, quoted
 from tessera.operators.gram import cross, inverse
 from tessera.operators.scoring import coefficients, predictor
-from tessera.sources import table
+from tessera.sources import free_prefix, table
 
 SUMMARY = "feature string, coefficient double, std_error double, statistic double, p_value double, conf_low double, conf_high double"
 ROBUST = ("none", "hc0", "hc1", "hc2", "hc3")
@@ -45,14 +45,15 @@ class Fitted:
                 raise ModelError(f'{what} column "{c}" not found')
         self.names = [c for c in self.beta if c != INTERCEPT]
         weight = F.coalesce(number(self.df, weights_col, lenient=True), F.lit(1.0)) if weights_col else F.lit(1.0)
-        made = {"_y": number(self.df, outcome, lenient=True), "_mu": fam.mean(predictor(self.beta, self.df, offset_col), COLUMNS), "_a": weight}
-        made |= {f"_x{i}": number(self.df, c, lenient=True) if c in self.df.columns else F.lit(None).cast("double") for i, c in enumerate(self.names)}
+        own = free_prefix(self.df)
+        made = {f"{own}y": number(self.df, outcome, lenient=True), f"{own}mu": fam.mean(predictor(self.beta, self.df, offset_col), COLUMNS), f"{own}a": weight}
+        made |= {f"{own}x{i}": number(self.df, c, lenient=True) if c in self.df.columns else F.lit(None).cast("double") for i, c in enumerate(self.names)}
         self.made = [*made]
         if cluster_col:
-            made["_c"] = F.col(cluster_col)
+            made[f"{own}c"] = F.col(quoted(cluster_col))
         self.rows = self.df.withColumns(made).dropna(subset=self.made)
-        self.xs = [F.col(f"_x{i}") for i in range(len(self.names))]
-        self.y, self.mu, self.a = F.col("_y"), F.col("_mu"), F.col("_a")
+        self.cluster, self.xs = f"{own}c", [F.col(f"{own}x{i}") for i in range(len(self.names))]
+        self.y, self.mu, self.a = (F.col(f"{own}{c}") for c in ("y", "mu", "a"))
         self.d = len(self.names) + 1
         pearson = self.a * (self.y - self.mu) * (self.y - self.mu) / fam.variance(self.mu, COLUMNS)
         weights = [self.a * fam.information(self.mu, COLUMNS), self.a * fam.observed(self.y, self.mu, COLUMNS)]
@@ -74,7 +75,7 @@ class Fitted:
             return None
         score = self.fam.score(self.y, self.mu, COLUMNS)
         if clustered:
-            sums = self.rows.groupBy("_c").agg(*[F.sum(self.a * score * (x if i else 1.0)).alias(f"_g{i}") for i, x in enumerate([F.lit(1.0), *self.xs])])
+            sums = self.rows.groupBy(self.cluster).agg(*[F.sum(self.a * score * (x if i else 1.0)).alias(f"_g{i}") for i, x in enumerate([F.lit(1.0), *self.xs])])
             pairs = [(i, j) for i in range(self.d) for j in range(i, self.d)]
             row = sums.agg(F.count("*"), *[F.sum(F.col(f"_g{i}") * F.col(f"_g{j}")) for i, j in pairs]).first()
             meat = np.zeros((self.d, self.d))
@@ -119,13 +120,12 @@ def predict_ci(fam: Family, model, source, outcome: str, newdata=None, conf_leve
     if clash := {c.lower() for c in df.columns} & {"prediction", "conf_low", "conf_high"}:
         raise ModelError(f'the table already has a "{min(clash)}" column')
     cov, eta = f.covariance(), predictor(f.beta, df, offset_col)
-    out = df.withColumn("_eta", eta)
     xs = [number(df, c, lenient=True) if c in df.columns else F.lit(None).cast("double") for c in f.names]
     reach = F.lit(None).cast("double") if cov is None else f.critical(conf_level) * F.sqrt(F.greatest(quadratic(xs, cov), F.lit(0.0)))
-    out = out.withColumn("_reach", reach)
+    own = free_prefix(df)
+    out, at, by = df.withColumns({f"{own}eta": eta, f"{own}reach": reach}), F.col(f"{own}eta"), F.col(f"{own}reach")
     mean = lambda e: fam.mean(e, COLUMNS, clamp=False)
-    out = out.withColumns({"prediction": mean(F.col("_eta")), "conf_low": mean(F.col("_eta") - F.col("_reach")), "conf_high": mean(F.col("_eta") + F.col("_reach"))})
-    return out.drop("_eta", "_reach")
+    return out.withColumns({"prediction": mean(at), "conf_low": mean(at - by), "conf_high": mean(at + by)}).drop(f"{own}eta", f"{own}reach")
 
 
 def influence(fam: Family, model, source, outcome: str, offset_col: str | None = None, weights_col: str | None = None) -> DataFrame:

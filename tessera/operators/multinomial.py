@@ -15,7 +15,11 @@ from tessera.operators.families import ModelError
 from tessera.operators.fitting import INTERCEPT, check_names, number
 from tessera.operators.gram import inverse
 from tessera.operators.inference import SUMMARY, _level
-from tessera.sources import table
+from tessera.sources import free_prefix, table
+
+
+#: The Hessian has the square of classes x features as its size; a column with more labels is no class label.
+MOST_CLASSES = 1000
 
 
 def _sums(rows: DataFrame, beta: np.ndarray, mean: np.ndarray, sd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +63,9 @@ def fit(source, outcome: str, max_iter: int = 50000, learning_rate: float | None
     if not features:
         raise ModelError("no feature columns")
     rows = df.select(F.col(outcome).cast("string").alias("label"), F.array(*[number(df, c) for c in features]).alias("x")).where("label is not null and not exists(x, v -> v is null)")
-    classes = sorted(r[0] for r in rows.select("label").distinct().collect())
+    classes = sorted(r[0] for r in rows.select("label").distinct().limit(MOST_CLASSES + 1).collect())
+    if len(classes) > MOST_CLASSES:
+        raise ModelError(f"the outcome has more than {MOST_CLASSES} classes")
     if len(classes) < 2:
         raise ModelError("the outcome needs at least 2 distinct classes")
     rows = rows.select((F.array_position(F.array(*map(F.lit, classes)), F.col("label")) - 1).cast("int").alias("k"), "x").persist(StorageLevel.MEMORY_AND_DISK)
@@ -73,7 +79,7 @@ def fit(source, outcome: str, max_iter: int = 50000, learning_rate: float | None
         beta = np.zeros((c, d))
         slope = np.tile(np.array([0.0] + [1.0] * (d - 1)), c - 1)
         active = np.tile(np.concatenate([[True], ~constant]), c - 1)
-        for _ in range(min(max_iter, 100)):
+        for _ in range(max_iter):
             g, h = _sums(rows, beta, mean, sd)
             flat = beta[1:].ravel()
             a = (h + n * l2 * np.diag(slope))[np.ix_(active, active)]
@@ -127,10 +133,11 @@ def predict(model, source) -> DataFrame:
         raise ModelError('the table already has a "pred" or "probs" column')
     classes, shares = _shares(model, df)
     names = F.array(*map(F.lit, classes))
-    out = df.withColumn("_p", shares)
-    best = F.array_position("_p", F.array_max("_p"))
-    whole = ~F.exists("_p", lambda v: v.isNull())
-    return out.withColumns({"pred": F.when(whole, F.element_at(names, best.cast("int"))), "probs": F.map_from_arrays(names, "_p")}).drop("_p")
+    p = f"{free_prefix(df)}p"
+    out = df.withColumn(p, shares)
+    best = F.array_position(p, F.array_max(p))
+    whole = ~F.exists(p, lambda v: v.isNull())
+    return out.withColumns({"pred": F.when(whole, F.element_at(names, best.cast("int"))), "probs": F.map_from_arrays(names, F.col(p))}).drop(p)
 
 
 def evaluate(model, source, outcome: str) -> DataFrame:

@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 from tessera.functions.distributions import lgamma
 from tessera.operators.families import ARRAYS, Family, ModelError, family
 from tessera.operators.fitting import Design, quoted
-from tessera.operators.gram import descend, inverse
-from tessera.sources import table, written
+from tessera.operators.gram import blocks, descend, inverse
+from tessera.sources import free_prefix, table, written
 
 
 def reg_grid(low: float, high: float, n: int, log_spaced: bool = False) -> list[float]:
@@ -60,53 +60,105 @@ def _passes(rows: DataFrame, fams: list[Family], folds: list[int | None], beta:
     return [(row[: d * d].reshape(d, d), row[d * d : -1], row[-1]) for row in out.reshape(len(fams), size)]
 
 
-def _solve(rows: DataFrame, fams: list[Family], folds: list, l1: list[float], l2: list[float], d: int, active: np.ndarray, tol: float, max_iter: int) -> np.ndarray:
+def _solve(rows: DataFrame, fams: list[Family], folds: list, l1: list[float], l2: list[float], d: int, active: np.ndarray, tol: float, max_iter: int, rate: float | None = None) -> np.ndarray:
+    """Reweighted least squares for all models at once; where any of them fails, descent for all."""
     beta = np.zeros((len(fams), d))
     free = np.array([0.0] + [1.0] * (d - 1))
-    for _ in range(min(max_iter, 100)):
+    for _ in range(max_iter):
         new = np.zeros_like(beta)
         for m, (g, s, n) in enumerate(_passes(rows, fams, folds, beta, 1.0)):
             a, b = g + n * l2[m] * np.diag(free), g @ beta[m] + s
+            if not (np.isfinite(a).all() and np.isfinite(b).all()):
+                return _descend(rows, fams, folds, l1, l2, active, tol, max_iter, rate)
             if l1[m] > 0:
                 new[m] = np.where(active, descend(a, b, n * l1[m], beta[m]), 0.0)
             else:
                 part = a[np.ix_(active, active)]
+                if fams[m].name == "logistic" and np.diag(part).max() < 1e-8 * n:
+                    return _descend(rows, fams, folds, l1, l2, active, tol, max_iter, rate)
                 inv = inverse(part)
                 new[m, active] = (np.linalg.pinv(part, rcond=1e-12, hermitian=True) if inv is None else inv) @ b[active]
         if not np.isfinite(new).all() or np.abs(new).max() >= 1e100:
-            raise ModelError("did not converge: use larger penalties")
+            return _descend(rows, fams, folds, l1, l2, active, tol, max_iter, rate)
         moved, beta = np.abs(new - beta).max(), new
         if moved < tol:
             break
     return beta
 
 
+def _descend(rows: DataFrame, fams: list[Family], folds: list, l1: list[float], l2: list[float], active: np.ndarray, tol: float, max_iter: int, rate: float | None) -> np.ndarray:
+    """Accelerated proximal gradient descent for all models at once, one pass a step."""
+    d, free = len(active), np.array([0.0] + [1.0] * (len(active) - 1))
+    step = rate or (4 / (d + 4 * max(l2)) if fams[0].name == "logistic" else 1 / (d + max(l2)))
+    packed = blocks(rows, [F.col("y"), F.col("fold").cast("double"), *[F.col("x")[i] for i in range(d - 1)]]).persist(StorageLevel.MEMORY_AND_DISK)
+    beta = before = np.zeros((len(fams), d))
+    try:
+        for it in range(max_iter):
+            look = beta + it / (it + 3) * (beta - before)
+
+            def partial(found, look=look):
+                total, peak = np.zeros((len(fams), d + 1)), np.ones(len(fams))
+                for raw, width in found:
+                    block = np.frombuffer(raw).reshape(-1, width)
+                    y, fold = block[:, 0], block[:, 1]
+                    x = np.hstack([np.ones((len(y), 1)), block[:, 2:]])
+                    for m, (fam, out) in enumerate(zip(fams, folds, strict=True)):
+                        use = np.ones(len(y), bool) if out is None else fold != out
+                        mu = fam.mean(x[use] @ look[m], ARRAYS)
+                        total[m] += np.append(x[use].T @ fam.score(y[use], mu, ARRAYS), use.sum())
+                        if fam.log_link and use.any():
+                            peak[m] = max(peak[m], fam.observed(y[use], mu, ARRAYS).max())
+                yield total, peak
+
+            total, peak = packed.mapPartitions(partial).treeReduce(lambda p, q: (p[0] + q[0], np.maximum(p[1], q[1])))
+            pace = (step / peak)[:, None]
+            new = look + pace * (total[:, :d] / np.maximum(total[:, d:], 1) - np.array(l2)[:, None] * free * look)
+            new = np.sign(new) * np.maximum(np.abs(new) - pace * np.array(l1)[:, None] * free, 0.0) * active
+            moved, before, beta = np.abs(new - look).max(), beta, new
+            if not np.isfinite(new).all():
+                raise ModelError("did not converge: use larger penalties")
+            if moved < tol:
+                break
+    finally:
+        packed.unpersist()
+    return beta
+
+
 class _Prepared:
     """Complete rows with globally standardized features, the scaled outcome and the fold."""
 
     def __init__(self, source, outcome: str, fam: Family, k: int, order_by: str | None, fold_col: str | None):
         df = table(source)
+        own = free_prefix(df)
+        part_col, row_col, fold = f"{own}part", f"{own}row", f"{own}fold"
         if fold_col:
-            keyed = df.withColumnRenamed(fold_col, "_fold")
+            keyed = df.withColumnRenamed(fold_col, fold)
         elif order_by:
             # rows are numbered within ranges of the key, which are then counted up; a second evaluation could cut the
             # ranges elsewhere, so both read what one job has written
-            ranged = df.repartitionByRange(quoted(order_by)).withColumn("_part", F.spark_partition_id())
-            ranged = written(ranged.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(quoted(order_by)))))
-            sizes = sorted((r["_part"], r["n"]) for r in ranged.groupBy("_part").agg(F.count("*").alias("n")).collect())
+            ranged = df.repartitionByRange(quoted(order_by)).withColumn(part_col, F.spark_partition_id())
+            ranged = written(ranged.withColumn(row_col, F.row_number().over(Window.partitionBy(part_col).orderBy(quoted(order_by)))))
+            sizes = sorted((r[part_col], r["n"]) for r in ranged.groupBy(part_col).agg(F.count("*").alias("n")).collect())
             starts, at = {}, 0
             for part, n in sizes:
                 starts[part], at = at, at + n
-            base = F.element_at(F.create_map(*[F.lit(int(v)) for kv in starts.items() for v in kv]), F.col("_part")) if starts else F.lit(0)
-            keyed = ranged.withColumn("_fold", ((base + F.col("_row") - 1) % k).cast("int")).drop("_part", "_row", order_by)
+            base = F.element_at(F.create_map(*[F.lit(int(v)) for kv in starts.items() for v in kv]), F.col(part_col)) if starts else F.lit(0)
+            keyed = ranged.withColumn(fold, ((base + F.col(row_col) - 1) % k).cast("int")).drop(part_col, row_col, order_by)
         else:
-            indexed = df.rdd.zipWithIndex().map(lambda p: (*p[0], p[1] % k))
-            keyed = df.sparkSession.createDataFrame(indexed, T.StructType([*df.schema.fields, T.StructField("_fold", T.LongType())]))
-        self.design = Design(keyed.drop("_fold"), outcome, fam)
+            # physical order: ids rise within a partition and from one to the next
+            numbered = written(df.withColumn(row_col, F.monotonically_increasing_id()))
+            sizes = sorted((r["part"], r["n"]) for r in numbered.groupBy(F.shiftright(row_col, 33).cast("int").alias("part")).agg(F.count("*").alias("n")).collect())
+            at, bases = 0, []
+            for part, n in sizes:
+                bases.append((part, at))
+                at += n
+            base = F.element_at(F.create_map(*[F.lit(int(v)) for kv in bases for v in kv]), F.shiftright(row_col, 33).cast("int")) if bases else F.lit(0)
+            keyed = numbered.withColumn(fold, ((base + F.col(row_col).bitwiseAND(F.lit((1 << 33) - 1))) % k).cast("int")).drop(row_col)
+        self.design = Design(keyed.drop(fold), outcome, fam)
         self.design.release()
         with_fold = Design(keyed, outcome, fam)  # the fold takes part as a column, to stay with its row
         with_fold.release()
-        place = with_fold.features.index("_fold")
+        place = with_fold.features.index(fold)
         x = [F.col(f"x{i}") for i in range(len(with_fold.features)) if i != place]
         d = self.design
         z = F.array(*[(c - float(m)) / float(s) for c, m, s in zip(x, d.mean, d.sd, strict=True)])
@@ -134,7 +186,7 @@ def cross_validate(sweep: str, source, outcome: str, family_name: str, grid: lis
         models = [(g, f) for g in range(len(grid)) for f in range(k)]
         inner = [fams[g].scaled(y_mean) for g, _ in models]
         penalty = {s: [grid[g] if sweep == s else 0.0 for g, _ in models] for s in ("l1", "l2")}
-        beta = _solve(p.rows, inner, [f for _, f in models], penalty["l1"], penalty["l2"], len(p.active), p.active, tol, max_iter)
+        beta = _solve(p.rows, inner, [f for _, f in models], penalty["l1"], penalty["l2"], len(p.active), p.active, tol, max_iter, learning_rate)
 
         def losses(batches):
             total = np.zeros(len(grid) + 1)
@@ -160,11 +212,11 @@ def cross_validate(sweep: str, source, outcome: str, family_name: str, grid: lis
         p.rows.unpersist()
 
 
-def cross_validate_refine(sweep: str, source, outcome: str, family_name: str, grid: list[float], n_refine: int = 10, **options) -> DataFrame:
+def cross_validate_refine(sweep: str, source, outcome: str, family_name: str, grid: list[float], k: int = 5, n_refine: int = 10, *args, **options) -> DataFrame:
     """A second sweep around the best point of the first; of equal points the first in the grid is best."""
-    first = cross_validate(sweep, source, outcome, family_name, grid, **options).collect()
+    first = cross_validate(sweep, source, outcome, family_name, grid, k, *args, **options).collect()
     best = min(first, key=lambda r: r["cv_deviance"])[sweep]
-    return cross_validate(sweep, source, outcome, family_name, refined([float(g) for g in grid], best, n_refine), **options)
+    return cross_validate(sweep, source, outcome, family_name, refined([float(g) for g in grid], best, n_refine), k, *args, **options)
 
 
 def nbinom_dispersion(source, outcome: str, alpha_grid: list[float], max_iter: int = 20000, learning_rate: float | None = None, tol: float = 1e-8) -> DataFrame:
@@ -178,7 +230,7 @@ def nbinom_dispersion(source, outcome: str, alpha_grid: list[float], max_iter: i
         rows = d.rows.select((F.col("y") / d.y_mean).alias("y"), F.lit(0).alias("fold"), F.array(*d.z).alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
         active = np.concatenate([[True], ~d.constant])
         fams = [Family("nbinom", float(a)) for a in alpha_grid]
-        beta = _solve(rows, [f.scaled(d.y_mean) for f in fams], [None] * len(fams), [0.0] * len(fams), [0.0] * len(fams), len(active), active, tol, max_iter)
+        beta = _solve(rows, [f.scaled(d.y_mean) for f in fams], [None] * len(fams), [0.0] * len(fams), [0.0] * len(fams), len(active), active, tol, max_iter, learning_rate)
         y = F.col("y")
         sums = []
         for a, b in zip(alpha_grid, beta, strict=True):
@@ -194,9 +246,13 @@ def nbinom_dispersion(source, outcome: str, alpha_grid: list[float], max_iter: i
         d.release()
 
 
-def nbinom_dispersion_refine(source, outcome: str, alpha_grid: list[float], n_refine: int = 10, **options) -> DataFrame:
-    best = max(nbinom_dispersion(source, outcome, alpha_grid, **options).collect(), key=lambda r: r["loglik"])["alpha"]
-    return nbinom_dispersion(source, outcome, refined([float(a) for a in alpha_grid], best, n_refine), **options)
+def nbinom_dispersion_refine(source, outcome: str, alpha_grid: list[float], n_refine: int = 10, *args, **options) -> DataFrame:
+    best = max(nbinom_dispersion(source, outcome, alpha_grid, *args, **options).collect(), key=lambda r: r["loglik"])["alpha"]
+    return nbinom_dispersion(source, outcome, refined([float(a) for a in alpha_grid], best, n_refine), *args, **options)
+
+
+#: Every level becomes a column; a column with more is an identifier.
+MOST_LEVELS = 5000
 
 
 def _levels(df: DataFrame, outcome: str) -> dict[str, list[str]]:
@@ -204,6 +260,9 @@ def _levels(df: DataFrame, outcome: str) -> dict[str, list[str]]:
     names = sorted(f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name != outcome)
     if not names:
         return {}
+    counts = df.agg(*[F.approx_count_distinct(quoted(c)) for c in names]).first()
+    if large := [c for c, n in zip(names, counts, strict=True) if n > MOST_LEVELS]:
+        raise ModelError(f"column {large[0]!r} has more than {MOST_LEVELS} levels; drop it or group its levels")
     row = df.agg(*[F.array_sort(F.collect_set(quoted(c))).alias(f"c{i}") for i, c in enumerate(names)]).first()
     return {c: list(row[i])[1:] for i, c in enumerate(names)}
 

@@ -22,7 +22,7 @@ DESIGNS = {
     "linreg": f"select l_orderkey * 10 + l_linenumber as key, l_extendedprice * (1 - l_discount) / 10000 as y, l_extendedprice / 10000 as x, {PLAIN} from lineitem",
     "logit": f"select l_orderkey * 10 + l_linenumber as key, case when l_extendedprice * (1 - l_discount) / 1000 + l_linenumber * 5 > 60 then cast(1 as double) else cast(0 as double) end as y, l_extendedprice / 10000 as x, {PLAIN} from lineitem",
     "poisson": COUNTS.format(extra=PLAIN),
-    "gamma": f"select event_id as key, value as y, cast(user_id % 7 as double) as x, {PLAIN} from events",
+    "gamma": f"select event_id as key, value as y, cast(user_id % 7 as double) as x, {PLAIN} from events where value > 0",
     "tweedie": f"select event_id as key, case when event_type = 'purchase' then value else cast(0 as double) end as y, cast(event_id % 5 as double) as x, {PLAIN} from events",
     "nbinom": f"select user_id as key, cast(count(*) as double) as y, cast(user_id % 10 as double) as x, {PLAIN} from events group by user_id",
 }
@@ -77,9 +77,9 @@ for _kind, _design in DESIGNS.items():
     for _task in ("fit", "predict", "evaluate", "summary", "predict_ci", "influence"):
         _columns = _Z[: 4 if sql.FAMILIES[_kind]["phi"] else 6] if _task == "summary" else ()
         QUERIES[f"{_kind}_{_task}__{_name}"] = partial(run, _kind, _task, _design, columns=_columns)
-        if _task != "predict_ci" or not sql.FAMILIES[_kind]["phi"]:
-            ORACLES[f"{_kind}_{_task}__{_name}"] = getattr(sql, _task)(_kind, _design)
-    QUERIES[f"{_kind}_summary__full"] = partial(run, _kind, "summary", _design)  # p-values and t bands: rows only
+        ORACLES[f"{_kind}_{_task}__{_name}"] = getattr(sql, _task)(_kind, _design)
+    QUERIES[f"{_kind}_summary__full"] = partial(run, _kind, "summary", _design)
+    ORACLES[f"{_kind}_summary__full"] = sql.full_summary(_kind, _design)
 for _what, _design, _options in (("offset", OFFSET, {"offset_col": "o"}), ("weights", WEIGHTS, {"weights_col": "a"})):
     for _task in ("fit", "summary"):
         QUERIES[f"poisson_{_task}__{_what}"] = partial(run, "poisson", _task, _design, options=_options, columns=_Z)
@@ -138,8 +138,15 @@ def multinom_events(spark, sf_dir):
     return rounded(api.multinom_fit(df, "y"))
 
 
+#: Designs whose keys are unique, so that the rows' order, and with it the folds, is.
+_KEYED = DESIGNS | {
+    "linreg": f"select p_partkey as key, p_retailprice / 100 + p_size % 7 as y, p_retailprice / 100 as x, {PLAIN} from part",
+    "logit": f"select o_orderkey as key, case when o_totalprice / 1000 + o_orderkey % 97 > 200 then cast(1 as double) else cast(0 as double) end as y, o_totalprice / 100000 as x, {PLAIN} from orders",
+}
+
+
 def _numbered(spark, sf_dir, kind):
-    return rows(spark, sf_dir, DESIGNS[kind]).select("key", "x", "y")
+    return rows(spark, sf_dir, _KEYED[kind]).select("key", "x", "y")
 
 
 _FOLD = f"""with d as ({DESIGNS["gamma"]}), n as (select *, (row_number() over (order by key) - 1) % 5 as fold from d),
@@ -152,15 +159,63 @@ def cv_l2_zero(spark, sf_dir):
     return rounded(api.cv_l2(_numbered(spark, sf_dir, "gamma"), "y", "linear", [0.0], order_by="key"))
 
 
-for _name, _kind, _args in (
-    ("cv_l2", "poisson", ("poisson", [0.0, 0.1, 1.0])), ("cv_l1", "logit", ("logistic", [0.0, 0.01, 0.1])), ("cv_power", "tweedie", ([1.2, 1.5, 1.8],)), ("cv_alpha", "nbinom", ([0.1, 0.5, 1.0],)),
-    ("cv_l2_refine", "linreg", ("linear", [0.0, 0.1, 1.0])), ("cv_l1_refine", "linreg", ("linear", [0.0, 0.1, 1.0])), ("cv_power_refine", "tweedie", ([1.2, 1.5, 1.8],)), ("cv_alpha_refine", "nbinom", ([0.1, 0.5, 1.0],)),
-):
-    _query(f"{_name}__{_kind}")(lambda spark, sf_dir, n=_name, k=_kind, a=_args: rounded(getattr(api, n)(_numbered(spark, sf_dir, k), "y", *a, order_by="key")))
+_SWEEPS = (
+    ("cv_l2", "poisson", "poisson", [0.0, 0.1, 1.0]), ("cv_l1", "logit", "logistic", [0.0, 0.01, 0.1]), ("cv_power", "tweedie", "tweedie", [1.2, 1.5, 1.8]), ("cv_alpha", "nbinom", "nbinom", [0.1, 0.5, 1.0]),
+    ("cv_l2_refine", "linreg", "linear", [0.0, 0.1, 1.0]), ("cv_l1_refine", "linreg", "linear", [0.0, 0.1, 1.0]), ("cv_power_refine", "tweedie", "tweedie", [1.2, 1.5, 1.8]), ("cv_alpha_refine", "nbinom", "nbinom", [0.1, 0.5, 1.0]),
+)
+for _name, _kind, _family, _grid in _SWEEPS:
+    _args = (_grid,) if "power" in _name or "alpha" in _name else (_family, _grid)
+    _query(f"{_name}__{_kind}", sql.cv(_name.split("_")[1], _family, _KEYED[_kind], _grid, 10 if "refine" in _name else 0))(
+        lambda spark, sf_dir, n=_name, k=_kind, a=_args: rounded(getattr(api, n)(_numbered(spark, sf_dir, k), "y", *a, order_by="key"))
+    )
 for _name in ("nbinom_dispersion", "nbinom_dispersion_refine"):
-    _query(f"{_name}__events")(lambda spark, sf_dir, n=_name: rounded(getattr(api, n)(_numbered(spark, sf_dir, "nbinom").select("x", "y"), "y", [0.01, 0.1, 0.5, 1.0])))
-for _name, _options in (("l1", {"l1": 0.01}), ("l2", {"l2": 0.1}), ("gd", {"solver": "gd"})):
-    _query(f"logit_fit__{_name}")(lambda spark, sf_dir, o=_options: rounded(_model("logit", rows(spark, sf_dir, DESIGNS["logit"]), **{k: v for k, v in o.items() if k != "solver"}) if "solver" not in o else api.logit_fit(rows(spark, sf_dir, DESIGNS["logit"]).select("x", "y"), "y", solver="gd"), coefficient=4))
+    _query(f"{_name}__events", sql.dispersion(DESIGNS["nbinom"], [0.01, 0.1, 0.5, 1.0], 10 if "refine" in _name else 0))(
+        lambda spark, sf_dir, n=_name: rounded(getattr(api, n)(_numbered(spark, sf_dir, "nbinom").select("x", "y"), "y", [0.01, 0.1, 0.5, 1.0]))
+    )
+for _name, _options, _oracle in (
+    ("l1", {"l1": 0.01}, sql.penalized("logistic", "l1", 0.01, DESIGNS["logit"], 4)), ("l2", {"l2": 0.1}, sql.penalized("logistic", "l2", 0.1, DESIGNS["logit"], 4)),
+    ("gd", {"solver": "gd"}, sql.penalized("logistic", "", 0.0, DESIGNS["logit"], 4)),
+):
+    _query(f"logit_fit__{_name}", _oracle)(lambda spark, sf_dir, o=_options: rounded(api.logit_fit(rows(spark, sf_dir, DESIGNS["logit"]).select("x", "y"), "y", **o), coefficient=4))
+
+
+#: Three classes and a 0/1 feature: the model is saturated, so its estimates follow from the counts of the six cells.
+_THREE = "select l_orderkey * 10 + l_linenumber as key, l_returnflag as y, case when l_linenumber > 3 then cast(1 as double) else cast(0 as double) end as x from lineitem"
+_CELLS = f"with d as ({_THREE}), n as (select y, count(*) filter (where x = 0) as n0, count(*) filter (where x = 1) as n1 from d group by y), f as (select * from n order by y limit 1)"
+
+
+def _three(spark, sf_dir):
+    df = rows(spark, sf_dir, _THREE)
+    return df, api.multinom_fit(df.drop("key"), "y")
+
+
+@_query("multinom_fit__three_classes", f"{_CELLS} select n.y as class, '(Intercept)' as feature, round(ln(n.n0 / f.n0), 6) + 0.0 as coefficient from n, f union all select n.y, 'x', round(ln(n.n1 / f.n1) - ln(n.n0 / f.n0), 6) + 0.0 from n, f")
+def multinom_three(spark, sf_dir):
+    return rounded(_three(spark, sf_dir)[1])
+
+
+_SHARES = f"{_CELLS}, p as (select y, n0 / sum(n0) over () as p0, n1 / sum(n1) over () as p1 from n)"
+
+
+@_query("multinom_predict__three_classes", f"{_SHARES} select key, (select max_by(y, case when d.x = 0 then p0 else p1 end) from p) as pred, round((select max(case when y = 'R' then case when d.x = 0 then p0 else p1 end end) from p), 6) as p_r from d")
+def multinom_predict_three(spark, sf_dir):
+    df, model = _three(spark, sf_dir)
+    return api.multinom_predict(model, df).select("key", "pred", F.round(F.col("probs")["R"], 6).alias("p_r"))
+
+
+@_query("multinom_evaluate__three_classes", f"{_SHARES} select cast(sum(n0 + n1) as bigint) as n, round((max(n0) + max(n1)) / sum(n0 + n1), 6) as accuracy, round(-sum(n0 * ln(p0) + n1 * ln(p1)) / sum(n0 + n1), 6) as log_loss from n join p using (y)")
+def multinom_evaluate_three(spark, sf_dir):
+    df, model = _three(spark, sf_dir)
+    return rounded(api.multinom_evaluate(model, df.drop("key"), "y"))
+
+
+@_query("multinom_summary__three_classes", f"""{_CELLS}, r as (
+  select n.y as class, '(Intercept)' as feature, ln(n.n0 / f.n0) as b, sqrt(1 / n.n0 + 1 / f.n0) as se from n, f where n.y <> f.y
+  union all select n.y, 'x', ln(n.n1 / f.n1) - ln(n.n0 / f.n0), sqrt(1 / n.n0 + 1 / f.n0 + 1 / n.n1 + 1 / f.n1) from n, f where n.y <> f.y)
+select class, feature, round(b, 6) + 0.0 as coefficient, round(se, 6) as std_error, round(b / se, 4) + 0.0 as statistic, round(2 * {sql.normal_tail("abs(b / se)")}, 6) + 0.0 as p_value, round(b - {sql.Z} * se, 6) + 0.0 as conf_low, round(b + {sql.Z} * se, 6) + 0.0 as conf_high from r""")
+def multinom_summary_three(spark, sf_dir):
+    df, model = _three(spark, sf_dir)
+    return rounded(api.multinom_summary(model, df.drop("key"), "y"), statistic=4)
 
 
 @_query("reg_grid__log", "select i, round(exp(ln(0.01) + (ln(10) - ln(0.01)) * i / 3.0), 9) as v from range(4) t(i)")
@@ -168,17 +223,19 @@ def grid(spark, sf_dir):
     return spark.createDataFrame([(i, round(v, 9)) for i, v in enumerate(api.reg_grid(0.01, 10, 4, log_spaced=True))], "i long, v double")
 
 
-#: Reference values of the distributions to nine digits.
-_POINTS = [("norm_cdf", 1.0, None, 0.841344746), ("norm_cdf", -2.5, None, 0.006209665), ("norm_ppf", 0.975, None, 1.959963985), ("norm_ppf", 0.01, None, -2.326347874), ("t_cdf", 2.0, 5.0, 0.949030261), ("t_cdf", 0.0, 5.0, 0.5), ("t_ppf", 0.975, 1.0, 12.706204736), ("t_ppf", 0.975, 10.0, 2.228138852)]
-for _fn in ("norm_cdf", "norm_ppf", "t_cdf", "t_ppf"):
-    _given = [(p, df, v) for f, p, df, v in _POINTS if f == _fn]
+#: Where the distribution functions are compared: (argument, degrees of freedom).
+_POINTS = {
+    "norm_cdf": [(x / 4, None) for x in range(-24, 25, 3)], "norm_ppf": [(x / 1000, None) for x in (1, 10, 25, 100, 300, 500, 750, 975, 999)],
+    "t_cdf": [(x / 4, float(df)) for df in (1, 2, 5, 30, 101) for x in range(-20, 21, 5)], "t_ppf": [(x / 1000, float(df)) for df in (1, 2, 10, 57) for x in (10, 100, 500, 800, 975)],
+}
+for _fn, _given in _POINTS.items():
 
     def _points(spark, sf_dir, fn=_fn, given=_given):
-        df = spark.createDataFrame([(p, d) for p, d, _ in given], "p double, df double")
+        df = spark.createDataFrame(given, "p double, df double")
         args = [F.col("p")] if fn.startswith("norm") else [F.col("p"), F.col("df")]
-        return df.select("p", F.round(getattr(distributions, fn)(*args), 9).alias("v"))
+        return df.select("p", (F.round(getattr(distributions, fn)(*args), 9) + 0.0).alias("v"))
 
-    _query(f"{_fn}__points", " union all ".join(f"select cast({p} as double) as p, cast({v} as double) as v" for p, _, v in _given))(_points)
+    _query(f"{_fn}__points", sql.points(_fn, _given).replace(", 9) as v", ", 9) + 0.0 as v"))(_points)
 
 
 @_query("dummy_encode__priority", """select o_orderkey, """ + ", ".join(f"""cast(o_orderpriority = '{v}' as int) as "o_orderpriority_{v}" """ for v in ("2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")) + " from orders")

@@ -56,6 +56,37 @@ def _cov(kind: str, bread: str = "w") -> str:
 c as (select n, s11 / (s00 * s11 - s01 * s01) as i00, -s01 / (s00 * s11 - s01 * s01) as i01, s00 / (s00 * s11 - s01 * s01) as i11, {"chi / (n - 2)" if f["phi"] else "1.0"} as phi from g)"""
 
 
+def normal_tail(z: str) -> str:
+    """P(Z > z) for z >= 0, from the series of odd powers over odd factorials."""
+    term = f"exp((2 * k + 1) * ln(greatest({z}, 1e-300)) - (lgamma(2 * k + 2) - k * ln(2) - lgamma(k + 1)))"
+    return f"(case when {z} > 8 then 0.0 else 0.5 - exp(-{z} * {z} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 200), lambda k: {term})) end)"
+
+
+def student_inside(t: str, nu: str) -> str:
+    """P(|T| < t) for t >= 0 and whole degrees of freedom, from the finite series in the cosine of atan(t / sqrt(nu))."""
+    angle = f"atan({t} / sqrt({nu}))"
+    even = f"list_sum(list_transform(range(0, cast({nu} // 2 as bigint)), lambda k: exp(lgamma(2 * k + 1) - 2 * lgamma(k + 1) - 2 * k * ln(2) + 2 * k * ln(cos({angle})))))"
+    odd = f"coalesce(list_sum(list_transform(range(0, cast(({nu} - 1) // 2 as bigint)), lambda k: exp(2 * k * ln(2) + 2 * lgamma(k + 1) - lgamma(2 * k + 2) + (2 * k + 1) * ln(cos({angle}))))), 0.0)"
+    return f"(case when {nu} % 2 = 0 then sin({angle}) * {even} else 2 / pi() * ({angle} + sin({angle}) * {odd}) end)"
+
+
+def _critical(nu: str) -> str:
+    """Student's 0.975 quantile from the normal one (the expansion in 1 / nu, exact to double precision beyond some hundred)."""
+    z = Z
+    terms = ((z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384, (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160)
+    return f"({z}" + "".join(f" + {c} / ({nu}) ** {i}" for i, c in enumerate(terms, 1)) + ")"
+
+
+def full_summary(kind: str, data: str) -> str:
+    """All columns, with p-values and Student's band where the dispersion is estimated."""
+    phi = FAMILIES[kind]["phi"]
+    crit = _critical("nu") if phi else str(Z)
+    p = f"1 - {student_inside('abs(b / se)', 'nu')}" if phi else f"2 * {normal_tail('abs(b / se)')}"
+    return f"""{fit_cte(kind, data)}{_cov(kind)}, r as (
+  select '(Intercept)' as feature, b0 as b, sqrt(phi * i00) as se, cast(n - 2 as bigint) as nu from beta, c union all select 'x', b1, sqrt(phi * i11), cast(n - 2 as bigint) from beta, c)
+select feature, round(b, 6) + 0.0 as coefficient, round(se, 6) as std_error, round(b / se, 4) + 0.0 as statistic, round({p}, 6) + 0.0 as p_value, round(b - {crit} * se, 6) + 0.0 as conf_low, round(b + {crit} * se, 6) + 0.0 as conf_high from r"""
+
+
 def summary(kind: str, data: str, robust: str = "none") -> str:
     f, band = FAMILIES[kind], f", round(b - {Z} * se, 6) as conf_low, round(b + {Z} * se, 6) as conf_high"
     if robust == "none":
@@ -78,8 +109,9 @@ from (select '(Intercept)' as feature, b0 as b, sqrt(v0) as se from beta, v unio
 
 def predict_ci(kind: str, data: str) -> str:
     inv = FAMILIES[kind]["mu"]
-    low, high = (inv.format(eta=f"eta {sign} {Z} * se") for sign in "-+")
-    return f"{fit_cte(kind, data)}{_cov(kind)} select key, round(mu, 6) as prediction, round({low}, 6) as conf_low, round({high}, 6) as conf_high from (select m.*, o + b0 + b1 * x as eta, sqrt(phi * (i00 + 2 * i01 * x + i11 * x * x)) as se from m, c)"
+    crit = _critical("n - 2") if FAMILIES[kind]["phi"] else Z
+    low, high = (inv.format(eta=f"eta {sign} {crit} * se") for sign in "-+")
+    return f"{fit_cte(kind, data)}{_cov(kind)} select key, round(mu, 6) as prediction, round({low}, 6) as conf_low, round({high}, 6) as conf_high from (select m.*, c.n, o + b0 + b1 * x as eta, sqrt(phi * (i00 + 2 * i01 * x + i11 * x * x)) as se from m, c)"
 
 
 def influence(kind: str, data: str) -> str:
@@ -110,3 +142,92 @@ from (select *, n * (p * ln(p) + (1 - p) * ln(1 - p)) as ll0 from s)"""
     if ll != "0.0":
         out += ", round(-2 * ll + 4, 4) as aic, round(-2 * ll + 2 * ln(n), 4) as bic"
     return f"{out} from (select count(*) as n, sqrt(sum((y - mu) * (y - mu)) / count(*)) as rmse, avg(abs(y - mu)) as mae, sum({f['dev']}) as dev, sum({null}) as null_dev, sum((y - mu) * (y - mu) / ({f['v']})) as chi, sum({ll}) as ll from m)"
+
+
+#: Mean, weight and score on the solver's scale (outcomes over their mean), and deviance on the data's own, for a swept value v.
+_SWEPT = {
+    "linear": ("eta", "1.0", "t - mu", "pow((t - mu) * ys, 2)"),
+    "logistic": ("1 / (1 + exp(-eta))", "mu * (1 - mu)", "t - mu", "-2 * (y * ln(greatest(mu, 1e-15)) + (1 - y) * ln(greatest(1 - mu, 1e-15)))"),
+    "poisson": ("exp(eta)", "mu", "t - mu", "2 * (case when y > 0 then y * ln(t / mu) else 0 end - (y - mu * ym))"),
+    "tweedie": ("exp(eta)", "pow(mu, 2 - v)", "(t - mu) * pow(mu, 1 - v)", "2 * (case when y > 0 then pow(y, 2 - v) / ((1 - v) * (2 - v)) else 0 end - y * pow(mu * ym, 1 - v) / (1 - v) + pow(mu * ym, 2 - v) / (2 - v))"),
+    "nbinom": ("exp(eta)", "mu / (1 + v * ym * mu)", "(t - mu) / (1 + v * ym * mu)", "2 * (case when y > 0 then y * ln(t / mu) else 0 end - (y + 1 / v) * ln((1 + v * y) / (1 + v * mu * ym)))"),
+}
+
+
+def _rows(family: str, data: str) -> str:
+    """CTEs d, s (means and deviations) and z: fold, y, standardized feature z, the solver's outcome t."""
+    t = {"linear": "(y - ym) / ys", "logistic": "y"}.get(family, "y / ym")
+    return f"""d as ({data}), s as (select avg(y) as ym, stddev_pop(y) as ys, avg(x) as xm, stddev_pop(x) as xs from d),
+z as (select (row_number() over (order by key) - 1) % 5 as fold, y, (x - xm) / xs as z, {t} as t, ym, ys from d, s)"""
+
+
+def _solved(family: str, grid: str, name: str, folds: str, sweep: str = "", steps: int = 20) -> str:
+    """CTE ``name`` (i, v, m, b0, b1): for each value v of ``grid`` and fold m the model of all other rows after i steps;
+    the slope takes the ridge or soft threshold of the sweep."""
+    mu, w, r, _ = _SWEPT[family]
+    ridge, cut = ("n * v" if sweep == "l2" else "0.0"), ("n * v" if sweep == "l1" else "0.0")
+    return f"""{name} as (
+  select 0 as i, cast(v as double) as v, m, cast(0 as double) as b0, cast(0 as double) as b1 from {grid}, {folds}
+  union all
+  select i + 1, v, m, (s00 * b0 + s01 * b1 + r0 - s01 * slope) / s00, slope
+  from (select *, sign(q) * greatest(abs(q) - {cut}, 0) / (s11 + {ridge} - s01 * s01 / s00) as slope
+    from (select *, s01 * b0 + s11 * b1 + r1 - s01 * (s00 * b0 + s01 * b1 + r0) / s00 as q
+      from (select i, v, m, b0, b1, count(*) as n, sum({w}) as s00, sum({w} * z) as s01, sum({w} * z * z) as s11, sum({r}) as r0, sum(({r}) * z) as r1
+        from (select *, {mu} as mu from (select i, v, m, b0, b1, z, t, ym, b0 + b1 * z as eta from {name} join z on z.fold <> m where i < {steps})) group by i, v, m, b0, b1)))
+)"""
+
+
+def _scored(family: str, solved: str, steps: int) -> str:
+    mu, _, _, dev = _SWEPT[family]
+    return f"select v, sum({dev}) / (select count(*) from z) as score from (select *, {mu} as mu from (select v, y, t, ym, ys, b0 + b1 * z as eta from {solved} join z on z.fold = m where i = {steps})) group by v"
+
+
+_FOLDS = "(select unnest(range(5)) as m)"
+
+
+def _values(grid: list[float]) -> str:
+    return "(select unnest([" + ", ".join(f"cast({g} as double)" for g in grid) + "]) as v)"
+
+
+def cv(sweep: str, family: str, data: str, grid: list[float], refine: int = 0) -> str:
+    """A sweep of k = 5 folds; with ``refine``, that many points between the neighbours of the best."""
+    steps = 3 if family == "linear" else 20
+    out = f"with recursive {_rows(family, data)}, {_solved(family, _values(grid), 'm1', _FOLDS, sweep, steps)}, c1 as ({_scored(family, 'm1', steps)})"
+    if refine:
+        out += f""", b as (select v as best from c1 order by score, v limit 1),
+e as (select coalesce((select max(v) from c1, b where v < best), (select best from b)) as lo, coalesce((select min(v) from c1, b where v > best), (select best from b)) as hi),
+g as (select lo + (hi - lo) * i / {refine - 1}.0 as v from e, (select unnest(range({refine})) as i)), {_solved(family, "g", "m2", _FOLDS, sweep, steps)}, c2 as ({_scored(family, "m2", steps)})"""
+    return f"{out} select round(v, 6) as {sweep}, round(score, 6) as cv_deviance from {'c2' if refine else 'c1'}"
+
+
+def _likelihoods(solved: str) -> str:
+    one = "lgamma(y + 1 / v) - lgamma(1 / v) - lgamma(y + 1) - 1 / v * ln(1 + v * mu) + y * ln(v * mu / (1 + v * mu))"
+    return f"select v, sum({one}) as score from (select v, y, exp(b0 + b1 * z) * ym as mu from {solved}, z where i = 20) group by v"
+
+
+def dispersion(data: str, grid: list[float], refine: int = 0) -> str:
+    everything = "(select -1 as m)"
+    out = f"with recursive {_rows('nbinom', data)}, {_solved('nbinom', _values(grid), 'm1', everything)}, c1 as ({_likelihoods('m1')})"
+    if refine:
+        out += f""", b as (select v as best from c1 order by score desc, v limit 1),
+e as (select coalesce((select max(v) from c1, b where v < best), (select best from b)) as lo, coalesce((select min(v) from c1, b where v > best), (select best from b)) as hi),
+g as (select lo + (hi - lo) * i / {refine - 1}.0 as v from e, (select unnest(range({refine})) as i)), {_solved("nbinom", "g", "m2", everything)}, c2 as ({_likelihoods("m2")})"""
+    return f"{out} select round(v, 6) as alpha, round(score, 6) as loglik from {'c2' if refine else 'c1'}"
+
+
+def penalized(family: str, sweep: str, value: float, data: str, digits: int) -> str:
+    """Coefficients of one penalized fit on the feature's own scale (families whose outcome is not scaled)."""
+    return f"""with recursive {_rows(family, data)}, {_solved(family, _values([value]), "m1", "(select -1 as m)", sweep, 40)}
+select '(Intercept)' as feature, round(b0 - b1 * xm / xs, {digits}) + 0.0 as coefficient from m1, s where i = 40 union all select 'x', round(b1 / xs, {digits}) + 0.0 from m1, s where i = 40"""
+
+
+def points(fn: str, given: list[tuple]) -> str:
+    """A distribution function at (p, degrees of freedom), by series; quantiles by bisection of the series."""
+    rows = ", ".join(f"(cast({p} as double), {'null' if df is None else int(df)})" for p, df in given)
+    below = "case when x < 0 then {0} else 1 - {0} end"
+    cdf = below.format(normal_tail("abs(x)")) if fn.startswith("norm") else below.format(f"(1 - {student_inside('abs(x)', 'df')}) / 2")
+    if fn.endswith("cdf"):
+        return f"select x as p, round({cdf}, 9) as v from (values {rows}) g(x, df)"
+    return f"""with recursive b as (select p, df, cast(-1000 as double) as lo, cast(1000 as double) as hi, 0 as i from (values {rows}) g(p, df)
+  union all select p, df, case when f < p then x else lo end, case when f < p then hi else x end, i + 1 from (select *, {cdf} as f from (select *, (lo + hi) / 2 as x from b where i < 90)))
+select p, round((lo + hi) / 2, 9) as v from b where i = 90"""

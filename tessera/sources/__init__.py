@@ -16,6 +16,14 @@ def table(source: DataFrame | str, spark: SparkSession | None = None) -> DataFra
     return session.table(source)
 
 
+def free_prefix(df: DataFrame) -> str:
+    """A start of names that no column of ``df`` has."""
+    prefix = "_t"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "t"
+    return prefix
+
+
 def files(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -25,6 +33,8 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         base = spark.sparkContext.getCheckpointDir()
     path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"

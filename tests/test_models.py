@@ -1,5 +1,7 @@
 """Registered model queries against SQL, and the public functions against numpy on the fixed inputs."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -111,6 +113,114 @@ def test_null_rows_are_left_out(spark, lin):
     assert _coefficients(api.linreg_fit(extra, "y"))["x1"] == pytest.approx(3, abs=1e-6)
 
 
+@pytest.fixture(scope="module")
+def counts(spark):
+    return spark.range(300).selectExpr("cast(id % 9 as double) as x1", "cast((id * 7) % 11 as double) as x2", "0.1 * (id % 4) as off", "cast((id % 7) * (1 + id % 3) as double) as y")
+
+
+@pytest.mark.parametrize(("kind", "extra"), [("nbinom", "alpha"), ("tweedie", "power")])
+def test_named_parameters_keep_the_positional_ones(counts, kind, extra):
+    f = {t: getattr(api, f"{kind}_{t}") for t in ("fit", "evaluate", "summary", "predict_ci", "influence")}
+    model, table = f["fit"](counts, "y", **{extra: 1.4}, offset_col="off"), lambda df: sorted(map(tuple, df.collect()))
+    assert table(model) == table(f["fit"](counts, "y", 1.4, offset_col="off")) == table(f["fit"](counts, "y", 50000, None, 1e-10, 0.0, "off", **{extra: 1.4}))
+    assert table(f["evaluate"](model, counts, "y", "off", **{extra: 1.4})) == table(f["evaluate"](model, counts, "y", 1.4, "off")) != table(f["evaluate"](model, counts, "y", 1.4))
+    assert table(f["summary"](model, counts, "y", 0.9, "off", **{extra: 1.4})) == table(f["summary"](model, counts, "y", 1.4, 0.9, offset_col="off"))
+    assert table(f["predict_ci"](model, counts, "y", None, 0.9, "off", **{extra: 1.4})) == table(f["predict_ci"](model, counts, "y", None, 1.4, 0.9, "off"))
+    assert table(f["influence"](model, counts, "y", "off", **{extra: 1.4})) == table(f["influence"](model, counts, "y", 1.4, "off"))
+
+
+def test_user_columns_survive(spark, counts):
+    names = ["_y", "_mu", "_a", "_x0", "_c", "_eta", "_reach", "_p", "_t", "_fold", "_part", "_row"]
+    wide = counts.drop("off").selectExpr("*", *[f"x1 + {i} as {c}" for i, c in enumerate(names)])
+    model = api.poisson_fit(counts.drop("off"), "y")
+    for out in (api.poisson_influence(model, wide, "y"), api.poisson_predict_ci(model, wide, "y"), api.poisson_predict(model, wide)):
+        assert wide.columns == out.columns[: len(wide.columns)]
+        assert out.where(" or ".join(f"{c} <> x1 + {i}" for i, c in enumerate(names))).isEmpty()
+    classes = counts.selectExpr("x1", "cast(y % 3 as int) as k")
+    out = api.multinom_predict(api.multinom_fit(classes, "k"), wide)
+    assert out.where("_p <> x1 + 7").isEmpty() and wide.columns == out.columns[: len(wide.columns)]
+    assert api.cv_l2(wide.selectExpr("y", "x1", "x2", "_t", "x2 * x2 as _fold", "x1 * x1 as _row"), "y", "poisson", [0.1]).count() == 1
+
+
+def test_folds_without_a_key_follow_physical_order(spark):
+    df = spark.range(0, 10007, numPartitions=7).selectExpr("cast(id as double) as y", "rand(1) as x")
+    p = selection._Prepared(df, "y", family("linear"), 5, None, None)
+    found = p.rows.select("y", "fold").toPandas()
+    p.rows.unpersist()
+    assert (found["fold"].to_numpy() == np.rint(found["y"].to_numpy() * p.design.y_sd + p.design.y_mean) % 5).all()
+
+
+def test_separated_folds_fall_back_to_descent(spark, monkeypatch):
+    df = spark.range(200).selectExpr("id", "cast(id as double) as x", "cast(id >= 100 as double) as y")
+    taken, descend = [], selection._descend
+    monkeypatch.setattr(selection, "_descend", lambda *a: taken.append(1) or descend(*a))
+    found = api.cv_l2(df, "y", "logistic", [0.0], 2, 60, order_by="id").collect()
+    assert len(found) == 1 and 0 <= found[0]["cv_deviance"] < 0.2
+    wide = api.cv_l2(df.selectExpr("id", "x", "x as x_again", "y"), "y", "logistic", [0.5], 2, order_by="id").collect()
+    assert np.isfinite(wide[0]["cv_deviance"])
+
+
+def test_descent_matches_newton_in_folds(spark):
+    df = spark.range(400).selectExpr("id", "cast(id % 9 as double) as x1", "cast((id * 7) % 11 as double) as x2", "cast((id % 5 + id % 3) as double) as y")
+    p = selection._Prepared(df, "y", family("poisson"), 4, "id", None)
+    fams, folds, zero = [family("poisson")] * 8, [0, 1, 2, 3] * 2, [0.0] * 8
+    l2 = [0.0] * 4 + [0.2] * 4
+    newton = selection._solve(p.rows, fams, folds, zero, l2, 3, p.active, 1e-10, 50)
+    steps = selection._descend(p.rows, fams, folds, zero, l2, p.active, 1e-9, 400, None)
+    p.rows.unpersist()
+    assert steps == pytest.approx(newton, abs=1e-5)
+
+
+@pytest.mark.parametrize("kind", ("logit", "linreg", "poisson", "gamma", "tweedie", "nbinom"))
+def test_three_features_match_numpy(spark, kind):
+    """Scoring steps in numpy on raw columns, with a ridge in the scale of standardized ones left out."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 3)) * [3, 0.5, 4] + [2, -1, 10]
+    eta = 0.3 + 0.1 * x[:, 0] - 0.4 * x[:, 1] + 0.02 * x[:, 2]
+    mu = np.exp(eta)
+    y = {"logit": (rng.random(600) < 1 / (1 + np.exp(-eta))) * 1.0, "linreg": eta + rng.normal(size=600), "poisson": rng.poisson(mu), "gamma": rng.gamma(2, mu / 2), "tweedie": np.where(rng.random(600) < 0.3, 0, rng.gamma(2, mu / 2)), "nbinom": rng.poisson(rng.gamma(1, mu))}[kind]
+    df = spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y, strict=True)], "x1 double, x2 double, x3 double, y double")
+    design, beta = np.column_stack([np.ones(600), x]), np.zeros(4)
+    if kind not in ("logit", "linreg"):
+        beta[0] = np.log(y.mean())
+    for _ in range(60):
+        e = design @ beta
+        m = e if kind == "linreg" else 1 / (1 + np.exp(-e)) if kind == "logit" else np.exp(e)
+        root = np.sqrt(np.abs(m) + 1e-300)
+        w = {"logit": m * (1 - m), "linreg": 1 + 0 * m, "poisson": m, "gamma": 1 + 0 * m, "tweedie": root, "nbinom": m / (1 + m)}[kind]
+        r = {"logit": y - m, "linreg": y - m, "poisson": y - m, "gamma": y / (m + 1e-300) - 1, "tweedie": (y - m) / root, "nbinom": (y - m) / (1 + m)}[kind]
+        beta = beta + np.linalg.solve((design.T * w) @ design, design.T @ r)
+    found = _coefficients(getattr(api, f"{kind}_fit")(df, "y"))
+    assert [found[c] for c in ("(Intercept)", "x1", "x2", "x3")] == pytest.approx(beta.tolist(), abs=1e-6)
+
+
+def test_lasso_meets_its_conditions(spark):
+    """At the optimum the gradient is at most the threshold, and equal to it with the coefficient's sign where that is not 0."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(500, 4))
+    x[:, 3] = 0.9 * x[:, 0] + 0.1 * x[:, 3]
+    y = 1.5 * x[:, 0] - x[:, 1] + rng.normal(size=500)
+    df = spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y, strict=True)], "x0 double, x1 double, x2 double, x3 double, y double")
+    found = _coefficients(api.linreg_fit(df, "y", l1=0.05))
+    z, t = (x - x.mean(0)) / x.std(0), (y - y.mean()) / y.std()
+    b = np.array([found[f"x{i}"] for i in range(4)]) * x.std(0) / y.std()
+    slope = z.T @ (t - z @ b) / 500
+    assert (np.abs(slope) <= 0.05 + 1e-6).all() and np.allclose(slope[b != 0], 0.05 * np.sign(b[b != 0]), atol=1e-6)
+    assert (b == 0).any()
+
+
+@pytest.mark.parametrize(("call", "phrase"), [
+    (lambda t: api.logit_fit(t, "y"), "binary"), (lambda t: api.gamma_fit(t, "y"), "strictly positive"), (lambda t: api.linreg_fit(t, "nope"), "not found, entirely NULL"), (lambda t: api.linreg_fit(t, "y", l2=-1), "l2 must be >= 0"),
+    (lambda t: api.linreg_fit(t, "y", l1=-1), "l1 must be >= 0"), (lambda t: api.linreg_fit(t, "y", solver="x"), "solver must be"), (lambda t: api.linreg_fit(t, "y", offset_col="o"), "offset column"), (lambda t: api.linreg_fit(t, "y", weights_col="w"), "weights column"),
+    (lambda t: api.tweedie_fit(t, "y", power=0.5), "power must be >= 1"), (lambda t: api.nbinom_fit(t, "y", alpha=0), "alpha (dispersion) must be > 0"), (lambda t: api.cv_l2(t, "y", "linear", []), "grid must be non-empty"), (lambda t: api.cv_l2(t, "y", "linear", [0.1], 1), "k must be >= 2"),
+    (lambda t: api.cv_l2(t, "y", "cauchy", [0.1]), "unsupported family"), (lambda t: api.linreg_fit(t.selectExpr("y", "x1 as __reg_x"), "y"), "reserved"), (lambda t: api.linreg_fit(t.selectExpr("y", "cast(null as double) as x"), "y"), "entirely NULL"),
+    (lambda t: api.multinom_fit(t.selectExpr("1 as y", "x1"), "y"), "at least 2 distinct classes"), (lambda t: api.linreg_summary(api.linreg_fit(t, "y"), t, "y", 2.0), "conf_level"), (lambda t: api.linreg_summary(api.linreg_fit(t, "y"), t, "y", robust="hc9"), "robust must be"),
+])
+def test_errors_say_what_is_wrong(counts, call, phrase):
+    with pytest.raises(ValueError, match=re.escape(phrase)):
+        call(counts.drop("off"))
+
+
 def test_errors_are_value_errors(spark, lin):
     with pytest.raises(ValueError):
         api.linreg_fit(lin, "missing")
