@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,35 +73,136 @@ def student_ppf(p: float, df: float) -> float | None:
     return t
 
 
-def _column(fn, *args):
-    def apply(*series: pd.Series) -> pd.Series:
-        return pd.Series([None if any(pd.isna(v) for v in row) else fn(*map(float, row)) for row in zip(*series, strict=True)], dtype="float64")
+def _tail(z: np.ndarray) -> np.ndarray:
+    """P(Z > z) for z >= 0: the series of odd powers near 0, the continued fraction of Mills' ratio beyond."""
+    density = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    near = np.minimum(z, 3.0)
+    term = total = near
+    for k in range(1, 80):
+        term = term * near * near / (2 * k + 1)
+        total = total + term
+    far = np.maximum(z, 3.0)
+    ratio = far
+    for k in range(120, 0, -1):
+        ratio = far + k / ratio
+    return np.where(z < 3, 0.5 - np.exp(-near * near / 2) / math.sqrt(2 * math.pi) * total, density / ratio)
 
-    if len(args) == 1:
-        return F.pandas_udf(lambda a: apply(a), "double")(*args)
-    return F.pandas_udf(lambda a, b: apply(a, b), "double")(*args)
+
+def _normal_cdf(z: np.ndarray) -> np.ndarray:
+    half = _tail(np.abs(z))
+    return np.where(z < 0, half, 1 - half)
+
+
+def _normal_ppf(p: np.ndarray) -> np.ndarray:
+    """Newton's method in the tail's logarithm, from its leading term; the tail below one half is solved and mirrored."""
+    low = np.minimum(p, 1 - p)
+    inside = (low > 0) & (low <= 0.5)
+    q = np.where(inside, low, 0.25)
+    z = np.sqrt(np.maximum(-2 * np.log(2 * q), 0.0))
+    for _ in range(60):
+        t = _tail(z)
+        step = (np.log(t) - np.log(q)) * t * math.sqrt(2 * math.pi) * np.exp(z * z / 2)
+        z = np.maximum(z + step, 0.0)
+    z = np.where(p < 0.5, -z, z)
+    return np.select([inside, p == 0, p == 1], [z, -np.inf, np.inf], np.nan)
+
+
+#: Stirling's series (fixed values): power, coefficient.
+_STIRLING = ((1, 1 / 12), (3, -1 / 360), (5, 1 / 1260), (7, -1 / 1680), (9, 1 / 1188))
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    z = x + 8.0
+    series = (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi)
+    for k, c in _STIRLING:
+        series = series + c / z**k
+    return series - sum(np.log(x + k) for k in range(8))
+
+
+def _beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The incomplete beta function by its continued fraction, on the side where that converges fast."""
+    swap = x >= (a + 1) / (a + b + 2)
+    a, b, x = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
+    inside = np.clip(x, 1e-300, 1 - 1e-16)
+    guard = lambda v: np.where(np.abs(v) > 1e-300, v, 1e-300)
+    c, d = np.ones_like(x), 1 / guard(1 - (a + b) * inside / (a + 1))
+    h = d
+    for m in range(1, 400):
+        for top in (m * (b - m) * inside / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * inside / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / guard(1 + top * d), guard(1 + top / c)
+            h = h * d * c
+        if np.all(np.abs(d * c - 1) < 1e-15):
+            break
+    front = np.exp(_log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * np.log(inside) + b * np.log1p(-inside))
+    part = np.where(x <= 0, 0.0, front * h / a)
+    return np.where(swap, 1 - part, part)
+
+
+def _student_tail(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+    return 0.5 * _beta(df / 2, np.full_like(df, 0.5), df / (df + t * t))
+
+
+def _student_cdf(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+    half = _student_tail(np.abs(t), df)
+    return np.where(t < 0, half, 1 - half)
+
+
+def _student_ppf(p: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Newton steps kept inside a bracket, on the tail below one half."""
+    low = np.minimum(p, 1 - p)
+    inside = (low > 0) & (low <= 0.5)
+    q = np.where(inside, low, 0.25)
+    near, far = np.zeros_like(q), np.full_like(q, 2.0)
+    for _ in range(1000):
+        short = _student_tail(far, df) > q
+        if not short.any():
+            break
+        near, far = np.where(short, far, near), np.where(short, 2 * far, far)
+    log_norm = _log_gamma((df + 1) / 2) - _log_gamma(df / 2) - 0.5 * np.log(df * math.pi)
+    t = (near + far) / 2
+    for _ in range(100):
+        gap = _student_tail(t, df) - q
+        near, far = np.where(gap > 0, t, near), np.where(gap > 0, far, t)
+        step = t + gap / np.exp(log_norm - (df + 1) / 2 * np.log1p(t * t / df))
+        new = np.where((step >= near) & (step <= far), step, (near + far) / 2)
+        done = np.abs(new - t) <= 1e-15 * np.maximum(1.0, np.abs(t))
+        t = new
+        if done.all():
+            break
+    t = np.where(p < 0.5, -t, np.where(low == 0.5, 0.0, t))
+    return np.select([inside, p == 0, p == 1], [t, -np.inf, np.inf], np.nan)
+
+
+def _applied(fn, *series: pd.Series) -> pd.Series:
+    """``fn`` on whole arrays; NULL where an argument is NULL or the result is no number."""
+    columns = [s.to_numpy(float) for s in series]
+    known = ~np.any([np.isnan(c) for c in columns], axis=0)
+    out = np.full(len(known), np.nan)
+    if known.any():
+        out[known] = fn(*(c[known] for c in columns))
+    return pd.Series(out).astype(object).where(~np.isnan(out), None).astype("Float64")
 
 
 def norm_cdf(z: Column) -> Column:
-    return _column(normal_cdf, z)
+    return F.pandas_udf(lambda a: _applied(_normal_cdf, a), "double")(z)
 
 
 def norm_ppf(p: Column) -> Column:
-    return _column(normal_ppf, p)
+    return F.pandas_udf(lambda a: _applied(_normal_ppf, a), "double")(p)
 
 
 def t_cdf(t: Column, df: Column) -> Column:
-    return _column(student_cdf, t, df)
+    return F.pandas_udf(lambda a, b: _applied(_student_cdf, a, b), "double")(t, df)
 
 
 def t_ppf(p: Column, df: Column) -> Column:
-    return _column(student_ppf, p, df)
+    return F.pandas_udf(lambda a, b: _applied(_student_ppf, a, b), "double")(p, df)
 
 
 def lgamma(x: Column) -> Column:
     """log Gamma(x) for x > 0: the argument is raised by eight, where Stirling's series is exact to double precision."""
     z = x + 8.0
     series = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi)
-    for k, c in ((1, 1 / 12), (3, -1 / 360), (5, 1 / 1260), (7, -1 / 1680), (9, 1 / 1188)):
+    for k, c in _STIRLING:
         series = series + c / F.pow(z, F.lit(float(k)))
     return series - sum((F.log(x + float(k)) for k in range(1, 8)), F.log(x))

@@ -240,6 +240,13 @@ def test_stream_scoring(spark, lin, tmp_path):
     assert len(rows) == 200 and all(abs(r["prediction"] - r["y"]) < 1e-6 for r in rows)
 
 
+def test_distributions_keep_nulls_and_ends(spark):
+    df = spark.createDataFrame([(0.0, 3.0), (1.0, 3.0), (None, 3.0), (0.5, None), (0.5, 3.0), (-1.0, 3.0)], "p double, df double")
+    for found in ([r["v"] for r in df.select(f.alias("v")).collect()] for f in (distributions.norm_ppf(df["p"]), distributions.t_ppf(df["p"], df["df"]))):
+        assert found[0] == -np.inf and found[1] == np.inf and found[2] is None and found[4] == 0 and found[5] is None
+    assert df.select(distributions.t_cdf(df["p"], df["df"]).alias("v")).where("v is null").count() == 2
+
+
 def test_distributions_invert(spark):
     p = spark.createDataFrame([(x / 20,) for x in range(1, 20)], "p double")
     for forward, back in ((distributions.norm_cdf, distributions.norm_ppf),):
