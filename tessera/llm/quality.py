@@ -4,8 +4,8 @@ Texts are reduced to a few counts in one pass; nothing but those counts is shuff
 the holdout, of which one half (by hash of ``doc_id``) proposes cutoffs and the other certifies them, for each stratum
 (``lang`` here) on its own.
 
-Proposal: at step j every rule gets the strictest cutoff that rejects at most the share ``STEPS[j]`` of the first half, so
-steps grow stricter from a predeclared list. Certification: the rows of the second half that any rule rejects at step j are
+Proposal: a step of the predeclared list ``STEPS`` is a share and a margin. Every rule gets the strictest cutoff that rejects
+at most the share of the first half, times the margin: the first steps lie above all that half has, the later within it. Certification: the rows of the second half that any rule rejects at step j are
 counted, and the step holds while the exact binomial (Clopper-Pearson) upper bound on that joint rejection rate is at most
 ``risk``. Steps are tested in their fixed order up to the first failure, which needs no correction; the error probability
 ``delta`` is divided by the number of strata (Bonferroni). With probability 1 - ``delta`` all strata together therefore
@@ -36,8 +36,8 @@ _SMALL = bytes(range(97, 123))
 _POINTS = b"!?;:"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_letters", "n_points", "n_distinct")
-#: Shares of the proposing rows that a rule may reject, step by step.
-STEPS = (0.0, 0.001, 0.002, 0.005, 0.01, 0.02)
+#: Shares of the proposing rows that a rule may reject, and margins above the cutoff that does, from mild to strict.
+STEPS = ((0.0, 2.0), (0.0, 1.5), (0.0, 1.2), (0.0, 1.0), (0.001, 1.0), (0.002, 1.0), (0.005, 1.0), (0.01, 1.0), (0.02, 1.0))
 #: Cutoffs travel to the driver and to every task: a few numbers for each stratum.
 MOST_STRATA = 10_000
 #: rule -> (counted, out of)
@@ -121,11 +121,11 @@ def rate(rule: str) -> Column:
 
 
 def proposed(shares: dict[int, int]) -> list[int]:
-    """The cutoff of each step for one rule: the least share that leaves few enough rows above. ``shares``: share -> rows."""
+    """The cutoff of each step for one rule, from the least share that leaves few enough rows above. ``shares``: share -> rows."""
     values = np.array(sorted(shares))
     rows = np.array([shares[v] for v in values.tolist()])
     above = rows.sum() - np.cumsum(rows)
-    return [int(values[np.argmax(above <= int(step * rows.sum()))]) for step in STEPS]
+    return [int(margin * values[np.argmax(above <= int(step * rows.sum()))]) for step, margin in STEPS]
 
 
 def certified_step(rejected: dict[int, int], good: int, risk: float, delta: float) -> int:
