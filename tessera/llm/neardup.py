@@ -19,8 +19,9 @@
 6. Components grow by star contraction over the confirmed links.
 
 A null ``doc_id`` is linked with nothing and kept. Null and empty texts have an empty set and are linked with nothing.
-Texts of fewer words than a shingle are one shingle. Rows that share a ``doc_id`` count as one document with several
-texts; extra columns are ignored; an empty table gives an empty result.
+Texts of fewer words than a shingle are one shingle; very long texts are read whole, and their sets stand in one row. Ties
+between copies go to the smallest ``doc_id``. Rows that share a ``doc_id`` count as one document with several texts; extra
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -319,10 +320,12 @@ def link(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100)) -
     """(doc_id, n_shingles, component_id, kept) for every row; linked at part / whole or more of Jaccard similarity."""
     docs = own(docs, "doc_id", "text")
     signed = materialise(signatures(docs, n))
-    filled = signed.where("n_shingles > 0 and doc_id is not null")
-    groups = filled.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    nodes = filled.join(groups, "digest").where("doc_id = node").dropDuplicates(["node", "digest"])
-    nodes = materialise(nodes.select(F.col("doc_id").alias("id"), "n_shingles", "coords", "sketch"))
+    full = F.expr("n_shingles > 0 and doc_id is not null")
+    filled = signed.where(full)
+    # the smallest document of each set, with what is known of it: copies are counted off before the shuffle
+    groups = materialise(filled.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "coords", "sketch")).alias("node")))
+    nodes = groups.select(F.col("node.doc_id").alias("id"), "node.n_shingles", "node.coords", "node.sketch")
+    groups = groups.select("digest", F.col("node.doc_id").alias("node"))
 
     # Coordinates that collide at all, rare ones first; nodes that collide on too few of them have no link.
     matches = least_matches(COORDINATES, (similarity[0] / similarity[1]) ** WIDTH)
@@ -343,11 +346,11 @@ def link(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100)) -
     sized = sized.select("id", F.explode(F.array(F.xxhash64("key", "class"), F.xxhash64("key", F.col("class") + 1))).alias("key"))
     linker.meet(mixed.where(f"strays <= {SHORT}").union(linker.lists(sized).select(*mixed.columns)))
 
-    roots = groups.join(linker.found, F.col("node") == F.col("id"), "left").select(F.col("digest").alias("_digest"), F.coalesce("component", "node").alias("root"))
-    named = signed.join(roots, signed["digest"] == roots["_digest"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), component).alias("component_id")
-    return named.select("doc_id", "n_shingles", component).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    roots = groups.join(linker.found, F.col("node") == F.col("id"), "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    named = filled.select("doc_id", "n_shingles", "digest").join(roots, "digest", "left").select("doc_id", "n_shingles", "component_id")
+    # empty sets share a digest, and would all meet in one task
+    alone = signed.where(~full).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return named.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def dedup(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:

@@ -291,7 +291,16 @@ def test_near_duplicates_match_brute_force(spark, seed, n):
 
 
 def test_near_duplicates_of_the_tables(spark):
-    check_near(spark, texts(), 2)
+    check_near(spark, texts(MEDIUM), 2)
+
+
+def test_many_strays_in_a_list_give_the_same(spark, monkeypatch):
+    """Lists split by the size of the sets from two strays on, as otherwise from 128 on."""
+    monkeypatch.setattr(neardup, "SHORT", 2)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(70)]
+    own = {i: " ".join([w if rng.random() > 0.05 else f"x{rng.randrange(9)}" for w in base] + [f"y{i}x{k}" for k in range(i % 30)]) for i in range(150)}
+    check_near(spark, own, 2)
 
 
 def test_blocks_of_any_size_give_the_same(spark, monkeypatch):
@@ -451,8 +460,8 @@ def test_cutoffs_match_brute_force(spark):
     for s in strata:
         own = [k for k in good - base if langs[k] == s]
         first, second = ([k for k in own if half[k] == h] for h in (0, 1))
-        for step in quality.STEPS:
-            cuts = {rule: min(c for c in {share(k, rule) for k in first} if sum(share(k, rule) > c for k in first) <= int(step * len(first))) for rule in quality.RULES}
+        for step, margin in quality.STEPS:
+            cuts = {rule: int(margin * min(c for c in {share(k, rule) for k in first} if sum(share(k, rule) > c for k in first) <= int(step * len(first)))) for rule in quality.RULES}
             rejected = sum(any(share(k, rule) > c for rule, c in cuts.items()) for k in second)
             tail = sum(math.comb(len(second), i) * 0.03**i * 0.97 ** (len(second) - i) for i in range(rejected + 1))
             if tail > 0.05 / len(strata):
