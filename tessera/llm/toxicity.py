@@ -180,7 +180,7 @@ def _chosen(docs: DataFrame, labels: DataFrame, sample: int, sample_mb: int) ->
     return [] if last is None else rows.where(F.col("h") <= last).select("toxic", "text").collect()
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 2000, sample_mb: int = 64, least: int = 3, most: int = 20_000, places: int = 20, stretches: int = 6000, rounds: int = 2, lean: float = 4) -> Chain | None:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 2000, sample_mb: int = 64, least: int = 3, most: int = 20_000, places: int = 20, stretches: int = 6000, rounds: int = 2, lean: float = 6) -> Chain | None:
     """Fit on labelled rows outside the held-out fold. ``least``: toxic documents that a feature needs; ``lean``: how
     many times as often it has to occur in toxic documents as in others; the other bounds are in the module's text."""
     usable = own(labels, "doc_id", "toxic").where("toxic is not null").where(~held_out(F.col("doc_id")))
@@ -201,10 +201,12 @@ def learn(texts: list[list[bytes]], y: np.ndarray, totals: dict[int, int], least
         seen[label].update({f for w in set(words) for f in features(w)})
     n = np.bincount(y, minlength=2)
     ratio = {f: (c / n[1]) / ((seen[0][f] + 0.5) / n[0]) for f, c in seen[1].items() if c >= least}
-    # practically never in other documents, and not by chance among so many features: the first labels
-    pure = {f for f, r in ratio.items() if r >= 5 and seen[0][f] * n[1] <= 0.05 * seen[1][f] * n[0] and _surprise(seen[1][f], seen[0][f], n) > log(20 * len(ratio))}
-    names = sorted((f for f, r in ratio.items() if r >= lean), key=lambda f: (-_surprise(seen[1][f], seen[0][f], n), f))[:most]
-    if not pure:
+    weight = {f: _surprise(seen[1][f], seen[0][f], n) for f, r in ratio.items() if r >= min(lean, 5)}
+    evident = {f for f, w in weight.items() if w > log(20 * len(ratio))}  # not by chance among so many features
+    # practically never in other documents: the first labels
+    pure = {f for f in evident if ratio[f] >= 5 and seen[0][f] * n[1] <= 0.05 * seen[1][f] * n[0]}
+    names = sorted((f for f in evident if ratio[f] >= lean), key=lambda f: (-weight[f], f))[:most]
+    if not pure or not names:
         return None
     model = Chain(names)
     marks = {model.slot[f] for f in pure if f in model.slot}
