@@ -69,6 +69,12 @@ def blocks(df: DataFrame, columns: list[Column]) -> RDD:
     return df.select(F.array(*columns).alias("x")).mapInArrow(packed, "raw binary, width int").rdd.map(tuple)
 
 
+def added(parts: RDD) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and largest values of (sums, peaks), one for each partition; through a tree where there are many."""
+    join = lambda p, q: (p[0] + q[0], np.maximum(p[1], q[1]))
+    return parts.reduce(join) if parts.getNumPartitions() <= 64 else parts.treeReduce(join)
+
+
 def gradient(rows: RDD, fam: Family, beta: np.ndarray) -> tuple[np.ndarray, float]:
     """X's of the weighted score and the largest observed weight, over blocks of (y, offset, weight, x..)."""
 
@@ -86,7 +92,7 @@ def gradient(rows: RDD, fam: Family, beta: np.ndarray) -> tuple[np.ndarray, floa
                 peak = np.maximum(peak, fam.observed(y, mu, ARRAYS).max())
         yield total, peak
 
-    right, peak = rows.mapPartitions(partial).treeReduce(lambda p, q: (p[0] + q[0], np.maximum(p[1], q[1])))
+    right, peak = added(rows.mapPartitions(partial))
     return right, float(peak)
 
 

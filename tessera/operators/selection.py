@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from tessera.functions.distributions import lgamma
 from tessera.operators.families import ARRAYS, Family, ModelError, family
 from tessera.operators.fitting import Design, quoted
-from tessera.operators.gram import blocks, descend, inverse
+from tessera.operators.gram import added, blocks, descend, inverse
 from tessera.sources import free_prefix, table, written
 
 
@@ -110,7 +110,7 @@ def _descend(rows: DataFrame, fams: list[Family], folds: list, l1: list[float],
                             peak[m] = max(peak[m], fam.observed(y[use], mu, ARRAYS).max())
                 yield total, peak
 
-            total, peak = packed.mapPartitions(partial).treeReduce(lambda p, q: (p[0] + q[0], np.maximum(p[1], q[1])))
+            total, peak = added(packed.mapPartitions(partial))
             pace = (step / peak)[:, None]
             new = look + pace * (total[:, :d] / np.maximum(total[:, d:], 1) - np.array(l2)[:, None] * free * look)
             new = np.sign(new) * np.maximum(np.abs(new) - pace * np.array(l1)[:, None] * free, 0.0) * active
