@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, html, line_dedup, neardup, packing, quality, suffix_dedup, token_files, toxicity
+from . import chat, decontaminate, hard_negatives, html, line_dedup, merkle, neardup, packing, quality, suffix_dedup, token_counts, token_files, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_decontamination": decontaminate.query,
     "op9_token_files": token_files.query,
     "op10_quality_rules": quality.query,
+    "op11_token_counts": token_counts.query,
+    "op12_merkle_manifest": merkle.query,
+    "op13_hard_negatives": hard_negatives.query,
 }
-ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op7_chat_formatting": chat.ORACLE}
+ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op7_chat_formatting": chat.ORACLE, "op12_merkle_manifest": merkle.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}
