@@ -31,6 +31,8 @@ SCALE = 256
 LARGEST = 1 << 18
 #: Anchors held by a task, and rows that stream past them, about.
 ANCHORS_TOGETHER, ROWS_TOGETHER = 10_000, 1_000_000
+#: Pairs that a task looks at together; a pair that survives a stage takes some 50 numbers meanwhile.
+PAIRS_TOGETHER = 1 << 18
 MINED = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
 
 
@@ -73,23 +75,29 @@ def rotation(rows: DataFrame, width: int) -> np.ndarray:
 
 
 class Best:
-    """The first ``k`` rows of each slot by score, then id; kept sorted."""
+    """The first ``k`` rows of each slot by score, then id. New rows wait until there are enough of them to sort."""
 
     def __init__(self, slots: int, k: int):
         self.k, self.slots = k, slots
-        self.slot, self.score, self.id, self.row = (np.zeros(0, np.int64) for _ in range(4))
+        self.slot, self.score, self.id = (np.zeros(0, np.int64) for _ in range(3))
+        self.waiting, self.n = [], 0
         self.last = np.full(slots, -np.inf)
 
-    def add(self, slot: np.ndarray, score: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
-        if not len(slot):
-            return
-        slot, score, ids, rows = (np.concatenate(x) for x in ((self.slot, slot), (self.score, score), (self.id, ids), (self.row, rows)))
+    def add(self, slot: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        self.waiting.append((slot, score, ids))
+        self.n += len(slot)
+        if self.n > max(4096, len(self.slot) // 2):
+            self.settle()
+
+    def settle(self) -> None:
+        slot, score, ids = (np.concatenate(x) for x in zip((self.slot, self.score, self.id), *self.waiting, strict=True))
+        self.waiting, self.n = [], 0
         order = np.lexsort((ids, -score, slot))
         slot = slot[order]
         place = np.arange(len(slot)) - np.searchsorted(slot, slot)
         kept = place < self.k
         order = order[kept]
-        self.slot, self.score, self.id, self.row = slot[kept], score[order], ids[order], rows[order]
+        self.slot, self.score, self.id = slot[kept], score[order], ids[order]
         full = place[kept] == self.k - 1
         self.last[self.slot[full]] = self.score[full]
 
@@ -174,8 +182,8 @@ def _streamed(batches, turn: np.ndarray, prepare, meet, finish):
                     continue  # a cell without anchors
                 anchors.close()
                 state = prepare(anchors, extra)
-            step = max(1, (1 << 22) // len(anchors.row))
-            for i in range(0, len(row), step):
+            step = max(1, PAIRS_TOGETHER // len(anchors.row))
+            for i in range(0, len(row), step):  # a slice's survivors and their components are held at once
                 meet(anchors, state, row[i : i + step], ids[i : i + step], label[i : i + step], v[i : i + step])
     if state is not None:
         yield from finish(anchors, state)
@@ -196,9 +204,10 @@ def positives_of(rows: DataFrame, anchors: DataFrame, turn: np.ndarray, k: int,
     def meet(own_anchors, best, row, ids, label, v):
         allowed = (label[:, None] == own_anchors.label) & (row[:, None] != own_anchors.row)
         at, to, score = surviving(own_anchors, v, allowed, best.last, np.full(best.slots, np.inf))
-        best.add(to, score, ids[at], row[at])
+        best.add(to, score, ids[at])
 
     def finish(own_anchors, best):
+        best.settle()
         yield pa.RecordBatch.from_arrays([pa.array(own_anchors.row[best.slot]), pa.array(best.id), pa.array(best.score)], ["row", "id", "score"])
 
     cells = _cells(rows, anchors, blocks, groups, [])
@@ -226,10 +235,11 @@ def negatives_of(rows: DataFrame, anchors: DataFrame, turn: np.ndarray, k: int,
         at, to, score = surviving(own_anchors, v, label[:, None] != own_anchors.label, need.min(1), np.where(need < np.inf, ceilings, -np.inf).max(1))
         fits = (score[:, None] >= need[to]) & (score[:, None] <= ceilings[to])
         pair, place = np.nonzero(fits)
-        best.add(to[pair] * floors.shape[1] + place, score[pair], ids[at[pair]], row[at[pair]])
+        best.add(to[pair] * floors.shape[1] + place, score[pair], ids[at[pair]])
 
     def finish(own_anchors, state):
         best, floors, _ = state
+        best.settle()
         which, place = np.divmod(best.slot, floors.shape[1])
         yield pa.RecordBatch.from_arrays([pa.array(own_anchors.row[which]), pa.array(place), pa.array(best.id), pa.array(best.score)], ["row", "place", "id", "score"])
 
