@@ -5,8 +5,6 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,136 +71,151 @@ def student_ppf(p: float, df: float) -> float | None:
     return t
 
 
-def _tail(z: np.ndarray) -> np.ndarray:
-    """P(Z > z) for z >= 0: the series of odd powers near 0, the continued fraction of Mills' ratio beyond."""
-    density = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
-    near = np.minimum(z, 3.0)
-    term = total = near
-    for k in range(1, 80):
-        term = term * near * near / (2 * k + 1)
-        total = total + term
-    far = np.maximum(z, 3.0)
-    ratio = far
-    for k in range(120, 0, -1):
-        ratio = far + k / ratio
-    return np.where(z < 3, 0.5 - np.exp(-near * near / 2) / math.sqrt(2 * math.pi) * total, density / ratio)
-
-
-def _normal_cdf(z: np.ndarray) -> np.ndarray:
-    half = _tail(np.abs(z))
-    return np.where(z < 0, half, 1 - half)
-
-
-def _normal_ppf(p: np.ndarray) -> np.ndarray:
-    """Newton's method in the tail's logarithm, from its leading term; the tail below one half is solved and mirrored."""
-    low = np.minimum(p, 1 - p)
-    inside = (low > 0) & (low <= 0.5)
-    q = np.where(inside, low, 0.25)
-    z = np.sqrt(np.maximum(-2 * np.log(2 * q), 0.0))
-    for _ in range(60):
-        t = _tail(z)
-        step = (np.log(t) - np.log(q)) * t * math.sqrt(2 * math.pi) * np.exp(z * z / 2)
-        z = np.maximum(z + step, 0.0)
-    z = np.where(p < 0.5, -z, z)
-    return np.select([inside, p == 0, p == 1], [z, -np.inf, np.inf], np.nan)
-
-
 #: Stirling's series (fixed values): power, coefficient.
 _STIRLING = ((1, 1 / 12), (3, -1 / 360), (5, 1 / 1260), (7, -1 / 1680), (9, 1 / 1188))
 
 
-def _log_gamma(x: np.ndarray) -> np.ndarray:
+def lgamma(x: Column) -> Column:
+    """log Gamma(x) for x > 0: the argument is raised by eight, where Stirling's series is exact to double precision."""
     z = x + 8.0
-    series = (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi)
+    series = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi)
     for k, c in _STIRLING:
-        series = series + c / z**k
-    return series - sum(np.log(x + k) for k in range(8))
+        series = series + c / F.pow(z, F.lit(float(k)))
+    return series - sum((F.log(x + float(k)) for k in range(1, 8)), F.log(x))
 
 
-def _beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The incomplete beta function by its continued fraction, on the side where that converges fast."""
-    swap = x >= (a + 1) / (a + b + 2)
-    a, b, x = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
-    inside = np.clip(x, 1e-300, 1 - 1e-16)
-    guard = lambda v: np.where(np.abs(v) > 1e-300, v, 1e-300)
-    c, d = np.ones_like(x), 1 / guard(1 - (a + b) * inside / (a + 1))
-    h = d
-    for m in range(1, 400):
-        for top in (m * (b - m) * inside / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * inside / ((a + 2 * m) * (a + 2 * m + 1))):
-            d, c = 1 / guard(1 + top * d), guard(1 + top / c)
-            h = h * d * c
-        if np.all(np.abs(d * c - 1) < 1e-15):
-            break
-    front = np.exp(_log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * np.log(inside) + b * np.log1p(-inside))
-    part = np.where(x <= 0, 0.0, front * h / a)
-    return np.where(swap, 1 - part, part)
+def _let(value: Column, body) -> Column:
+    """``value`` evaluated once and handed to ``body``; an expression used inside a loop would be evaluated in each turn."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _student_tail(t: np.ndarray, df: np.ndarray) -> np.ndarray:
-    return 0.5 * _beta(df / 2, np.full_like(df, 0.5), df / (df + t * t))
+def _turns(first: int, last: int | Column) -> Column:
+    return F.sequence(F.lit(first), last if isinstance(last, Column) else F.lit(last), F.lit(1 if isinstance(last, Column) or last >= first else -1))
 
 
-def _student_cdf(t: np.ndarray, df: np.ndarray) -> np.ndarray:
-    half = _student_tail(np.abs(t), df)
-    return np.where(t < 0, half, 1 - half)
+def _normal_density(z: Column) -> Column:
+    return F.exp(-z * z / 2.0) / math.sqrt(2 * math.pi)
 
 
-def _student_ppf(p: np.ndarray, df: np.ndarray) -> np.ndarray:
-    """Newton steps kept inside a bracket, on the tail below one half."""
-    low = np.minimum(p, 1 - p)
-    inside = (low > 0) & (low <= 0.5)
-    q = np.where(inside, low, 0.25)
-    near, far = np.zeros_like(q), np.full_like(q, 2.0)
-    for _ in range(1000):
-        short = _student_tail(far, df) > q
-        if not short.any():
-            break
-        near, far = np.where(short, far, near), np.where(short, 2 * far, far)
-    log_norm = _log_gamma((df + 1) / 2) - _log_gamma(df / 2) - 0.5 * np.log(df * math.pi)
-    t = (near + far) / 2
-    for _ in range(100):
-        gap = _student_tail(t, df) - q
-        near, far = np.where(gap > 0, t, near), np.where(gap > 0, far, t)
-        step = t + gap / np.exp(log_norm - (df + 1) / 2 * np.log1p(t * t / df))
-        new = np.where((step >= near) & (step <= far), step, (near + far) / 2)
-        done = np.abs(new - t) <= 1e-15 * np.maximum(1.0, np.abs(t))
-        t = new
-        if done.all():
-            break
-    t = np.where(p < 0.5, -t, np.where(low == 0.5, 0.0, t))
-    return np.select([inside, p == 0, p == 1], [t, -np.inf, np.inf], np.nan)
+def _normal_tail(z: Column) -> Column:
+    """P(Z > z) for z >= 0: the series of odd powers near 0, the continued fraction of Mills' ratio beyond."""
 
+    def add(state, k):
+        return _let(state["term"] * z * z / (2.0 * k + 1.0), lambda term: F.struct(term.alias("term"), (state["total"] + term).alias("total")))
 
-def _applied(fn, *series: pd.Series) -> pd.Series:
-    """``fn`` on whole arrays; NULL where an argument is NULL or the result is no number."""
-    columns = [s.to_numpy(float) for s in series]
-    known = ~np.any([np.isnan(c) for c in columns], axis=0)
-    out = np.full(len(known), np.nan)
-    if known.any():
-        out[known] = fn(*(c[known] for c in columns))
-    return pd.Series(out).astype(object).where(~np.isnan(out), None).astype("Float64")
+    series = F.aggregate(_turns(1, 45), F.struct(z.alias("term"), z.alias("total")), add, lambda state: state["total"])
+    ratio = F.aggregate(_turns(60, 1), z, lambda r, k: z + k / r)
+    return F.when(z < 3.0, 0.5 - _normal_density(z) * series).otherwise(_normal_density(z) / ratio)
 
 
 def norm_cdf(z: Column) -> Column:
-    return F.pandas_udf(lambda a: _applied(_normal_cdf, a), "double")(z)
+    """P(Z <= z); NULL for NULL and NaN."""
+    z = z.cast("double")
+    half = _let(F.abs(z), _normal_tail)
+    return F.when(z.isNotNull() & ~F.isnan(z), _let(half, lambda h: F.when(z < 0, h).otherwise(1.0 - h)))
+
+
+#: The rational approximation of the normal quantile that Newton's steps start from (fixed values).
+_START_TOP, _START_BOTTOM = (2.515517, 0.802853, 0.010328), (1.0, 1.432788, 0.189269, 0.001308)
+
+
+def _normal_upper(q: Column) -> Column:
+    """The z >= 0 with P(Z > z) = q, for 0 < q <= 1/2: Newton's steps in the logarithm of the tail."""
+
+    def start(w):
+        top = sum(c * F.pow(w, F.lit(float(k))) for k, c in enumerate(_START_TOP))
+        bottom = sum(c * F.pow(w, F.lit(float(k))) for k, c in enumerate(_START_BOTTOM))
+        return F.greatest(w - top / bottom, F.lit(0.0))
+
+    def closer(z, _):
+        return _let(_normal_tail(z), lambda t: F.greatest(z + (F.log(t) - F.log(q)) * t / _normal_density(z), F.lit(0.0)))
+
+    return F.aggregate(_turns(1, 4), _let(F.sqrt(-2.0 * F.log(q)), start), closer)
+
+
+def _mirrored(p: Column, upper) -> Column:
+    """A symmetric distribution's quantile from that of the smaller tail; infinite at 0 and 1, NULL beyond and for NaN."""
+    p = p.cast("double")
+    inside = _let(F.least(p, 1.0 - p), lambda q: F.when(q == 0.5, F.lit(0.0)).otherwise(upper(q)))
+    ends = F.when(p == 0.0, F.lit(-math.inf)).when(p == 1.0, F.lit(math.inf))
+    return ends.when((p > 0.0) & (p < 1.0), _let(inside, lambda t: F.when(p < 0.5, -t).otherwise(t)))
 
 
 def norm_ppf(p: Column) -> Column:
-    return F.pandas_udf(lambda a: _applied(_normal_ppf, a), "double")(p)
+    return _mirrored(p, _normal_upper)
+
+
+def _fraction(a: Column, b: Column, x: Column) -> Column:
+    """Continued fraction of the incomplete beta function by forward steps (modified Lentz). It settles in some
+    sqrt(max(a, b)) steps on the side where it is used."""
+    guard = lambda v: F.when(F.abs(v) > 1e-300, v).otherwise(F.lit(1e-300))
+
+    def step(state, top):
+        both = _let(top, lambda t: F.struct(guard(1.0 + t / state["c"]).alias("c"), (1.0 / guard(1.0 + t * state["d"])).alias("d")))
+        return _let(both, lambda s: F.struct(s["c"].alias("c"), s["d"].alias("d"), (state["h"] * s["c"] * s["d"]).alias("h")))
+
+    def turn(state, m):
+        even = m * (b - m) * x / ((a + 2.0 * m - 1.0) * (a + 2.0 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2.0 * m) * (a + 2.0 * m + 1.0))
+        settled = F.abs(state["c"] * state["d"] - 1.0) < 1e-16
+        return F.when(settled, state).otherwise(_let(step(state, even), lambda s: step(s, odd)))
+
+    first = 1.0 / guard(1.0 - (a + b) * x / (a + 1.0))
+    begin = _let(first, lambda d: F.struct(F.lit(1.0).alias("c"), d.alias("d"), d.alias("h")))
+    many = F.least(F.lit(400), (40.0 + 4.0 * F.sqrt(F.greatest(a, b))).cast("int"))
+    return F.aggregate(_turns(1, many), begin, turn, lambda state: state["h"])
+
+
+def _half_step(a: Column) -> Column:
+    """log Gamma(a + 1/2) - log Gamma(a); for large a by the series of the difference, whose terms do not cancel."""
+    series = 0.5 * F.log(a) - 1.0 / (8.0 * a) + 1.0 / (192.0 * a * a * a) - 1.0 / (640.0 * a * a * a * a * a)
+    return F.when(a > 100.0, series).otherwise(lgamma(a + 0.5) - lgamma(a))
+
+
+def _student_tail(t: Column, df: Column) -> Column:
+    """P(T > t) for t >= 0, from the incomplete beta function at df / (df + t * t)."""
+
+    def half(s):
+        front = F.exp(s["n"] + s["a"] * F.log(s["x"]) + 0.5 * F.log(s["y"]))
+        near = front * _fraction(s["a"], F.lit(0.5), s["x"]) / s["a"]
+        return 0.5 * F.when(s["x"] < (s["a"] + 1.0) / (s["a"] + 2.5), near).otherwise(1.0 - front * _fraction(F.lit(0.5), s["a"], s["y"]) / 0.5)
+
+    norm = _half_step(df / 2.0) - 0.5 * math.log(math.pi)
+    parts = F.struct((df / 2.0).alias("a"), (df / (df + t * t)).alias("x"), (t * t / (df + t * t)).alias("y"), norm.alias("n"))
+    return F.when(t == 0.0, F.lit(0.5)).when(t * t > 1e290, F.lit(0.0)).otherwise(_let(parts, half))
+
+
+def _numbers(t: Column, df: Column) -> Column:
+    return t.isNotNull() & df.isNotNull() & ~F.isnan(t) & ~F.isnan(df) & (df > 0.0)
 
 
 def t_cdf(t: Column, df: Column) -> Column:
-    return F.pandas_udf(lambda a, b: _applied(_student_cdf, a, b), "double")(t, df)
+    """P(T <= t) with ``df`` degrees of freedom; NULL for NULL, NaN and df <= 0."""
+    t, df = t.cast("double"), df.cast("double")
+    half = _let(F.struct(F.abs(t).alias("t"), df.alias("v")), lambda s: _student_tail(s["t"], s["v"]))
+    return F.when(_numbers(t, df), _let(half, lambda h: F.when(t < 0, h).otherwise(1.0 - h)))
 
 
 def t_ppf(p: Column, df: Column) -> Column:
-    return F.pandas_udf(lambda a, b: _applied(_student_ppf, a, b), "double")(p, df)
+    """Quantiles. The tail's logarithm falls ever faster in the logarithm of t, so Newton's steps in both logarithms find
+    the root from any start; they begin at the normal quantile's expansion in 1 / df."""
 
+    def upper(q):
+        def start(z):
+            return z + (F.pow(z, F.lit(3.0)) + z) / (4.0 * v) + (5.0 * F.pow(z, F.lit(5.0)) + 16.0 * F.pow(z, F.lit(3.0)) + 3.0 * z) / (96.0 * v * v)
 
-def lgamma(x: Column) -> Column:
-    """log Gamma(x) for x > 0: the argument is raised by eight, where Stirling's series is exact to double precision."""
-    z = x + 8.0
-    series = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi)
-    for k, c in _STIRLING:
-        series = series + c / F.pow(z, F.lit(float(k)))
-    return series - sum((F.log(x + float(k)) for k in range(1, 8)), F.log(x))
+        log_norm = _half_step(v / 2.0) - 0.5 * F.log(v * math.pi)
+
+        def closer(state, _):
+            def moved(s):
+                slope = state["t"] * F.exp(state["n"] - (v + 1.0) / 2.0 * F.log1p(state["t"] * state["t"] / v)) / s
+                return F.struct((state["t"] * F.exp((F.log(s) - F.log(q)) / slope)).alias("t"), state["n"].alias("n"), (F.abs(F.log(s) - F.log(q)) < 1e-15 * F.greatest(slope, F.lit(1.0))).alias("done"))
+
+            return F.when(state["done"], state).otherwise(_let(_student_tail(state["t"], v), moved))
+
+        begin = _let(_normal_upper(q), lambda z: F.struct(F.greatest(start(z), F.lit(1e-12)).alias("t"), log_norm.alias("n"), F.lit(False).alias("done")))
+        found = F.aggregate(_turns(1, 40), begin, closer, lambda state: state["t"])
+        return F.when(v == 1.0, F.cos(math.pi * q) / F.sin(math.pi * q)).otherwise(found)
+
+    v = df.cast("double")
+    return F.when(_numbers(p.cast("double"), v), _mirrored(p, upper))

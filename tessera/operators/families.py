@@ -103,7 +103,7 @@ class Family:
     def deviance(self, y, mu, m):
         """Unit deviance."""
         positive = m.low(y, 1e-300)
-        y_log = m.where(y > 0, y * (m.log(positive) - m.log(mu)), y * 0.0)
+        y_log = None if self.identity else m.where(y > 0, y * (m.log(positive) - m.log(mu)), y * 0.0)
         match self.name:
             case "linear":
                 return (y - mu) * (y - mu)

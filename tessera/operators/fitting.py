@@ -6,72 +6,39 @@ import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.operators.families import COLUMNS, Family, ModelError
-from tessera.operators.gram import blocks, cross, descend, gradient, inverse
+from tessera.operators.gram import blocks, cross, descend, gathered, gradient, inverse, steps_over
+from tessera.operators.names import INTERCEPT, check_names, check_outcome, number, quoted, used_columns
+from tessera.operators.steps import accelerated
+from tessera.operators.wide import encode_dummies, fit_wide
 from tessera.sources import table
 
-INTERCEPT = "(Intercept)"
-MODEL = "feature string, coefficient double"
-
-
-def quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
-def number(df: DataFrame, name: str, lenient: bool = False) -> Column:
-    """A column as double, NaN as NULL. Times and nested values are no numbers."""
-    kind, c = df.schema[name].dataType, F.col(quoted(name))
-    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType, T.ArrayType, T.MapType, T.StructType, T.BinaryType)):
-        if lenient:
-            return F.lit(None).cast("double")
-        raise ModelError(f"column {name!r} cannot be cast to a number")
-    c = c.try_cast("double") if lenient else c.cast("double")
-    return F.when(~F.isnan(c), c)
+__all__ = ["INTERCEPT", "Design", "check_names", "fit", "number", "quoted"]
 
-
-def check_names(df: DataFrame, features: list[str]) -> None:
-    for c in df.columns:
-        if c.lower().startswith("__reg_"):
-            raise ModelError(f"column name {c!r} is reserved")
-    if INTERCEPT in features:
-        raise ModelError(f"a feature may not be called {INTERCEPT}")
+MODEL = "feature string, coefficient double"
+#: Designs with more features are fitted without a matrix of all pairs of them.
+WIDE = 400
 
 
 class Design:
-    """Complete rows (y, x0.., o, a), cached, with the statistics that standardize them."""
+    """Complete rows (y, x0.., o, a), cached, with the statistics that standardize them. ``carry``: a column that is no
+    feature and stays with its row."""
 
-    def __init__(self, source: DataFrame | str, outcome: str, fam: Family, offset_col: str | None = None, weights_col: str | None = None):
+    def __init__(self, source: DataFrame | str, outcome: str, fam: Family, offset_col: str | None = None, weights_col: str | None = None, carry: str | None = None):
         df = table(source)
-        used = [c for c in (outcome, offset_col, weights_col) if c]
-        self.features = sorted(c for c in df.columns if c not in used)
-        check_names(df, self.features)
-        missing = f"outcome column {outcome!r} not found, entirely NULL, or table is empty"
-        if outcome not in df.columns:
-            raise ModelError(missing)
-        for kind, c in (("offset", offset_col), ("weights", weights_col)):
-            if c and c not in df.columns:
-                raise ModelError(f'{kind} column "{c}" not found')
+        self.features = [c for c in used_columns(df, outcome, offset_col, weights_col) if c != carry]
         y = number(df, outcome)
         counts = df.select(y.alias("y"), *[number(df, c).alias(f"x{i}") for i, c in enumerate(self.features)])
-        row = counts.agg(F.count("y"), F.min("y"), F.max("y"), F.sum(F.when(F.col("y").isin(0.0, 1.0), 0).otherwise(F.when(F.col("y").isNotNull(), 1))), *[F.count(f"x{i}") for i in range(len(self.features))]).first()
-        if not row[0]:
-            raise ModelError(missing)
-        if fam.name == "logistic" and row[3]:
-            raise ModelError(f"outcome {outcome!r} must be binary (0 or 1)")
-        if fam.name == "gamma" or (fam.name == "tweedie" and fam.extra >= 2):
-            if row[1] <= 0:
-                raise ModelError(f"outcome {outcome!r} must be strictly positive")
-        elif fam.log_link and row[1] < 0:
-            raise ModelError(f"outcome {outcome!r} must be non-negative")
+        row = counts.agg(F.count("y"), F.min("y"), F.sum(F.when(F.col("y").isin(0.0, 1.0), 0).otherwise(F.when(F.col("y").isNotNull(), 1))), *[F.count(f"x{i}") for i in range(len(self.features))]).first()
+        check_outcome(fam, outcome, *row[:3])
         if not self.features:
             raise ModelError("no feature columns")
-        if empty := [c for c, n in zip(self.features, row[4:], strict=True) if not n]:
+        if empty := [c for c, n in zip(self.features, row[3:], strict=True) if not n]:
             raise ModelError(f"feature column(s) entirely NULL: {', '.join(empty)}")
         offset = number(df, offset_col) if offset_col else F.lit(0.0)
         weight = number(df, weights_col) if weights_col else F.lit(1.0)
-        rows = df.select(y.alias("y"), *[number(df, c).alias(f"x{i}") for i, c in enumerate(self.features)], offset.alias("o"), weight.alias("a")).dropna()
+        rows = df.select(y.alias("y"), *[number(df, c).alias(f"x{i}") for i, c in enumerate(self.features)], offset.alias("o"), weight.alias("a"), *([F.col(quoted(carry)).alias("carried")] if carry else [])).dropna()
         self.rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         xs = [f"x{i}" for i in range(len(self.features))]
         s = self.rows.agg(F.count("*"), F.sum("a"), F.min("a"), F.sum(F.col("a") * F.col("y")), *[f for x in xs for f in (F.min(x), F.max(x), F.sum(F.col("a") * F.col(x)))]).first()
@@ -162,35 +129,40 @@ def descent(design: Design, fam: Family, l1: float, l2: float, tol: float, max_i
     """Accelerated proximal gradient descent; each step's gradient is summed over the rows where they lie."""
     d = len(design.z) + 1
     inner = fam.scaled(design.y_mean)
-    rows = blocks(design.rows, [design.y, design.offset, F.col("a"), *design.z]).persist(StorageLevel.MEMORY_AND_DISK)
-    step = rate or (4 / (d + 4 * l2) if fam.name == "logistic" else 1 / (d + l2))
-    beta = before = np.zeros(d)
-    free = np.array([0.0] + [1.0] * (d - 1))
+    columns = [design.y, design.offset, F.col("a"), *design.z]
+    rows = blocks(design.rows, columns).persist(StorageLevel.MEMORY_AND_DISK)
+    total, free = design.total, np.array([0.0] + [1.0] * (d - 1))
+
+    def run(found):
+        def slope(beta):
+            right, peak = gradient(found, inner, beta)
+            return right / total, max(1.0, peak) if fam.log_link else 1.0
+
+        return accelerated(slope, np.zeros(d), step, l1, l2, free, tol, max_iter)
+
     try:
-        for it in range(max_iter):
-            look = beta + it / (it + 3) * (beta - before)
-            right, peak = gradient(rows, inner, look)
-            damp = max(1.0, peak) if fam.log_link else 1.0
-            new = look + step / damp * (right / design.total - l2 * free * look)
-            cut = step * l1 / damp * free
-            new = np.sign(new) * np.maximum(np.abs(new) - cut, 0.0)
-            before, beta = beta, new
-            if not np.isfinite(new).all() or np.abs(new - look).max() < tol:
-                break
+        beta = steps_over(gathered(rows, design.n * len(columns)), run)
     finally:
         rows.unpersist()
     beta[np.concatenate([[False], design.constant])] = 0.0
     return beta
 
 
-def fit(fam: Family, source: DataFrame | str, outcome: str, max_iter: int = 50000, learning_rate: float | None = None, tol: float = 1e-10, l2: float = 0.0, offset_col: str | None = None, weights_col: str | None = None, l1: float = 0.0, solver: str = "auto") -> DataFrame:
+def fit(fam: Family, source: DataFrame | str, outcome: str, max_iter: int = 50000, learning_rate: float | None = None, tol: float = 1e-10, l2: float = 0.0, offset_col: str | None = None, weights_col: str | None = None, l1: float = 0.0, solver: str = "auto", encode: bool = False) -> DataFrame:
+    """``encode``: string columns enter as treatment contrasts, named as by ``encode_dummies``, without columns being made.
+    Solver ``cg`` finds Newton steps by conjugate gradients; ``auto`` takes it for more than ``WIDE`` features or levels."""
     if not l2 >= 0:
         raise ModelError("l2 must be >= 0")
     if not l1 >= 0:
         raise ModelError("l1 must be >= 0")
-    if solver not in ("auto", "gd", "irls"):
-        raise ModelError("solver must be 'auto', 'gd' or 'irls'")
+    if solver not in ("auto", "gd", "irls", "cg"):
+        raise ModelError("solver must be 'auto', 'gd' or 'irls', or 'cg' for wide designs")
     df = table(source)
+    if solver == "cg" or (encode and solver != "irls") or (solver == "auto" and len(df.columns) > WIDE):
+        found = fit_wide(fam, df, outcome, max_iter, learning_rate, tol, l1, l2, offset_col, weights_col, encode, solver == "gd")
+        return df.sparkSession.createDataFrame(list(found.items()), MODEL)
+    if encode:
+        df = encode_dummies(df, outcome, offset_col, weights_col)
     design = Design(df, outcome, fam, offset_col, weights_col)
     try:
         beta = None if solver == "gd" else irls(design, fam, l1, l2, tol, max_iter, solver == "irls")

@@ -57,42 +57,76 @@ def cross(df: DataFrame, xs: list[Column], weights: list[Column], scores: list[C
     return grams, rights, list(row[at + len(scores) * d :])
 
 
-def blocks(df: DataFrame, columns: list[Column]) -> RDD:
-    """The columns as doubles, one block of bytes for each Arrow batch: steps by the hundred read them without planning."""
+def blocks(df: DataFrame, columns: list[Column], complete: bool = True) -> RDD:
+    """The columns as doubles, one block of bytes for each Arrow batch: steps by the hundred read them without planning.
+    Unless ``complete``, rows with a NULL are left out."""
     width = len(columns)
 
     def packed(batches):
         for batch in batches:
-            raw = np.asarray(batch.column(0).flatten(), float).tobytes()
+            v = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+            raw = (v if complete else v[~np.isnan(v).any(1)]).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([raw], pa.binary()), pa.array([width], pa.int32())], ["raw", "width"])
 
     return df.select(F.array(*columns).alias("x")).mapInArrow(packed, "raw binary, width int").rdd.map(tuple)
 
 
+#: Bytes of rows that a task of a pass reads, at least.
+TASK_BYTES = 32 << 20
+
+
+def gathered(rows: RDD, numbers: float) -> RDD:
+    """Blocks that hold so many ``numbers`` in no more partitions than their bytes need: passes by the hundred over small
+    data would mostly start tasks."""
+    needed = max(1, int(numbers * 8) // TASK_BYTES)
+    return rows.coalesce(needed) if needed < rows.getNumPartitions() else rows
+
+
 def added(parts: RDD) -> tuple[np.ndarray, np.ndarray]:
     """Sums and largest values of (sums, peaks), one for each partition; through a tree where there are many."""
     join = lambda p, q: (p[0] + q[0], np.maximum(p[1], q[1]))
     return parts.reduce(join) if parts.getNumPartitions() <= 64 else parts.treeReduce(join)
 
 
-def gradient(rows: RDD, fam: Family, beta: np.ndarray) -> tuple[np.ndarray, float]:
-    """X's of the weighted score and the largest observed weight, over blocks of (y, offset, weight, x..)."""
+def summed(rows: RDD | list, part, highest: bool = False) -> list[np.ndarray]:
+    """The sums of the arrays that ``part(block)`` gives for each block of rows, added up through a tree. With ``highest``
+    the last array's largest values are kept instead."""
+    adds = lambda a, b: [p + q for p, q in zip(a, b, strict=True)]
+    join = (lambda a, b: [*adds(a[:-1], b[:-1]), np.maximum(a[-1], b[-1])]) if highest else adds
 
     def partial(found):
-        total, peak = np.zeros(len(beta)), -np.inf
+        total = None
         for raw, width in found:
             block = np.frombuffer(raw).reshape(-1, width)
-            if not len(block):
-                continue
-            y, offset, a = block.T[:3]
-            x = np.hstack([np.ones((len(y), 1)), block[:, 3:]])
-            mu = fam.mean(offset + x @ beta, ARRAYS)
-            total += x.T @ (a * fam.score(y, mu, ARRAYS))
-            if fam.log_link:
-                peak = np.maximum(peak, fam.observed(y, mu, ARRAYS).max())
-        yield total, peak
-
-    right, peak = added(rows.mapPartitions(partial))
+            if len(block):
+                new = part(block)
+                total = new if total is None else join(total, new)
+        if total is not None:
+            yield total
+
+    if isinstance(rows, list):
+        return next(partial(rows))
+    sums = rows.mapPartitions(partial)
+    return sums.reduce(join) if sums.getNumPartitions() <= 64 else sums.treeReduce(join)
+
+
+def steps_over(rows: RDD, run):
+    """``run(rows)``, a loop of passes over blocks. Where they all lie in one partition, its task runs the whole loop."""
+    if rows.getNumPartitions() > 1:
+        return run(rows)
+    return rows.mapPartitions(lambda found: [run(list(found))]).collect()[0]
+
+
+def gradient(rows: RDD | list, fam: Family, beta: np.ndarray) -> tuple[np.ndarray, float]:
+    """X's of the weighted score and the largest observed weight, over blocks of (y, offset, weight, x..)."""
+
+    def part(block):
+        y, offset, a = block.T[:3]
+        x = np.hstack([np.ones((len(y), 1)), block[:, 3:]])
+        mu = fam.mean(offset + x @ beta, ARRAYS)
+        return [x.T @ (a * fam.score(y, mu, ARRAYS)), np.array(fam.observed(y, mu, ARRAYS).max() if fam.log_link else -np.inf)]
+
+    right, peak = summed(rows, part, highest=True)
     return right, float(peak)
 
 

@@ -55,6 +55,10 @@ class Fitted:
         self.cluster, self.xs = f"{own}c", [F.col(f"{own}x{i}") for i in range(len(self.names))]
         self.y, self.mu, self.a = (F.col(f"{own}{c}") for c in ("y", "mu", "a"))
         self.d = len(self.names) + 1
+        # products are summed of centred features: those of a column far from zero would leave no digits
+        means = self.rows.agg(*[F.avg(x) for x in self.xs]).first() if self.names else ()
+        self.mean = np.array([0.0 if m is None else m for m in means])
+        self.xs = [x - float(m) for x, m in zip(self.xs, self.mean, strict=True)]
         pearson = self.a * (self.y - self.mu) * (self.y - self.mu) / fam.variance(self.mu, COLUMNS)
         weights = [self.a * fam.information(self.mu, COLUMNS), self.a * fam.observed(self.y, self.mu, COLUMNS)]
         (self.expected, self.observed), _, (self.n, chi) = cross(self.rows, self.xs, weights, [], [F.lit(1.0), pearson])
@@ -65,6 +69,14 @@ class Fitted:
         p = (1 + conf_level) / 2
         return student_ppf(p, self.free) if self.fam.estimated and self.free > 0 and not always_normal else normal_ppf(p)
 
+    def uncentred(self, cov: np.ndarray | None) -> np.ndarray | None:
+        """The covariance of the coefficients of the features themselves."""
+        if cov is None:
+            return None
+        back = np.eye(self.d)
+        back[0, 1:] = -self.mean
+        return back @ cov @ back.T
+
     def covariance(self) -> np.ndarray | None:
         inv = inverse(self.expected)
         return None if inv is None or self.phi is None else self.phi * inv
@@ -99,7 +111,7 @@ def summary(fam: Family, model, source, outcome: str, conf_level: float = 0.95,
     _level(conf_level)
     f = Fitted(fam, model, source, outcome, offset_col, weights_col, cluster_col)
     plain = robust == "none" and not cluster_col
-    cov = f.covariance() if plain else f.sandwich(robust, bool(cluster_col))
+    cov = f.uncentred(f.covariance() if plain else f.sandwich(robust, bool(cluster_col)))
     crit = f.critical(conf_level, not plain)
     use_t = plain and fam.estimated and f.free > 0
     rows = []
@@ -120,7 +132,7 @@ def predict_ci(fam: Family, model, source, outcome: str, newdata=None, conf_leve
     if clash := {c.lower() for c in df.columns} & {"prediction", "conf_low", "conf_high"}:
         raise ModelError(f'the table already has a "{min(clash)}" column')
     cov, eta = f.covariance(), predictor(f.beta, df, offset_col)
-    xs = [number(df, c, lenient=True) if c in df.columns else F.lit(None).cast("double") for c in f.names]
+    xs = [(number(df, c, lenient=True) if c in df.columns else F.lit(None).cast("double")) - float(m) for c, m in zip(f.names, f.mean, strict=True)]
     reach = F.lit(None).cast("double") if cov is None else f.critical(conf_level) * F.sqrt(F.greatest(quadratic(xs, cov), F.lit(0.0)))
     own = free_prefix(df)
     out, at, by = df.withColumns({f"{own}eta": eta, f"{own}reach": reach}), F.col(f"{own}eta"), F.col(f"{own}reach")

@@ -6,15 +6,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark import RDD, StorageLevel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.functions.distributions import lgamma
 from tessera.operators.families import ARRAYS, Family, ModelError, family
 from tessera.operators.fitting import Design, quoted
-from tessera.operators.gram import added, blocks, descend, inverse
+from tessera.operators.gram import added, blocks, descend, gathered, inverse, summed
+from tessera.operators.wide import encode_dummies, levels_of, text_columns
 from tessera.sources import free_prefix, table, written
 
 
@@ -36,61 +36,113 @@ def refined(grid: list[float], best: float, n: int) -> list[float]:
     return [best] if low == high else reg_grid(low, high, n)
 
 
-def _passes(rows: DataFrame, fams: list[Family], folds: list[int | None], beta: np.ndarray, y_scale: float) -> list[tuple[np.ndarray, np.ndarray, float]]:
-    """For every model, over the rows outside its fold: Gram matrix, right-hand side, number of rows."""
+def _passes(rows: RDD, fams: list[Family], folds: list[int | None], beta: np.ndarray, grams: bool) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """For every model, over the rows outside its fold: the Gram matrix (if ``grams``), right-hand side, number of rows."""
     d = beta.shape[1]
-    size = d * d + d + 1
-
-    def partial(batches):
-        total = np.zeros((len(fams), size))
-        for batch in batches:
-            y, fold = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            x = np.hstack([np.ones((len(y), 1)), np.asarray(batch.column(2).flatten(), float).reshape(len(y), -1)])
-            for m, (fam, out) in enumerate(zip(fams, folds, strict=True)):
-                use = np.ones(len(y), bool) if out is None else fold != out
-                xm, ym = x[use], y[use]
-                mu = fam.mean(xm @ beta[m], ARRAYS)
-                g = xm.T @ (xm * fam.information(mu, ARRAYS)[:, None])
-                total[m] += np.concatenate([g.ravel(), xm.T @ fam.score(ym, mu, ARRAYS), [use.sum()]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], ["place", "part"])
-
-    out = np.zeros(len(fams) * size)
-    for r in rows.select("y", "fold", "x").mapInArrow(partial, "place int, part double").groupBy("place").agg(F.sum("part").alias("v")).collect():
-        out[r["place"]] = r["v"]
-    return [(row[: d * d].reshape(d, d), row[d * d : -1], row[-1]) for row in out.reshape(len(fams), size)]
+
+    def part(block):
+        y, fold = block[:, 0], block[:, 1]
+        x = np.hstack([np.ones((len(y), 1)), block[:, 2:]])
+        g, s, n = np.zeros((len(fams) if grams else 0, d, d)), np.zeros((len(fams), d)), np.zeros(len(fams))
+        for m, (fam, out) in enumerate(zip(fams, folds, strict=True)):
+            use = np.ones(len(y), bool) if out is None else fold != out
+            xm = x[use]
+            mu = fam.mean(xm @ beta[m], ARRAYS)
+            if grams:
+                g[m] = xm.T @ (xm * fam.information(mu, ARRAYS)[:, None])
+            s[m], n[m] = xm.T @ fam.score(y[use], mu, ARRAYS), use.sum()
+        return [g, s, n]
+
+    return summed(rows, part)
+
+
+class _Folds:
+    """What one pass sums of each fold: its number of rows, the Gram matrix of (1, x), its products with the outcome, and
+    the outcome's square. All training sums are the whole less a fold."""
+
+    def __init__(self, rows: RDD, k: int, d: int):
+        def part(block):
+            v = np.column_stack([np.ones(len(block)), block[:, 2:], block[:, 0]])
+            return [np.array([w.T @ w for w in (v[block[:, 1] == f] for f in range(k))])]
+
+        (sums,) = summed(rows, part)
+        self.gram, self.right, self.square, self.n = sums[:, :d, :d], sums[:, :d, d], sums[:, d, d], sums[:, 0, 0]
+
+    def training(self, fold: int | None) -> tuple[np.ndarray, np.ndarray, float]:
+        gram, right, n = self.gram.sum(0), self.right.sum(0), self.n.sum()
+        return (gram, right, n) if fold is None else (gram - self.gram[fold], right - self.right[fold], n - self.n[fold])
+
+    def path(self, fold: int, l1: list[float], l2: list[float], active: np.ndarray) -> np.ndarray:
+        """Linear models of all rows outside a fold, one for each pair of penalties; each starts where the last ended, from
+        the heaviest L1 penalty down."""
+        gram, right, n = self.training(fold)
+        beta, start = np.zeros((len(l1), len(right))), np.zeros(len(right))
+        for m in sorted(range(len(l1)), key=lambda m: -l1[m]):
+            a = gram + n * l2[m] * np.diag([0.0] + [1.0] * (len(right) - 1))
+            if l1[m] > 0:
+                beta[m] = np.where(active, descend(a, right, n * l1[m], start, 1000), 0.0)
+            else:
+                beta[m, active] = _solved(a[np.ix_(active, active)]) @ right[active]
+            start = beta[m]
+        return beta
+
+    def losses(self, fold: int, beta: np.ndarray) -> np.ndarray:
+        """Sums of squared residuals of the fold; NaN where too few digits are left."""
+        lost = self.square[fold] - 2 * beta @ self.right[fold] + np.einsum("mi,ij,mj->m", beta, self.gram[fold], beta)
+        return np.where(lost > 1e-6 * self.square[fold], lost, np.nan)
+
+
+def _solved(part: np.ndarray) -> np.ndarray:
+    inv = inverse(part)
+    return np.linalg.pinv(part, rcond=1e-12, hermitian=True) if inv is None else inv
+
+
+def _packed(rows: DataFrame, d: int) -> RDD:
+    return blocks(rows, [F.col("y"), F.col("fold").cast("double"), *[F.col("x")[i] for i in range(d - 1)]])
 
 
 def _solve(rows: DataFrame, fams: list[Family], folds: list, l1: list[float], l2: list[float], d: int, active: np.ndarray, tol: float, max_iter: int, rate: float | None = None) -> np.ndarray:
     """Reweighted least squares for all models at once; where any of them fails, descent for all."""
     beta = np.zeros((len(fams), d))
     free = np.array([0.0] + [1.0] * (d - 1))
-    for _ in range(max_iter):
-        new = np.zeros_like(beta)
-        for m, (g, s, n) in enumerate(_passes(rows, fams, folds, beta, 1.0)):
-            a, b = g + n * l2[m] * np.diag(free), g @ beta[m] + s
-            if not (np.isfinite(a).all() and np.isfinite(b).all()):
-                return _descend(rows, fams, folds, l1, l2, active, tol, max_iter, rate)
-            if l1[m] > 0:
-                new[m] = np.where(active, descend(a, b, n * l1[m], beta[m]), 0.0)
-            else:
-                part = a[np.ix_(active, active)]
-                if fams[m].name == "logistic" and np.diag(part).max() < 1e-8 * n:
+    packed = _packed(rows, d).persist(StorageLevel.MEMORY_AND_DISK)
+    few = gathered(packed, packed.map(lambda b: len(b[0]) / 8).sum())
+    try:
+        fixed = None
+        if fams[0].name in ("linear", "gamma"):  # the weights never change: one Gram matrix a fold, whatever the grid
+            sums = _Folds(few, 1 + max((f for f in folds if f is not None), default=0), d)
+            training = {f: sums.training(f)[0] for f in set(folds)}
+            fixed = [training[f] for f in folds]
+        for _ in range(max_iter):
+            new = np.zeros_like(beta)
+            grams, rights, counts = _passes(few, fams, folds, beta, fixed is None)
+            for m, (g, s, n) in enumerate(zip(grams if fixed is None else fixed, rights, counts, strict=True)):
+                a, b = g + n * l2[m] * np.diag(free), g @ beta[m] + s
+                if not (np.isfinite(a).all() and np.isfinite(b).all()):
                     return _descend(rows, fams, folds, l1, l2, active, tol, max_iter, rate)
-                inv = inverse(part)
-                new[m, active] = (np.linalg.pinv(part, rcond=1e-12, hermitian=True) if inv is None else inv) @ b[active]
-        if not np.isfinite(new).all() or np.abs(new).max() >= 1e100:
-            return _descend(rows, fams, folds, l1, l2, active, tol, max_iter, rate)
-        moved, beta = np.abs(new - beta).max(), new
-        if moved < tol:
-            break
-    return beta
+                if l1[m] > 0:
+                    new[m] = np.where(active, descend(a, b, n * l1[m], beta[m]), 0.0)
+                else:
+                    part = a[np.ix_(active, active)]
+                    if fams[m].name == "logistic" and np.diag(part).max() < 1e-8 * n:
+                        return _descend(rows, fams, folds, l1, l2, active, tol, max_iter, rate)
+                    new[m, active] = _solved(part) @ b[active]
+            if not np.isfinite(new).all() or np.abs(new).max() >= 1e100:
+                return _descend(rows, fams, folds, l1, l2, active, tol, max_iter, rate)
+            moved, beta = np.abs(new - beta).max(), new
+            if moved < tol:
+                break
+        return beta
+    finally:
+        packed.unpersist()
 
 
 def _descend(rows: DataFrame, fams: list[Family], folds: list, l1: list[float], l2: list[float], active: np.ndarray, tol: float, max_iter: int, rate: float | None) -> np.ndarray:
     """Accelerated proximal gradient descent for all models at once, one pass a step."""
     d, free = len(active), np.array([0.0] + [1.0] * (len(active) - 1))
     step = rate or (4 / (d + 4 * max(l2)) if fams[0].name == "logistic" else 1 / (d + max(l2)))
-    packed = blocks(rows, [F.col("y"), F.col("fold").cast("double"), *[F.col("x")[i] for i in range(d - 1)]]).persist(StorageLevel.MEMORY_AND_DISK)
+    packed = _packed(rows, d).persist(StorageLevel.MEMORY_AND_DISK)
+    few = gathered(packed, packed.map(lambda b: len(b[0]) / 8).sum())
     beta = before = np.zeros((len(fams), d))
     try:
         for it in range(max_iter):
@@ -110,7 +162,7 @@ def _descend(rows: DataFrame, fams: list[Family], folds: list, l1: list[float],
                             peak[m] = max(peak[m], fam.observed(y[use], mu, ARRAYS).max())
                 yield total, peak
 
-            total, peak = added(packed.mapPartitions(partial))
+            total, peak = added(few.mapPartitions(partial))
             pace = (step / peak)[:, None]
             new = look + pace * (total[:, :d] / np.maximum(total[:, d:], 1) - np.array(l2)[:, None] * free * look)
             new = np.sign(new) * np.maximum(np.abs(new) - pace * np.array(l1)[:, None] * free, 0.0) * active
@@ -129,47 +181,45 @@ class _Prepared:
 
     def __init__(self, source, outcome: str, fam: Family, k: int, order_by: str | None, fold_col: str | None):
         df = table(source)
-        own = free_prefix(df)
-        part_col, row_col, fold = f"{own}part", f"{own}row", f"{own}fold"
-        if fold_col:
-            keyed = df.withColumnRenamed(fold_col, fold)
-        elif order_by:
-            # rows are numbered within ranges of the key, which are then counted up; a second evaluation could cut the
-            # ranges elsewhere, so both read what one job has written
-            ranged = df.repartitionByRange(quoted(order_by)).withColumn(part_col, F.spark_partition_id())
-            ranged = written(ranged.withColumn(row_col, F.row_number().over(Window.partitionBy(part_col).orderBy(quoted(order_by)))))
-            sizes = sorted((r[part_col], r["n"]) for r in ranged.groupBy(part_col).agg(F.count("*").alias("n")).collect())
-            starts, at = {}, 0
-            for part, n in sizes:
-                starts[part], at = at, at + n
-            base = F.element_at(F.create_map(*[F.lit(int(v)) for kv in starts.items() for v in kv]), F.col(part_col)) if starts else F.lit(0)
-            keyed = ranged.withColumn(fold, ((base + F.col(row_col) - 1) % k).cast("int")).drop(part_col, row_col, order_by)
-        else:
-            # physical order: ids rise within a partition and from one to the next
-            numbered = written(df.withColumn(row_col, F.monotonically_increasing_id()))
-            sizes = sorted((r["part"], r["n"]) for r in numbered.groupBy(F.shiftright(row_col, 33).cast("int").alias("part")).agg(F.count("*").alias("n")).collect())
-            at, bases = 0, []
-            for part, n in sizes:
-                bases.append((part, at))
-                at += n
-            base = F.element_at(F.create_map(*[F.lit(int(v)) for kv in bases for v in kv]), F.shiftright(row_col, 33).cast("int")) if bases else F.lit(0)
-            keyed = numbered.withColumn(fold, ((base + F.col(row_col).bitwiseAND(F.lit((1 << 33) - 1))) % k).cast("int")).drop(row_col)
-        self.design = Design(keyed.drop(fold), outcome, fam)
-        self.design.release()
-        with_fold = Design(keyed, outcome, fam)  # the fold takes part as a column, to stay with its row
-        with_fold.release()
-        place = with_fold.features.index(fold)
-        x = [F.col(f"x{i}") for i in range(len(with_fold.features)) if i != place]
-        d = self.design
+        fold = f"{free_prefix(df)}fold"
+        keyed = df.withColumnRenamed(fold_col, fold) if fold_col else numbered(df, order_by, fold, k)
+        self.design = d = Design(keyed, outcome, fam, carry=fold)
+        d.release()
+        x = [F.col(f"x{i}") for i in range(len(d.features))]
         z = F.array(*[(c - float(m)) / float(s) for c, m, s in zip(x, d.mean, d.sd, strict=True)])
         scale = (F.col("y") - d.y_mean) / d.y_sd if fam.identity else F.col("y") / d.y_mean if fam.log_link else F.col("y")
-        self.rows = with_fold.rows.select(scale.alias("y"), F.col(f"x{place}").cast("int").alias("fold"), z.alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
+        self.rows = d.rows.select(scale.alias("y"), F.col("carried").cast("int").alias("fold"), z.alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
         self.active = np.concatenate([[True], ~d.constant])
 
 
+def numbered(df: DataFrame, order_by: str | None, name: str, k: int) -> DataFrame:
+    """``df`` without the key and with the row's number modulo ``k`` as column ``name``. Rows are numbered by the key, null
+    keys last, and equal keys by the hash of the whole row, so that only equal rows could change places; without a key in
+    physical order. They are numbered within ranges, which are then counted up; a second evaluation could cut the ranges
+    elsewhere, so both steps read what one job has written."""
+    own = free_prefix(df)
+    row, part = f"{own}row", f"{own}part"
+    if order_by:
+        order = [F.col(quoted(order_by)).asc_nulls_last(), F.xxhash64(*map(quoted, df.columns)), F.xxhash64(F.monotonically_increasing_id())]
+        names = [f"{own}k{i}" for i in range(3)]
+        df = df.withColumns(dict(zip(names[1:], order[1:], strict=True)))
+        sort = [order[0], *names[1:]]
+        df = df.repartitionByRange(*sort).sortWithinPartitions(*sort).drop(*names[1:])
+    # ids rise within a partition and from one to the next
+    rows = written(df.withColumn(row, F.monotonically_increasing_id()))
+    in_part = F.shiftright(row, 33)
+    sizes = sorted((r[part], r["n"]) for r in rows.groupBy(in_part.alias(part)).agg(F.count("*").alias("n")).collect())  # one row a partition
+    starts = np.cumsum([0, *(n for _, n in sizes)])[:-1]
+    known = pa.table({part: pa.array([p for p, _ in sizes], pa.int64()), f"{own}start": pa.array(starts, pa.int64())})
+    placed = rows.join(rows.sparkSession.createDataFrame(known), in_part == F.col(part)) if sizes else rows.withColumn(f"{own}start", F.lit(0))
+    number = F.col(f"{own}start") + F.col(row).bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn(name, (number % k).cast("int")).drop(row, part, f"{own}start", *([order_by] if order_by else []))
+
+
 def cross_validate(sweep: str, source, outcome: str, family_name: str, grid: list[float], k: int = 5, max_iter: int = 20000, learning_rate: float | None = None, tol: float = 1e-8, order_by: str | None = None, fold_col: str | None = None) -> DataFrame:
     """(value, cv_deviance) for each grid point, in the grid's order. Rows are dealt to folds in the order of
-    ``order_by`` or by ``fold_col``; without either, in physical order. Incomplete rows keep their number but are left out."""
+    ``order_by`` or by ``fold_col``; without either, in physical order. Incomplete rows keep their number but are left out.
+    Linear sweeps of penalties take one pass whatever the grid."""
     if family_name not in ("linear", "logistic", "poisson", "gamma", "tweedie", "nbinom"):
         raise ModelError(f"unsupported family {family_name!r}")
     if k < 2:
@@ -184,16 +234,15 @@ def cross_validate(sweep: str, source, outcome: str, family_name: str, grid: lis
     try:
         y_mean, y_sd = p.design.y_mean, p.design.y_sd
         models = [(g, f) for g in range(len(grid)) for f in range(k)]
-        inner = [fams[g].scaled(y_mean) for g, _ in models]
         penalty = {s: [grid[g] if sweep == s else 0.0 for g, _ in models] for s in ("l1", "l2")}
-        beta = _solve(p.rows, inner, [f for _, f in models], penalty["l1"], penalty["l2"], len(p.active), p.active, tol, max_iter, learning_rate)
-
-        def losses(batches):
-            total = np.zeros(len(grid) + 1)
-            for batch in batches:
-                y, fold = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                x = np.hstack([np.ones((len(y), 1)), np.asarray(batch.column(2).flatten(), float).reshape(len(y), -1)])
-                total[-1] += len(y)
+        lost = _linear_losses(p, k, grid, sweep) if fams[0].identity else None
+        if lost is None:
+            inner = [fams[g].scaled(y_mean) for g, _ in models]
+            beta = _solve(p.rows, inner, [f for _, f in models], penalty["l1"], penalty["l2"], len(p.active), p.active, tol, max_iter, learning_rate)
+
+            def part(block):
+                y, fold = block[:, 0], block[:, 1]
+                x, total = np.hstack([np.ones((len(y), 1)), block[:, 2:]]), np.zeros(len(grid))
                 for m, (g, f) in enumerate(models):
                     own = fold == f
                     mu = fams[g].mean(x[own] @ beta[m], ARRAYS)
@@ -203,15 +252,22 @@ def cross_validate(sweep: str, source, outcome: str, family_name: str, grid: lis
                         total[g] += fams[g].deviance(y[own] * y_mean, mu * y_mean, ARRAYS).sum()
                     else:
                         total[g] += fams[g].deviance(y[own], mu, ARRAYS).sum()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["place", "part"])
+                return [total]
 
-        found = {r["place"]: r["v"] for r in p.rows.select("y", "fold", "x").mapInArrow(losses, "place int, part double").groupBy("place").agg(F.sum("part").alias("v")).collect()}
-        n = found[len(grid)]
-        return table(source).sparkSession.createDataFrame([(float(g), float(found[i] / n)) for i, g in enumerate(grid)], f"{sweep} double, cv_deviance double")
+            lost = summed(_packed(p.rows, len(p.active)), part)[0]
+        return table(source).sparkSession.createDataFrame([(float(g), float(v / p.design.n)) for g, v in zip(grid, lost, strict=True)], f"{sweep} double, cv_deviance double")
     finally:
         p.rows.unpersist()
 
 
+def _linear_losses(p: _Prepared, k: int, grid: list[float], sweep: str) -> np.ndarray | None:
+    """Squared errors of all linear models from the sums of one pass; None where they keep too few digits."""
+    sums = _Folds(_packed(p.rows, len(p.active)), k, len(p.active))
+    l1, l2 = ([v if sweep == s else 0.0 for v in grid] for s in ("l1", "l2"))
+    lost = sum(sums.losses(f, sums.path(f, l1, l2, p.active)) for f in range(k) if sums.n[f])
+    return lost * p.design.y_sd**2 if np.isfinite(lost).all() else None
+
+
 def cross_validate_refine(sweep: str, source, outcome: str, family_name: str, grid: list[float], k: int = 5, n_refine: int = 10, *args, **options) -> DataFrame:
     """A second sweep around the best point of the first; of equal points the first in the grid is best."""
     first = cross_validate(sweep, source, outcome, family_name, grid, k, *args, **options).collect()
@@ -251,33 +307,10 @@ def nbinom_dispersion_refine(source, outcome: str, alpha_grid: list[float], n_re
     return nbinom_dispersion(source, outcome, refined([float(a) for a in alpha_grid], best, n_refine), *args, **options)
 
 
-#: Every level becomes a column; a column with more is an identifier.
-MOST_LEVELS = 5000
-
-
-def _levels(df: DataFrame, outcome: str) -> dict[str, list[str]]:
-    """Levels of each string column but the lowest, from one pass."""
-    names = sorted(f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name != outcome)
-    if not names:
-        return {}
-    counts = df.agg(*[F.approx_count_distinct(quoted(c)) for c in names]).first()
-    if large := [c for c, n in zip(names, counts, strict=True) if n > MOST_LEVELS]:
-        raise ModelError(f"column {large[0]!r} has more than {MOST_LEVELS} levels; drop it or group its levels")
-    row = df.agg(*[F.array_sort(F.collect_set(quoted(c))).alias(f"c{i}") for i, c in enumerate(names)]).first()
-    return {c: list(row[i])[1:] for i, c in enumerate(names)}
-
-
-def encode_dummies(source, outcome: str) -> DataFrame:
-    """Treatment contrasts: a 0/1 column for each level of a string column but the lowest; NULL stays NULL."""
-    df = table(source)
-    levels = _levels(df, outcome)
-    kept = [F.col(quoted(c)) for c in df.columns if c not in levels]
-    return df.select(*kept, *[(F.col(quoted(c)) == F.lit(v)).cast("int").alias(f"{c}_{v}") for c, vs in levels.items() for v in vs])
-
-
 def dummy_encode_sql(name: str, outcome: str) -> str:
-    """The same as SQL text over a table name."""
-    levels = _levels(table(name), outcome)
+    """What ``encode_dummies`` does as SQL text over a table name."""
+    df = table(name)
+    levels = {c: vs[1:] for c, vs in levels_of(df, text_columns(df, [outcome])).items()}
     if not levels:
         return f"SELECT * FROM {name}"
     escape = lambda v: v.replace("\\", "\\\\").replace("'", "\\'")

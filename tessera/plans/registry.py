@@ -14,6 +14,7 @@ from tessera.functions import distributions
 from tessera.operators import api
 from tessera.plans import sql
 from tessera.sources import files
+from tessera.streaming import arriving, scored_files
 
 TABLES = ("customer", "orders", "lineitem", "events", "part", "supplier", "nation", "labels")
 PLAIN = "cast(0 as double) as o, cast(1 as double) as a"
@@ -132,9 +133,12 @@ def multinom_summary(spark, sf_dir):
     return rounded(api.multinom_summary(api.multinom_fit(df.drop("key"), "y"), df, "y").select("class", *_Z), statistic=4)
 
 
-@_query("multinom_fit__event_type")
+_EVENTS = "select event_type as y, ln(value) as x, cast(hour(ts) as double) / 12 as h from events where value > 0"
+
+
+@_query("multinom_fit__event_type", sql.softmax(_EVENTS))
 def multinom_events(spark, sf_dir):
-    df = rows(spark, sf_dir, "select event_type as y, ln(value) as x, cast(hour(ts) as double) / 12 as h from events")
+    df = rows(spark, sf_dir, _EVENTS)
     return rounded(api.multinom_fit(df, "y"))
 
 
@@ -218,24 +222,72 @@ def multinom_summary_three(spark, sf_dir):
     return rounded(api.multinom_summary(model, df.drop("key"), "y"), statistic=4)
 
 
-@_query("reg_grid__log", "select i, round(exp(ln(0.01) + (ln(10) - ln(0.01)) * i / 3.0), 9) as v from range(4) t(i)")
-def grid(spark, sf_dir):
-    return spark.createDataFrame([(i, round(v, 9)) for i, v in enumerate(api.reg_grid(0.01, 10, 4, log_spaced=True))], "i long, v double")
+#: Orders up to each point of a grid between the lowest and the highest price.
+_GRID = {"log": "exp(ln(lo) + (ln(hi) - ln(lo)) * i / 19.0)", "linear": "lo + (hi - lo) * i / 19.0"}
+for _spaced, _point in _GRID.items():
+
+    def _counted(spark, sf_dir, spaced=_spaced):
+        price = rows(spark, sf_dir, "select o_totalprice as p from orders where o_totalprice > 0")
+        points = api.reg_grid(*price.agg(F.min("p"), F.max("p")).first(), 20, log_spaced=spaced == "log")
+        counts = price.agg(*[F.count(F.when(F.col("p") <= v * (1 + 1e-12), 1)).alias(f"c{i}") for i, v in enumerate(points)])
+        stacked = ", ".join(f"{i}L, {v!r}D, c{i}" for i, v in enumerate(points))
+        return rounded(counts.selectExpr(f"stack(20, {stacked}) as (i, v, orders)"))
+
+    _query(f"reg_grid__{_spaced}", f"""with b as (select min(o_totalprice) as lo, max(o_totalprice) as hi from orders where o_totalprice > 0), g as (select i, {_point} as v from range(20) t(i), b)
+select i, round(v, 6) + 0.0 as v, (select count(*) from orders where o_totalprice > 0 and o_totalprice <= v * (1 + 1e-12)) as orders from g""")(_counted)
 
 
-#: Where the distribution functions are compared: (argument, degrees of freedom).
-_POINTS = {
-    "norm_cdf": [(x / 4, None) for x in range(-24, 25, 3)], "norm_ppf": [(x / 1000, None) for x in (1, 10, 25, 100, 300, 500, 750, 975, 999)],
-    "t_cdf": [(x / 4, float(df)) for df in (1, 2, 5, 30, 101) for x in range(-20, 21, 5)], "t_ppf": [(x / 1000, float(df)) for df in (1, 2, 10, 57) for x in (10, 100, 500, 800, 975)],
+#: Where the distribution functions are computed: rows (key, argument, degrees of freedom), digits that are compared.
+_ARGUMENTS = {
+    "norm_cdf": ("lineitem", "select l_orderkey * 10 + l_linenumber as key, l_extendedprice / 12000 - 3 as p, 1 as df from lineitem", 7),
+    "norm_ppf": ("part", "select p_partkey as key, (p_retailprice - 899.95) / 100.1 as p, 1 as df from part", 8),
+    "t_cdf": ("customer", "select c_custkey as key, c_acctbal / 1500 - 3 as p, c_nationkey + 1 as df from customer", 8),
+    "t_ppf": ("customer", "select c_custkey as key, (c_acctbal + 1000.5) / 11001 as p, c_nationkey % 25 + 1 as df from customer", 6),
 }
-for _fn, _given in _POINTS.items():
+for _fn, (_table, _source, _digits) in _ARGUMENTS.items():
+
+    def _column(spark, sf_dir, fn=_fn, source=_source, digits=_digits):
+        df = rows(spark, sf_dir, source)
+        args = [F.col("p")] if fn.startswith("norm") else [F.col("p"), F.col("df").cast("double")]
+        return df.select("key", (F.round(getattr(distributions, fn)(*args), digits) + 0.0).alias("v"))
+
+    _query(f"{_fn}__{_table}", sql.over(_fn, _source, _digits))(_column)
+
+
+#: Models of many features. One label alone makes them saturated, so that SQL has them from the groups' means.
+_LEVELS = {
+    "linreg_fit__customers": ("linreg", "select o_totalprice / 997 as y, cast(o_custkey as {text}) as g from orders", "{0}"),
+    "poisson_fit__suppliers": ("poisson", "select l_quantity as y, cast(l_suppkey as {text}) as g from lineitem", "ln({0})"),
+}
+for _name, (_kind, _source, _link) in _LEVELS.items():
+    _query(_name, sql.saturated(_source.format(text="varchar"), "g_", _link))(
+        lambda spark, sf_dir, k=_kind, q=_source.format(text="string"): rounded(getattr(api, f"{k}_fit")(rows(spark, sf_dir, q), "y", encode=True))
+    )
+_BUCKETS = 120
+_WIDE = "select o_totalprice / 997 as y, cast({pad}(cast(o_orderkey % " + str(_BUCKETS) + " as {text}), 3, '0') as {text}) as g from orders"
+
+
+@_query("linreg_fit__wide", sql.saturated(_WIDE.format(pad="lpad", text="varchar"), "g_"))
+def wide_fit(spark, sf_dir):
+    """Many numeric columns, fitted without their Gram matrix."""
+    df = rows(spark, sf_dir, _WIDE.format(pad="lpad", text="string"))
+    return rounded(api.linreg_fit(df.select("y", *[(F.col("g") == f"{i:03d}").cast("double").alias(f"g_{i:03d}") for i in range(1, _BUCKETS)]), "y", solver="cg"))
+
+
+#: Tied and missing keys. Rows with one key are equal, so that the folds' contents do not hang on the order of ties.
+_TIED = "select nullif(l_quantity, 50) as key, l_quantity / 10 + (l_quantity * 7) % 4 as y, l_quantity / 10 as x, l_quantity % 3 as h from lineitem"
+_PAIRS = "select o_orderkey as key, o_totalprice / 10000 + o_custkey % 13 as y, o_totalprice / 10000 as x, cast(o_custkey % 7 as double) as h from orders"
+for _name, _source in (("tied_keys", _TIED), ("two_features", _PAIRS)):
+    _query(f"cv_l2__{_name}", sql.cv_pairs(_source, [0.0, 0.1, 1.0]))(lambda spark, sf_dir, q=_source: rounded(api.cv_l2(rows(spark, sf_dir, q), "y", "linear", [0.0, 0.1, 1.0], order_by="key")))
 
-    def _points(spark, sf_dir, fn=_fn, given=_given):
-        df = spark.createDataFrame(given, "p double, df double")
-        args = [F.col("p")] if fn.startswith("norm") else [F.col("p"), F.col("df")]
-        return df.select("p", (F.round(getattr(distributions, fn)(*args), 9) + 0.0).alias("v"))
 
-    _query(f"{_fn}__points", sql.points(_fn, _given).replace(", 9) as v", ", 9) + 0.0 as v"))(_points)
+@_query("gamma_predict__stream", ORACLES["gamma_predict__plain"])
+def scored_stream(spark, sf_dir):
+    """The events arrive as files; what has been scored is read back from the sink."""
+    model = _model("gamma", rows(spark, sf_dir, DESIGNS["gamma"]))
+    events = arriving(spark, sf_dir, "events", files(spark, sf_dir, "events").schema)
+    stream = events.where("value > 0").selectExpr("event_id as key", "cast(user_id % 7 as double) as x")
+    return rounded(scored_files(model, stream, "gamma").select("key", "prediction"))
 
 
 @_query("dummy_encode__priority", """select o_orderkey, """ + ", ".join(f"""cast(o_orderpriority = '{v}' as int) as "o_orderpriority_{v}" """ for v in ("2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")) + " from orders")

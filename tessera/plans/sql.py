@@ -221,13 +221,51 @@ def penalized(family: str, sweep: str, value: float, data: str, digits: int) ->
 select '(Intercept)' as feature, round(b0 - b1 * xm / xs, {digits}) + 0.0 as coefficient from m1, s where i = 40 union all select 'x', round(b1 / xs, {digits}) + 0.0 from m1, s where i = 40"""
 
 
-def points(fn: str, given: list[tuple]) -> str:
-    """A distribution function at (p, degrees of freedom), by series; quantiles by bisection of the series."""
-    rows = ", ".join(f"(cast({p} as double), {'null' if df is None else int(df)})" for p, df in given)
+def over(fn: str, source: str, digits: int) -> str:
+    """A distribution function over rows (key, p, df) of ``source``, by series; quantiles by bisection of the series."""
     below = "case when x < 0 then {0} else 1 - {0} end"
     cdf = below.format(normal_tail("abs(x)")) if fn.startswith("norm") else below.format(f"(1 - {student_inside('abs(x)', 'df')}) / 2")
     if fn.endswith("cdf"):
-        return f"select x as p, round({cdf}, 9) as v from (values {rows}) g(x, df)"
-    return f"""with recursive b as (select p, df, cast(-1000 as double) as lo, cast(1000 as double) as hi, 0 as i from (values {rows}) g(p, df)
-  union all select p, df, case when f < p then x else lo end, case when f < p then hi else x end, i + 1 from (select *, {cdf} as f from (select *, (lo + hi) / 2 as x from b where i < 90)))
-select p, round((lo + hi) / 2, 9) as v from b where i = 90"""
+        return f"select key, round({cdf}, {digits}) + 0.0 as v from (select key, p as x, df from ({source}))"
+    return f"""with recursive b as (select key, p, df, cast(-1000 as double) as lo, cast(1000 as double) as hi, 0 as i from ({source})
+  union all select key, p, df, case when f < p then x else lo end, case when f < p then hi else x end, i + 1 from (select *, {cdf} as f from (select *, (lo + hi) / 2 as x from b where i < 70)))
+select key, round((lo + hi) / 2, {digits}) + 0.0 as v from b where i = 70"""
+
+
+def softmax(data: str, steps: int = 90) -> str:
+    """Softmax regression of y (a label) on x and h. Steps divide the gradient by a fixed bound of the Hessian, half of
+    (I - 1/K) times the cross products of the centred rows, whose inverse is known; with labels that lean little on x and h
+    they gain a digit in five."""
+    return f"""with recursive d as ({data}), a as (select avg(x) as mx, avg(h) as mh from d), k as (select y, row_number() over (order by y) - 1 as k from (select distinct y from d)),
+r as (select k.k as c, x - mx as x, h - mh as h from d join k using (y), a),
+m as (select count(*) as n, sum(x * x) as sxx, sum(x * h) as sxh, sum(h * h) as shh from r),
+w as (select n, shh / (sxx * shh - sxh * sxh) as ixx, -sxh / (sxx * shh - sxh * sxh) as ixh, sxx / (sxx * shh - sxh * sxh) as ihh from m),
+o as (select k as j from k where k > 0),
+s as (select 0 as i, list_transform(range(1, (select count(*) from k)), lambda v: cast(0 as double)) as b0, list_transform(range(1, (select count(*) from k)), lambda v: cast(0 as double)) as b1, list_transform(range(1, (select count(*) from k)), lambda v: cast(0 as double)) as b2
+  union all
+  select i + 1, list(b0[j] + 2 * (g0 + t0) / n order by j), list(b1[j] + 2 * (ixx * (g1 + t1) + ixh * (g2 + t2)) order by j), list(b2[j] + 2 * (ixh * (g1 + t1) + ihh * (g2 + t2)) order by j)
+  from (select *, sum(g0) over () as t0, sum(g1) over () as t1, sum(g2) over () as t2 from (
+    select i, b0, b1, b2, j, sum(q) as g0, sum(q * x) as g1, sum(q * h) as g2 from (
+      select i, b0, b1, b2, x, h, j, case when c = j then 1.0 else 0.0 end - e[j] / (1 + list_sum(e)) as q from (
+        select *, list_transform(b0, lambda v, p: exp(v + b1[p] * x + b2[p] * h)) as e from s, r where i < {steps}), o)
+    group by i, b0, b1, b2, j)), w group by i),
+z as (select b0, b1, b2, mx, mh from s, a where i = {steps})
+select y as class, '(Intercept)' as feature, round(case when k = 0 then 0.0 else b0[k] - b1[k] * mx - b2[k] * mh end, 6) + 0.0 as coefficient from k, z
+union all select y, 'x', round(case when k = 0 then 0.0 else b1[k] end, 6) + 0.0 from k, z union all select y, 'h', round(case when k = 0 then 0.0 else b2[k] end, 6) + 0.0 from k, z"""
+
+
+def saturated(data: str, prefix: str, link: str = "{0}") -> str:
+    """A model of y on the dummies of one label ``g`` alone: differences of the groups' (linked) means to the lowest one's."""
+    mean = link.format("avg(y)")
+    return f"""with g as (select g, {mean} as v from ({data}) group by g), b as (select v as base from g order by g limit 1)
+select case when v is null then '' when g = (select min(g) from g) then '(Intercept)' else '{prefix}' || g end as feature, round(case when g = (select min(g) from g) then v else v - base end, 6) + 0.0 as coefficient from g, b"""
+
+
+def cv_pairs(data: str, grid: list[float], k: int = 5, nulls: str = "last") -> str:
+    """A linear ridge sweep over two features (x, h): normal equations of each training part, centred and solved in place."""
+    return f"""with d as ({data}), s as (select avg(y) as ym, stddev_pop(y) as ys, avg(x) as xm, stddev_pop(x) as xs, avg(h) as hm, stddev_pop(h) as hs from d),
+z as (select (row_number() over (order by key nulls {nulls}) - 1) % {k} as fold, (y - ym) / ys as t, (x - xm) / xs as x, (h - hm) / hs as h, ys from d, s),
+f as (select unnest(range({k})) as m), v as (select unnest([{", ".join(f"cast({g} as double)" for g in grid)}]) as v),
+t as (select m, count(*) as n, avg(t) as mt, avg(x) as mx, avg(h) as mh, var_pop(x) as vx, var_pop(h) as vh, covar_pop(x, h) as vxh, covar_pop(x, t) as vxt, covar_pop(h, t) as vht from z join f on fold <> m group by m),
+b as (select v, m, mt, mx, mh, ((vh + v) * vxt - vxh * vht) / ((vx + v) * (vh + v) - vxh * vxh) as b1, ((vx + v) * vht - vxh * vxt) / ((vx + v) * (vh + v) - vxh * vxh) as b2 from t, v)
+select v as l2, round(avg(pow((t - mt - b1 * (x - mx) - b2 * (h - mh)) * ys, 2)), 6) as cv_deviance from z join b on fold = m group by v"""

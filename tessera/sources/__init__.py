@@ -28,19 +28,23 @@ def files(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written once below ``spark.checkpoint.dir`` and read back, so that every job sees the same rows."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share."""
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         base = spark.sparkContext.getCheckpointDir()
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once below ``spark.checkpoint.dir`` and read back, so that every job sees the same rows."""
+    path = shared_folder(df.sparkSession)
     df = df.withColumns({c: F.col("`" + c.replace("`", "``") + "`").cast("string") for c, kind in df.dtypes if kind == "void"})
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def save_model(model: DataFrame, name: str) -> None:
