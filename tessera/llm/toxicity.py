@@ -9,7 +9,7 @@ The expected number of toxic tokens, calibrated on the training documents, is th
 or more are the offending spans.
 
 Bounds of the fit, all parameters of ``train``: at most ``sample`` labelled rows of each class, those with the smallest hash
-of their id, whose texts together have at most ``sample_mb`` MB; at most ``most`` features; at most ``places`` stretches a
+of their id, whose texts together have at most ``sample_mb`` MB, each at most a hundredth of that; at most ``most`` features; at most ``places`` stretches a
 text, drawn at random from its tokens with features, and ``stretches`` in all. Everything else covers all rows.
 
 Null and empty texts have no tokens and get the score of no toxic token; very long texts are scored whole. Null labels are
@@ -169,10 +169,13 @@ def _chosen(docs: DataFrame, labels: DataFrame, sample: int, sample_mb: int) ->
     chosen = [usable.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
     chosen = chosen[0].union(chosen[1]).select(F.col("doc_id").alias("_id"), "toxic")  # at most 2 x sample ids
     rows = own(docs, "doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    rows = materialise(rows.select("toxic", F.xxhash64("doc_id").alias("h"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")))
-    sizes = sorted((r["h"], r["size"]) for r in rows.select("h", F.octet_length("text").alias("size")).collect())  # a row's two numbers
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    rows = rows.withColumn("text", text).withColumn("size", F.octet_length("text"))
+    # a text of more than its share of the bytes could keep all others out; of rows with one id and label one is enough
+    rows = rows.where(F.col("size") <= max(1, (sample_mb << 20) // 100)).groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = materialise(rows.select("toxic", F.xxhash64("doc_id", "toxic").alias("h"), "text", F.octet_length("text").alias("size")))
     total, last = 0, None
-    for h, size in sizes:
+    for h, size in sorted((r["h"], r["size"]) for r in rows.select("h", "size").collect()):  # at most 4 x sample rows
         total += size
         if total > sample_mb << 20:
             break

@@ -15,7 +15,7 @@ import sentencepiece  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-from tessera.llm import hard_negatives, merkle, token_counts  # noqa: E402
+from tessera.llm import hard_negatives, merkle, token_counts, toxicity  # noqa: E402
 from tessera.llm.common import read  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
@@ -184,3 +184,15 @@ def test_mining_of_hard_rows(spark):
     assert sorted(map(tuple, hard_negatives.mine(df, F.col("vec_id") % 100 == 0).collect())) == plain_mining(rows)
     assert hard_negatives.mine(df.limit(0), F.col("vec_id") % 100 == 0).collect() == []
     assert hard_negatives.mine(df, F.col("vec_id") == 77).collect() == []
+
+
+def test_one_long_text_does_not_end_training(spark):
+    """Wherever its id's hash stands: it is left out of the sample, the others stay. Repeated rows count once."""
+    docs, labels = read(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text"), read(spark, "/root/testdata/sf0.01", "labels").select("doc_id", "toxic")
+    before = toxicity.train(docs, labels, sample_mb=1)
+    assert before is not None
+    for doc_id in (3_000_001, 3_000_002, 3_000_004):  # not held out
+        long_docs = docs.union(spark.createDataFrame([(doc_id, "a long and harmless text " * 60_000)], "doc_id long, text string"))
+        after = toxicity.train(long_docs, labels.union(spark.createDataFrame([(doc_id, 0)], "doc_id long, toxic int")), sample_mb=1)
+        assert after.slot == before.slot and np.allclose(after.weight, before.weight)
+    assert toxicity.train(docs.union(docs), labels, sample_mb=1).slot == before.slot
