@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.families import COLUMNS, Family, ModelError
-from tessera.operators.gram import blocks, cross, descend, gathered, gradient, inverse, steps_over
+from tessera.operators.gram import blocks, cross, descend, gathered, gradient, inverse, root_inverse, steps_over, triangle
 from tessera.operators.names import INTERCEPT, check_names, check_outcome, number, quoted, used_columns
 from tessera.operators.steps import accelerated
 from tessera.operators.wide import encode_dummies, fit_wide
@@ -112,6 +112,8 @@ def irls(design: Design, fam: Family, l1: float, l2: float, tol: float, max_iter
         else:
             part = a[np.ix_(active, active)]
             inv = inverse(part)
+            if inv is None and fam.identity and (exact := factored(design, ridge, active)) is not None:
+                return exact
             if inv is None:
                 if strict or (fam.name == "logistic" and np.diag(part).max() < 1e-8 * design.total):
                     return None
@@ -125,6 +127,20 @@ def irls(design: Design, fam: Family, l1: float, l2: float, tol: float, max_iter
     return beta
 
 
+def factored(design: Design, ridge: np.ndarray, active: np.ndarray) -> np.ndarray | None:
+    """Least squares from the rows' triangular factor, for columns that are nearly dependent; None if they are."""
+    v = [F.col("a"), F.lit(1.0), *design.z, design.y - design.offset]
+    r = triangle(blocks(design.rows, v))
+    used = np.append(active, True)
+    r = np.linalg.qr(np.vstack([r, np.column_stack([np.sqrt(ridge), np.zeros(len(ridge))])])[:, used], mode="r")
+    left, right = r[:-1, :-1], r[:-1, -1]
+    if len(left) < used.sum() - 1 or root_inverse(left) is None:
+        return None
+    beta = np.zeros(len(active))
+    beta[active] = np.linalg.solve(left, right)
+    return beta
+
+
 def descent(design: Design, fam: Family, l1: float, l2: float, tol: float, max_iter: int, rate: float | None) -> np.ndarray:
     """Accelerated proximal gradient descent; each step's gradient is summed over the rows where they lie."""
     d = len(design.z) + 1

@@ -130,6 +130,41 @@ def gradient(rows: RDD | list, fam: Family, beta: np.ndarray) -> tuple[np.ndarra
     return right, float(peak)
 
 
+def triangle(rows: RDD) -> np.ndarray:
+    """The triangular factor of the rows, given as blocks (weight, columns..): every partition reduces to one, and two are
+    merged by factoring one above the other. It keeps the digits that squares lose."""
+
+    def partial(found):
+        r = None
+        for raw, width in found:
+            block = np.frombuffer(raw).reshape(-1, width)
+            v = np.sqrt(block[:, :1]) * block[:, 1:]
+            if len(v):
+                r = np.linalg.qr(v if r is None else np.vstack([r, v]), mode="r")
+        if r is not None:
+            yield r
+
+    join = lambda p, q: np.linalg.qr(np.vstack([p, q]), mode="r")
+    parts = rows.mapPartitions(partial)
+    return parts.reduce(join) if parts.getNumPartitions() <= 64 else parts.treeReduce(join)
+
+
+#: Below this ratio of its smallest to its largest singular value a factor counts as singular.
+SINGULAR = 1e-11
+
+
+def root_inverse(r: np.ndarray) -> np.ndarray | None:
+    """The inverse of r'r for a triangular factor r, with its columns scaled to one length, or None."""
+    scale = np.sqrt((r * r).sum(0))
+    if not np.all(np.isfinite(r)) or np.any(~(scale > 0)):
+        return None
+    u, s, v = np.linalg.svd(r / scale)
+    if s[-1] < SINGULAR * s[0]:
+        return None
+    back = v.T / s
+    return back @ back.T / np.outer(scale, scale)
+
+
 def inverse(a: np.ndarray, limit: float = 1e-12) -> np.ndarray | None:
     """Inverse through the unit-diagonal form, or None where a pivot of it falls below ``limit``."""
     scale = np.sqrt(np.diag(a))

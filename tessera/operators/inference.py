@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions.distributions import normal_cdf, normal_ppf, student_ppf, student_tail
 from tessera.operators.families import COLUMNS, Family, ModelError
 from tessera.operators.fitting import INTERCEPT, number, quoted
-from tessera.operators.gram import cross, inverse
+from tessera.operators.gram import blocks, cross, inverse, root_inverse, triangle
 from tessera.operators.scoring import coefficients, predictor
 from tessera.sources import free_prefix, table
 
@@ -78,11 +78,19 @@ class Fitted:
         return back @ cov @ back.T
 
     def covariance(self) -> np.ndarray | None:
-        inv = inverse(self.expected)
+        inv = self.inverted(self.expected, self.a * self.fam.information(self.mu, COLUMNS))
         return None if inv is None or self.phi is None else self.phi * inv
 
+    def inverted(self, gram: np.ndarray, weight: Column) -> np.ndarray | None:
+        """The inverse of X'WX; where too few of its digits are left, from the triangular factor of the rows."""
+        inv = inverse(gram)
+        if inv is not None or not self.n or np.any(~(np.diag(gram) > 0)):
+            return inv
+        r = triangle(blocks(self.rows, [F.greatest(weight, F.lit(0.0)), F.lit(1.0), *self.xs]))
+        return root_inverse(r) if len(r) == self.d else None
+
     def sandwich(self, robust: str, clustered: bool) -> np.ndarray | None:
-        bread = inverse(self.observed)
+        bread = self.inverted(self.observed, self.a * self.fam.observed(self.y, self.mu, COLUMNS))
         if bread is None or self.free <= 0:
             return None
         score = self.fam.score(self.y, self.mu, COLUMNS)

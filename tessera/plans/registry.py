@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import distributions
-from tessera.operators import api
+from tessera.operators import api, sql_functions
+from tessera.operators.families import family
 from tessera.plans import sql
 from tessera.sources import files
 from tessera.streaming import arriving, scored_files
@@ -290,6 +291,18 @@ def scored_stream(spark, sf_dir):
     return rounded(scored_files(model, stream, "gamma").select("key", "prediction"))
 
 
+for _kind, _call in (("poisson", "rates()"), ("logit", "chances(threshold => 0.5)")):
+
+    def _sql(spark, sf_dir, kind=_kind, call=_call):
+        df = rows(spark, sf_dir, DESIGNS[kind])
+        df.createOrReplaceTempView(f"{kind}_rows")
+        fam = family({"logit": "logistic"}.get(kind, kind))
+        sql_functions.create_predict(spark, call.split("(")[0], fam, _model(kind, df), f"{kind}_rows")
+        return rounded(spark.sql(f"select key, {'prob, pred' if kind == 'logit' else 'prediction'} from {call}"))
+
+    _query(f"{_kind}_predict__sql", ORACLES[f"{_kind}_predict__{_NAMES.get(_kind, 'plain')}"])(_sql)
+
+
 @_query("dummy_encode__priority", """select o_orderkey, """ + ", ".join(f"""cast(o_orderpriority = '{v}' as int) as "o_orderpriority_{v}" """ for v in ("2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")) + " from orders")
 def dummies(spark, sf_dir):
     return api.encode_dummies(files(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tessera.functions import distributions
-from tessera.operators import api, multinomial, selection, wide
+from tessera.operators import api, multinomial, selection, sql_functions, wide
 from tessera.operators.families import ARRAYS, family
 from tessera.operators.fitting import Design
 from tessera.streaming import scored_files
@@ -320,3 +320,48 @@ def test_wide_design_keeps_what_a_narrow_one_has(spark):
     narrow, broad = Design(df, "y", family("gamma"), weights_col="a"), wide.WideDesign(df, "y", family("gamma"), weights_col="a")
     narrow.release(), broad.release()
     assert broad.mean == pytest.approx(narrow.mean) and broad.sd == pytest.approx(narrow.sd) and broad.y_mean == pytest.approx(narrow.y_mean)
+
+
+def test_nearly_dependent_columns_keep_their_digits(spark):
+    """Two columns that differ by 1e-8: the squares have lost what tells them apart."""
+    n, eps = 400, 2.0**-27
+    x = np.arange(n) % 16 - 7.5
+    u = np.where(np.arange(n) // 16 % 2 == 0, 1.0, -1.0) * 1.0
+    u -= x * (u @ x) / (x @ x)
+    u = np.round(u * 16) / 16
+    noise = np.cos(np.arange(n)) * 1e-6
+    y = 1 + 2 * x + 3 * (x + eps * u) + noise
+    df = frame(spark, np.column_stack([x, x + eps * u]), y).repartition(4)
+    model = api.linreg_fit(df, "y")
+    basis = np.column_stack([np.ones(n), x, u])  # the same column space, well apart
+    flat, rest = np.linalg.lstsq(basis, y, rcond=None)[:2]
+    want = {"(Intercept)": flat[0], "x00": flat[1] - flat[2] / eps, "x01": flat[2] / eps}
+    found = coefficients(model)
+    assert {c: found[c] for c in want} == pytest.approx(want, rel=1e-5)
+    error = math.sqrt(rest[0] / (n - 3) * np.linalg.inv(basis.T @ basis)[2, 2]) / eps
+    assert api.linreg_summary(model, df, "y").where("feature = 'x01'").first()["std_error"] == pytest.approx(error, rel=1e-5)
+    twice = frame(spark, np.column_stack([x, x]), y)
+    with pytest.raises(ValueError, match="singular"):
+        api.linreg_fit(twice, "y", solver="irls")
+    assert api.linreg_summary(api.linreg_fit(twice, "y"), twice, "y").first()["std_error"] is None
+
+
+def test_models_as_sql_functions(spark):
+    x, ys = sample(120, 2)
+    df = frame(spark, x, ys["logit"], o=np.linspace(-1, 1, 120)).selectExpr("x00 as `a b`", "x01", "y", "o", "cast(x01 as string) as s")
+    features = df.select("a b", "x01", "y", "o")
+    for kind, name, created in (("logit", "logistic", family("logistic")), ("poisson", "poisson", family("poisson"))):
+        model = getattr(api, f"{kind}_fit")(features, "y", offset_col="o")
+        holes = df.union(spark.sql("select null, 1D, 0D, 0D, 'x' union all select double('NaN'), 1D, 0D, 0D, 'x' union all select 1D, 1D, 0D, null, 'x'"))
+        holes.createOrReplaceTempView("holes")
+        sql_functions.create_predict(spark, f"scored_{kind}", created, model, "holes", "o")
+        want = sorted(map(str, getattr(api, f"{kind}_predict")(model, holes, offset_col="o").collect()))
+        assert sorted(map(str, spark.sql(f"select * from scored_{kind}()").collect())) == want
+        sql_functions.create_mean(spark, f"mean_{kind}", created, model)
+        column = "prob" if kind == "logit" else "prediction"
+        both = spark.sql(f"select {column} as p, mean_{kind}(x01 => x01, `a b` => `a b`, reg_offset => o) as q from scored_{kind}() where {column} is not null").collect()
+        assert len(both) == 120 and all(r["p"] == pytest.approx(r["q"], rel=1e-12) for r in both)
+    assert spark.sql("select * from scored_logit(threshold => 2)").where("pred").isEmpty()
+    df.withColumnRenamed("s", "prob").createOrReplaceTempView("taken")
+    with pytest.raises(ValueError, match="already has a"):
+        sql_functions.create_predict(spark, "scored_again", family("logistic"), api.logit_fit(features, "y", offset_col="o"), "taken")
