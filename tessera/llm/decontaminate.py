@@ -6,7 +6,9 @@ item; an item of fewer words is one window. Document words inside an occurrence
 that, windows of both sides are joined by their hash.
 
 Null texts have no words and are not contaminated; items without words or without an id are ignored; items that share an
-id count once; repeated documents each get their row; extra columns are ignored.
+id count once; repeated documents each get their row; very long texts are looked up whole, a slice alone; ties do not
+arise (items are a set); extra columns are ignored; an empty table of documents gives an empty result, an empty benchmark
+no hits.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ between them, are a piece, and so is a line of ``WORDS`` words or more. A piece
 each line's first copy stays. Pieces with equal SHA-256 are taken as equal.
 
 Null texts stay null and have no lines. Rows with a null ``doc_id`` lose only what repeats within themselves. Rows
-that share a ``doc_id`` are one document and keep alike. Other columns are kept by ``dedup``; an empty table gives an
+that share a ``doc_id`` are one document and keep alike. Very long texts are worked off whole, in steps that grow with
+their lines (times a logarithm, for sorting digests). Other columns are kept by ``dedup``; an empty table gives an
 empty result.
 """
 
@@ -38,10 +39,14 @@ transform(array(split(text, '\n')), lines ->
   )[0]
 )[0]"""
 _MARKED = "transform({chunks}, c -> struct(array_join(c, '\n') as body, size(c) as n, size(filter(c, line -> trim(line) <> '')) >= 2 as long))"
-#: Chunks that stay: not among the removed digests, and not a long one that stood before in the same text.
+#: Chunks that stay. The digests of removed chunks (as number 0) and those of the text's own are sorted together: a long
+#: chunk goes where its predecessor is a mark of its digest or has the same text, whatever the number of chunks.
 _KEPT = """
-transform(array({marked}), all -> transform(array(transform(all, c -> c.body)), bodies ->
-  filter(all, (c, i) -> not (c.long and (array_contains(gone, md5(c.body)) or array_position(bodies, c.body) <= i)))
+transform(array({marked}), all -> transform(array(sort_array(concat(
+    transform(gone, g -> struct(g as digest, '' as body, 0 as k)),
+    filter(transform(all, (c, i) -> struct(if(c.long, md5(c.body), null) as digest, c.body as body, i + 1 as k)), s -> s.digest is not null)))), sorted ->
+  transform(array_except(sequence(1, size(all)), transform(
+    filter(sorted, (s, m) -> s.k > 0 and m > 0 and sorted[m - 1].digest = s.digest and (sorted[m - 1].k = 0 or sorted[m - 1].body = s.body)), s -> s.k)), k -> all[k - 1])
 )[0])[0]"""
 
 
@@ -69,18 +74,24 @@ transform(array(split(text, '\n')), lines ->
       unhex(sha2(lines[i - 1], 256)) as digest))
   ) as pieces))[0]
 )[0]"""
-#: Lines outside the pieces that are lost to another document or stood before in the same text.
+#: Lines outside the pieces that are lost to another document (as number 0) or stood before in the same text: those whose
+#: predecessor among the sorted digests is the same.
 _LEFT = f"""
-transform(array({_PIECES}), own -> transform(array(transform(own.pieces, p -> p.digest)), digests ->
+transform(array({_PIECES}), own -> transform(array(sort_array(concat(
+    transform(gone, g -> struct(g as digest, 0 as k)), transform(own.pieces, (p, k) -> struct(p.digest as digest, k + 1 as k))))), sorted ->
   transform(array_except(sequence(1, size(own.lines)), flatten(transform(
-    filter(own.pieces, (p, k) -> array_contains(gone, p.digest) or array_position(digests, p.digest) <= k), p -> sequence(p.i, p.j)))), i -> own.lines[i - 1])
+    filter(sorted, (s, m) -> s.k > 0 and m > 0 and sorted[m - 1].digest = s.digest), s -> sequence(own.pieces[s.k - 1].i, own.pieces[s.k - 1].j)))), i -> own.lines[i - 1])
 )[0])[0]"""
 
 
+#: A text's digests, each once.
+_DIGESTS = f"transform(array(sort_array(transform({_PIECES}.pieces, p -> p.digest))), sorted -> filter(sorted, (d, m) -> m = 0 or sorted[m - 1] <> d))[0]"
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, gone): digests of the pieces each document loses to a document with a smaller id."""
     rows = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    found = rows.select("doc_id", F.explode(F.expr(f"array_distinct(transform({_PIECES}.pieces, p -> p.digest))")).alias("digest"))
+    found = rows.select("doc_id", F.explode(F.expr(_DIGESTS)).alias("digest"))
     keepers = found.groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper <> last").drop("last")
     lost = found.join(keepers, "digest").where("doc_id <> keeper")
     return lost.groupBy("doc_id").agg(F.collect_set("digest").alias("gone"))

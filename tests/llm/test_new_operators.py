@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -15,7 +16,7 @@ import sentencepiece  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-from tessera.llm import hard_negatives, merkle, token_counts, toxicity  # noqa: E402
+from tessera.llm import hard_negatives, line_dedup, merkle, token_counts, toxicity  # noqa: E402
 from tessera.llm.common import read  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
@@ -196,3 +197,20 @@ def test_one_long_text_does_not_end_training(spark):
         after = toxicity.train(long_docs, labels.union(spark.createDataFrame([(doc_id, 0)], "doc_id long, toxic int")), sample_mb=1)
         assert after.slot == before.slot and np.allclose(after.weight, before.weight)
     assert toxicity.train(docs.union(docs), labels, sample_mb=1).slot == before.slot
+
+
+def test_line_dedup_of_very_many_lines(spark):
+    """Steps that grow with the lines of a text; every third line repeats an earlier one, in pairs with its neighbour."""
+    lines = [f"line {i % 3 and i or i % 30_000} of a long text" for i in range(120_000)]
+    docs = spark.createDataFrame([(2, "\n".join(lines)), (1, "\n".join(lines[:5000]))], "doc_id long, text string")
+    began = time.time()
+    found = {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs).collect()}
+    seen, gone = set(), set()
+    for i in range(len(lines) - 1):
+        pair = (lines[i], lines[i + 1])
+        if pair in seen or i + 1 < 5000:
+            gone |= {i, i + 1}
+        seen.add(pair)
+    assert found == {1: "\n".join(lines[:5000]), 2: "\n".join(x for i, x in enumerate(lines) if i not in gone)}
+    assert line_dedup.report(docs).count() == 2
+    assert time.time() - began < 60
