@@ -12,7 +12,7 @@ from pyspark import RDD
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.families import ARRAYS, Family
+from tessera.operators.families import ARRAYS, Family, ModelError
 
 NARROW = 10
 
@@ -90,24 +90,29 @@ def added(parts: RDD) -> tuple[np.ndarray, np.ndarray]:
 
 def summed(rows: RDD | list, part, highest: bool = False) -> list[np.ndarray]:
     """The sums of the arrays that ``part(block)`` gives for each block of rows, added up through a tree. With ``highest``
-    the last array's largest values are kept instead."""
+    the last array's largest values are kept instead. Without any row there is nothing to sum: an error."""
     adds = lambda a, b: [p + q for p, q in zip(a, b, strict=True)]
-    join = (lambda a, b: [*adds(a[:-1], b[:-1]), np.maximum(a[-1], b[-1])]) if highest else adds
+    both = (lambda a, b: [*adds(a[:-1], b[:-1]), np.maximum(a[-1], b[-1])]) if highest else adds
+    join = lambda a, b: b if a is None else a if b is None else both(a, b)
 
     def partial(found):
         total = None
         for raw, width in found:
             block = np.frombuffer(raw).reshape(-1, width)
             if len(block):
-                new = part(block)
-                total = new if total is None else join(total, new)
-        if total is not None:
-            yield total
+                total = join(total, part(block))
+        yield total
 
     if isinstance(rows, list):
-        return next(partial(rows))
-    sums = rows.mapPartitions(partial)
-    return sums.reduce(join) if sums.getNumPartitions() <= 64 else sums.treeReduce(join)
+        found = next(partial(rows))
+    elif parts := rows.getNumPartitions():
+        sums = rows.mapPartitions(partial)
+        found = sums.reduce(join) if parts <= 64 else sums.treeReduce(join)
+    else:
+        found = None
+    if found is None:
+        raise ModelError("no complete rows (every row has a NULL)")
+    return found
 
 
 def steps_over(rows: RDD, run):

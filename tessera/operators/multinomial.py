@@ -234,14 +234,17 @@ def evaluate(model, source, outcome: str) -> DataFrame:
 
 
 def summary(model, source, outcome: str, conf_level: float = 0.95) -> DataFrame:
-    """Inference for all classes but the reference. Rows without a label are left out."""
+    """Inference for all classes but the reference. Rows without a label are left out; without rows there are no errors."""
     _level(conf_level)
     df = table(source)
     classes, features, beta = _model(model)
     xs = [number(df, f, lenient=True) if f in df.columns else F.lit(None).cast("double") for f in features]
     rows = blocks(df.where(F.col(outcome).isNotNull()), [F.lit(0.0), *xs], complete=False)
-    _, h = _sums(rows, beta - beta[0], np.zeros(len(features)), np.ones(len(features)))
-    cov, crit, d = inverse(h), normal_ppf((1 + conf_level) / 2), len(features) + 1
+    try:
+        cov = inverse(_sums(rows, beta - beta[0], np.zeros(len(features)), np.ones(len(features)))[1])
+    except ModelError:  # no row to infer from
+        cov = None
+    crit, d = normal_ppf((1 + conf_level) / 2), len(features) + 1
     out = []
     for i in range(1, len(classes)):
         for j, name in enumerate((INTERCEPT, *features)):

@@ -365,3 +365,14 @@ def test_models_as_sql_functions(spark):
     df.withColumnRenamed("s", "prob").createOrReplaceTempView("taken")
     with pytest.raises(ValueError, match="already has a"):
         sql_functions.create_predict(spark, "scored_again", family("logistic"), api.logit_fit(features, "y", offset_col="o"), "taken")
+
+
+def test_softmax_inference_without_rows(spark):
+    x, k = softmax_sample()
+    df = frame(spark, x, k.astype(float))
+    model = api.multinom_fit(df, "y")
+    for empty in (df.where("false"), df.selectExpr("cast(null as double) as x00", "x01", "y")):
+        rows = api.multinom_summary(model, empty, "y").collect()
+        assert len(rows) == 6 and all(r["std_error"] is None and r["coefficient"] is not None for r in rows)
+    with pytest.raises(ValueError, match="at least 2 distinct classes"):
+        api.multinom_fit(df.where("false"), "y")
