@@ -1,7 +1,10 @@
 """The corpus pipeline: documents to packed training sequences in five stages.
 
 Every stage but the last returns the columns of ``documents``; its decisions take effect for the stages after it. Null
-texts pass the filters untouched and are packed as their end id alone.
+and empty texts pass the filters untouched and are packed as their end id alone; very long texts are worked off whole and
+packed in pieces; rows that share a ``doc_id`` are judged by each stage as its operator states; a null ``doc_id`` is kept
+and packed; columns besides those of ``documents`` are kept by all stages but the last, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
