@@ -2,16 +2,21 @@
 
 The page becomes a tree with a node for every element; an end tag also closes what is still open inside its element, and
 start tags close paragraphs and list items as browsers do. Every node gets its link-adjusted density: characters outside
-links for each tag, links counting as tags once more. A node's density sum adds up its children. The block with the
-largest sum is the body of the article; the smallest density on the path from the page's body to it is the threshold, and
-every part of the page that reaches it gives its own largest-sum subtree.
+links for each tag, links counting as tags once more. A node's density sum adds up its children.
 
 Text without links is dense in notices and reader comments too, so an element's kind (navigation, forms) and the words of
-its class, id or role (adverts, notices, comments) are evidence against it. The page's text decides how far it goes: an
-element with such evidence is left out before densities are summed unless it has a heading or an article inside and
-``BULK`` times the text of all elements without any, as a wrapper of the whole page has.
-
-Null and empty pages, and pages without text, give an empty string. Very long pages are read whole. Of equal sums the
+its class, id or role (adverts, notices, comments) are evidence against it. Such an element adds nothing to the elements
+around it, and its own sums are divided: by ``FIRM`` where the evidence is firm, by ``LOOSE`` where such words also name
+articles (``post-form``). Firm evidence leaves an element out at once where no ``h1``, ``main`` or ``article`` stands
+in it, loose evidence where fewer than two headings or paragraphs do; with an ``h1`` inside it divides nothing.
+
+The block with the largest sum is the body of the article, evidence or not; all evidence it does not lie in leaves its
+elements out, and so does all text outside the innermost element with evidence that it lies in. The smallest density on
+the path from that element (or the page's body) to it is the threshold, and every part that reaches it gives its own
+largest-sum subtree. A subtree in an ``article`` is widened to it, otherwise one in ``main`` to that, without what is
+links alone; a heading ``h1`` beside the path belongs to the article.
+
+Reader comments without any telling name count as text. Null and empty pages, and pages without text, give an empty string. Very long pages are read whole. Of equal sums the
 first node in page order counts. Repeated rows each get a row; extra columns are ignored; an empty table gives an empty
 result.
 """
@@ -34,46 +39,49 @@ RAW = frozenset("script style textarea title iframe xmp noembed noframes".split(
 OUT = RAW | frozenset("head template noscript svg math object button select canvas audio video map datalist".split())
 #: Elements that seldom hold article text.
 ASIDE = frozenset("nav header footer aside form menu dialog".split())
-#: Words of a class, id or role that speak against an element.
+#: Words of a class, id or role that speak against an element, and those that also stand in names of articles.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu menubar breadcrumb breadcrumbs header footer masthead "
-    "sidebar aside related recommended comment comments discussion respond disqus reply replies cookie cookies consent notice notices alert popup modal overlay newsletter subscribe signup login share sharing social "
-    "widget toolbar pagination pager complementary contentinfo search form".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored nav navbar navigation menu menubar breadcrumb breadcrumbs header footer masthead "
+    "sidebar aside comment comments discussion respond disqus cookie cookies consent popup modal overlay newsletter subscribe login "
+    "toolbar pagination pager complementary contentinfo".split()
 )
+LOOSE_MARKS = frozenset("promo banner related recommended reply replies notice notices alert signup share sharing social widget search form".split())
 #: First words of names that tell what an element is combined with, and last words of names of articles.
 STATES, ARTICLES = frozenset("no has with without is not hide show".split()), frozenset("article story main".split())
-HEADINGS = frozenset("article main h1 h2".split())
+#: Elements that only a page's own text has, and parts that one paragraph of a notice lacks.
+HEADINGS, PARTS = frozenset("article main h1".split()), frozenset("article main h1 h2 h3 h4 h5 h6 p".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that a start tag closes if it comes inside them, or inside inline elements in them.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
-#: Least characters, and multiple of the text without evidence, that outweigh evidence.
-LEAST, BULK = 250, 4
+#: What the density sums of elements with firm and loose evidence are divided by.
+FIRM, LOOSE = 6.0, 3.0
 
 
 class Node:
     """An element: its children and its own runs of text, in order."""
 
-    __slots__ = ("against", "chars", "density", "items", "kind", "links", "out", "own", "parent", "tags", "total")
+    __slots__ = ("against", "chars", "density", "items", "kind", "links", "out", "parent", "reply", "tags", "total", "weight")
 
-    def __init__(self, kind: str, parent: Node | None, against: bool = False, out: bool = False):
+    def __init__(self, kind: str, parent: Node | None, against: float = 0.0, out: bool = False):
         self.kind, self.parent, self.items, self.against, self.out = kind, parent, [], against, out
-        self.chars = self.links = self.tags = self.own = 0
-        self.density = self.total = 0.0
+        self.reply = False
+        self.chars = self.links = self.tags = 0
+        self.density, self.total, self.weight = 0.0, 0.0, 1.0
 
 
-def _against(kind: str, attributes: str) -> bool:
-    if kind in ASIDE:
-        return True
-    if "=" not in attributes or kind in ("body", "html", "article", "main"):
-        return False
+def _against(kind: str, attributes: str) -> float:
+    """What an element's sums are divided by; 0 without evidence against it."""
+    found = LOOSE if kind == "form" else FIRM if kind in ASIDE else 0.0
+    if "=" not in attributes or kind in ("body", "html", "main"):
+        return found
     for m in _ATTRIBUTE.finditer(attributes):
         if m[1].lower() in ("class", "id", "role"):
             for name in m[2].strip("\"'").split():
                 words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
-                if words and words[0] not in STATES and words[-1] not in ARTICLES and not MARKS.isdisjoint(words):
-                    return True
-    return False
+                if words and words[0] not in STATES and words[-1] not in ARTICLES:
+                    found = max(found, 0.0 if MARKS.isdisjoint(words) else FIRM, 0.0 if LOOSE_MARKS.isdisjoint(words) else LOOSE)
+    return found
 
 
 def parse(page: str) -> tuple[Node, list[Node]]:
@@ -106,7 +114,9 @@ def parse(page: str) -> tuple[Node, list[Node]]:
                     if up.kind in ends:
                         at = up.parent
                     up = up.parent
-            child = Node(kind, at, _against(kind, m[3]), kind in OUT)
+            against = _against(kind, m[3])
+            child = Node(kind, at, 0.0 if kind == "article" else against, kind in OUT)
+            child.reply = kind == "article" and against == FIRM  # as around each comment
             at.items.append(child)
             nodes.append(child)
             at = at if m[3].endswith("/") and kind not in INLINE else child
@@ -114,36 +124,29 @@ def parse(page: str) -> tuple[Node, list[Node]]:
 
 
 def judge(nodes: list[Node]) -> None:
-    """Marks the nodes that are left out."""
-    evidence: dict[int, Node | None] = {}  # the nearest element with evidence
+    """Leaves out what cannot hold an article, and weighs the evidence against the rest."""
+    above: dict[int, tuple] = {}  # the nearest elements with evidence and with firm evidence
+    parts: dict[int, int] = {}
     heads: set[int] = set()
-    free = 0
+    titled: set[int] = set()
     for node in nodes:
-        up = evidence[id(node.parent)] if node.parent else None
-        evidence[id(node)] = up = node if node.against else up
-        n = 0 if node.out or (node.parent and node.parent.out) or _in_link(node) else sum(len(x.strip()) for x in node.items if isinstance(x, str))
-        node.out = node.out or bool(node.parent and node.parent.out)
-        if up is None:
-            free += n
-        else:
-            up.own += n
-            if node.kind in HEADINGS and node is not up:
-                heads.add(id(up))
+        near, firm = above[id(node.parent)] if node.parent else (None, None)
+        if near is not None and node.kind in PARTS:
+            parts[id(near)] = parts.get(id(near), 0) + 1
+        if firm is not None and node.kind in HEADINGS and not node.reply:
+            heads.add(id(firm))
+        if near is not None and node.kind in ("h1", "main"):
+            titled.add(id(near))
+        above[id(node)] = (node if node.against else near, node if node.against == FIRM else firm)
     for node in nodes:
-        lost = node.against and not (id(node) in heads and node.own >= max(LEAST, BULK * free))
+        lost = id(node) not in heads if node.against == FIRM else node.against == LOOSE and parts.get(id(node), 0) < 2
         node.out = node.out or lost or bool(node.parent and node.parent.out)
-
-
-def _in_link(node: Node | None) -> bool:
-    while node is not None and node.kind in INLINE:
-        if node.kind == "a":
-            return True
-        node = node.parent
-    return False
+        if node.parent:
+            node.weight = node.parent.weight / (1.0 if node.against == LOOSE and id(node) in titled else node.against or 1.0)
 
 
 def weigh(nodes: list[Node]) -> None:
-    """Counts and densities from the leaves up, without the nodes that are left out."""
+    """Counts and densities from the leaves up. What is left out, or has evidence against it, adds nothing to its parent."""
     for node in reversed(nodes):
         if node.out:
             continue
@@ -151,7 +154,7 @@ def weigh(nodes: list[Node]) -> None:
         for item in node.items:
             if isinstance(item, str):
                 node.chars += len(item.strip())
-            elif item is not None and not item.out:
+            elif item is not None and not item.out and not item.against:
                 node.chars += item.chars
                 node.links += item.links
                 node.tags += item.tags + 1
@@ -172,7 +175,7 @@ def _largest(top: Node) -> Node:
         if (node.total or node.density if node is top else node.total) > (best.total or best.density if best is top else best.total):
             best = node
         todo += _children(node)
-    return _block(best, top)
+    return _article(_block(best, top), top)
 
 
 def _block(node: Node, top: Node) -> Node:
@@ -182,22 +185,47 @@ def _block(node: Node, top: Node) -> Node:
     return node
 
 
+def _path(node: Node, top: Node) -> list[Node]:
+    path = [node]
+    while path[-1] is not top:
+        path.append(path[-1].parent)
+    return path
+
+
+def _article(node: Node, top: Node) -> Node:
+    """The nearest article around ``node`` below ``top``, otherwise the nearest main element, otherwise ``node``."""
+    path = _path(node, top)
+    return next((n for kind in ("article", "main") for n in path if n.kind == kind and not n.reply), node)
+
+
 def content(root: Node, nodes: list[Node]) -> set[int]:
     """Identities of the nodes whose subtrees are the article."""
     judge(nodes)
     weigh(nodes)
-    best = _block(max((n for n in nodes if not n.out and n.kind not in INLINE), key=lambda n: n.total), root)  # the first of equals
+    best = max((n for n in nodes if not n.out and n.kind not in INLINE), key=lambda n: n.total * n.weight)  # the first of equals
+    top = best
+    while top.parent is not None and not top.against:
+        top = top.parent
+    best = _block(best, top)
+    path = _path(best, top)
+    inside = {id(n) for n in _path(top, root)} | {id(n) for n in path}
+    for node in nodes:  # evidence stands wherever density has not outweighed it
+        node.out = node.out or bool(node.against and id(node) not in inside) or bool(node.parent and node.parent.out)
     if not best.total:
-        return {id(root)}
-    path, up = [best], best.parent
-    while up is not None:
-        path.append(up)
-        up = up.parent
-    threshold, above = min(n.density for n in path), {id(n) for n in path[1:]}
-    chosen, todo = {id(best)}, [root]
+        return {id(top)}
+    whole = _article(best, top)
+    if whole.kind == "main" and whole is not best:
+        kept, within = {id(n) for n in path}, set()
+        for node in nodes:
+            if node is not best and (node is whole or id(node.parent) in within):
+                within.add(id(node))
+                node.out = node.out or bool(node.chars and not node.density and node.kind not in INLINE and id(node) not in kept)
+    threshold, above = min(n.density for n in path), {id(n) for n in _path(whole, top)[1:]}
+    chosen, todo = {id(whole)}, [top]
+    chosen |= {id(x) for n in _path(whole, top)[1:] for x in n.items if isinstance(x, Node) and x.kind == "h1"}
     while todo:
         node = todo.pop()
-        if node.chars and node.density >= threshold and node is not root and id(node) not in above:
+        if node.chars and node.density >= threshold and node is not top and id(node) not in above:
             chosen.add(id(_largest(node)))
         if id(node) not in chosen:
             todo += _children(node)
