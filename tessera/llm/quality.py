@@ -4,12 +4,18 @@ Texts are reduced to a few counts in one pass; nothing but those counts is shuff
 the holdout, of which one half (by hash of ``doc_id``) proposes cutoffs and the other certifies them, for each stratum
 (``lang`` here) on its own.
 
-Proposal: a step of the predeclared list ``STEPS`` is a share and a margin. Every rule gets the strictest cutoff that rejects
-at most the share of the first half, times the margin: the first steps lie above all that half has, the later within it. Certification: the rows of the second half that any rule rejects at step j are
-counted, and the step holds while the exact binomial (Clopper-Pearson) upper bound on that joint rejection rate is at most
-``risk``. Steps are tested in their fixed order up to the first failure, which needs no correction; the error probability
-``delta`` is divided by the number of strata (Bonferroni). With probability 1 - ``delta`` all strata together therefore
-reject at most the share ``risk`` of their good documents. A stratum without a certified step rejects nothing by rules.
+Proposal: a step of the list ``steps(risk)`` is a share and a margin. Every rule gets the strictest cutoff that rejects at
+most the share of the first half, times the margin. The list follows from ``risk`` and the number of rules alone: cutoffs
+above all that half has, their margins falling from 2 to 1 by fourth roots, then each rule's equal part of ``risk``, from an
+eighth of it doubling to the whole. Certification: the rows of the second half that any rule rejects at step j are counted,
+and the step holds while the exact binomial (Clopper-Pearson) upper bound on that joint rejection rate is at most ``risk``.
+Steps are tested in their fixed order up to the first failure, which needs no correction; the error probability ``delta``
+is divided by the number of strata (Bonferroni). With probability 1 - ``delta`` all strata together therefore reject by
+rules at most the share ``risk`` of their good documents that pass the base rules; what those reject is fixed, not learnt,
+and outside the certificate. A stratum without a certified step rejects nothing by rules.
+
+Cutoffs stay a table with a row for each stratum; only the number of strata comes to the driver. Up to ``BROADCAST_STRATA``
+of them are broadcast, more are joined.
 
 Null and empty texts have no words and fail the base rules; very long texts are counted whole; strata without labels keep
 whatever passes the base rules; a null stratum is a stratum; rows whose label is null are no evidence; ties at a cutoff are
@@ -22,6 +28,7 @@ from __future__ import annotations
 from math import exp, lgamma, log, log1p
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,10 +43,8 @@ _SMALL = bytes(range(97, 123))
 _POINTS = b"!?;:"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_letters", "n_points", "n_distinct")
-#: Shares of the proposing rows that a rule may reject, and margins above the cutoff that does, from mild to strict.
-STEPS = ((0.0, 2.0), (0.0, 1.5), (0.0, 1.2), (0.0, 1.0), (0.001, 1.0), (0.002, 1.0), (0.005, 1.0), (0.01, 1.0), (0.02, 1.0))
-#: Cutoffs travel to the driver and to every task: a few numbers for each stratum.
-MOST_STRATA = 10_000
+#: Strata whose cutoffs are broadcast: some 500 bytes each.
+BROADCAST_STRATA = 10_000
 #: rule -> (counted, out of)
 RULES = {
     "symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"),
@@ -47,6 +52,16 @@ RULES = {
 }
 
 
+def steps(risk: float) -> list[tuple[float, float]]:
+    """Shares of the proposing rows that a rule may reject, and margins on the cutoff that does, from mild to strict."""
+    return [(0.0, 2 ** (k / 4)) for k in (4, 3, 2, 1, 0)] + [(risk / len(RULES) / 2**k, 1.0) for k in (3, 2, 1, 0)]
+
+
+#: The acceptable share of good documents that rules reject, and the list that follows from it.
+RISK = 0.03
+STEPS = steps(RISK)
+
+
 def repeated_words(words: np.ndarray, doc: np.ndarray, n_docs: int, size: int = 8) -> np.ndarray:
     """Words per document inside windows of ``size`` words that occur twice or more in it. ``words``: 64-bit hashes."""
     if len(words) < size:
@@ -120,22 +135,22 @@ def rate(rule: str) -> Column:
     return F.coalesce(F.floor(F.try_divide(1000 * part, F.col(whole))), F.lit(0))
 
 
-def proposed(shares: dict[int, int]) -> list[int]:
+def proposed(shares: dict[int, int], listed: list[tuple[float, float]]) -> list[int]:
     """The cutoff of each step for one rule, from the least share that leaves few enough rows above. ``shares``: share -> rows."""
     values = np.array(sorted(shares))
     rows = np.array([shares[v] for v in values.tolist()])
     above = rows.sum() - np.cumsum(rows)
-    return [int(margin * values[np.argmax(above <= int(step * rows.sum()))]) for step, margin in STEPS]
+    return [int(margin * values[np.argmax(above <= int(step * rows.sum()))]) for step, margin in listed]
 
 
-def certified_step(rejected: dict[int, int], good: int, risk: float, delta: float) -> int:
+def certified_step(rejected: dict[int, int], good: int, risk: float, delta: float, n_steps: int) -> int:
     """How many steps hold. ``rejected``: first step that rejects (1 for the mildest, 0 for none) -> rows."""
     total = 0
-    for step in range(1, len(STEPS) + 1):
+    for step in range(1, n_steps + 1):
         total += rejected.get(step, 0)
         if not certified(total, good, risk, delta):
             return step - 1
-    return len(STEPS)
+    return n_steps
 
 
 def _first(rule: str) -> Column:
@@ -143,44 +158,50 @@ def _first(rule: str) -> Column:
     return F.coalesce(F.array_position(F.transform(f"cuts.{rule}", lambda cut: rate(rule) > cut), F.lit(True)), F.lit(0))
 
 
-def certificates(counted: DataFrame, labels: DataFrame, stratum: str, risk: float, delta: float) -> list[dict]:
-    """For each stratum: its cutoffs by rule and step, the steps certified, and the evidence."""
+def _with_cuts(rows: DataFrame, stratum: str, cuts: DataFrame, n_strata: int) -> DataFrame:
+    return rows.join(F.broadcast(cuts) if n_strata <= BROADCAST_STRATA else cuts, F.col(stratum).eqNullSafe(F.col("s")), "left")
+
+
+def certificates(counted: DataFrame, labels: DataFrame, stratum: str, risk: float, delta: float) -> tuple[DataFrame, int]:
+    """For each stratum ``s``: its cutoffs by rule and step, the ``step`` certified (0 for none), the certifying rows and
+    those of them that this step rejects; and the number of strata."""
     labels = own(labels, "doc_id", "quality").where("quality = 1").select(F.col("doc_id").alias("label_id"))
     good = counted.where("not base_failed").join(labels, F.col("doc_id") == F.col("label_id")).withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
-    good = materialise(good.select(F.col(stratum).alias("s"), "half", *COUNTS))
+    good = materialise(good.select(F.col(stratum).alias("stratum"), "half", *COUNTS))
+    kind, listed = dict(counted.dtypes)[stratum], steps(risk)
     shares = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), rate(r).alias("share")) for r in RULES])).alias("x")
-    spark, kind = counted.sparkSession, dict(counted.dtypes)[stratum]
-    if good.select("s").distinct().count() > MOST_STRATA:
-        raise ValueError(f"{stratum} has more than {MOST_STRATA} labelled values")
-    found: dict = {}  # at most a thousand shares for each rule and stratum
-    for r in good.where("half = 0").select("s", shares).groupBy("s", "x.rule", "x.share").agg(F.count("*").alias("n")).collect():
-        found.setdefault(r["s"], {}).setdefault(r["rule"], {})[r["share"]] = r["n"]
-    cuts = {s: {rule: proposed(rules[rule]) for rule in RULES} for s, rules in found.items()}
-    schema = f"stratum {kind}, cuts struct<{', '.join(f'{r}: array<int>' for r in RULES)}>"
-    table = spark.createDataFrame([(s, tuple(c[r] for r in RULES)) for s, c in cuts.items()], schema)
-    steps = [_first(r) for r in RULES]
-    first = F.coalesce(F.least(*[F.when(x > 0, x) for x in steps]), F.lit(0))
-    judged = good.where("half = 1").join(F.broadcast(table), F.col("s").eqNullSafe(F.col("stratum")), "left").select("s", F.coalesce(first, F.lit(0)).alias("first"))
-    tested: dict = {}
-    for r in judged.groupBy("s", "first").agg(F.count("*").alias("n")).collect():
-        tested.setdefault(r["s"], {})[r["first"]] = r["n"]
-    out = []
-    for s, c in cuts.items():
-        rejected = tested.get(s, {})
-        n = sum(rejected.values())
-        step = certified_step(rejected, n, risk, delta / len(cuts))
-        out.append({"stratum": s, "cuts": c, "step": step, "good": n, "rejected": sum(v for k, v in rejected.items() if 0 < k <= step)})
-    return out
-
-
-def verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.03, delta: float = 0.05) -> DataFrame:
+
+    def propose(group):  # at most a thousand shares of each rule
+        cuts = {rule: proposed(dict(zip(own_rows["share"].tolist(), own_rows["n"].tolist(), strict=True)), listed) for rule, own_rows in group.groupby("rule")}
+        return pd.DataFrame({"s": group["stratum"].iloc[:1].tolist(), "cuts": [cuts]}, dtype=object)
+
+    counts = good.where("half = 0").select("stratum", shares).groupBy("stratum", "x.rule", "x.share").agg(F.count("*").alias("n"))
+    cuts = materialise(counts.groupBy("stratum").applyInPandas(propose, f"s {kind}, cuts struct<{', '.join(f'{r}: array<int>' for r in RULES)}>"))
+    n_strata = cuts.count()
+    firsts = [_first(r) for r in RULES]
+    first = F.coalesce(F.least(*[F.when(x > 0, x) for x in firsts]), F.lit(0))
+    judged = _with_cuts(good.where("half = 1"), "stratum", cuts, n_strata).select("stratum", F.coalesce(first, F.lit(0)).cast("int").alias("first"))
+    tested = judged.groupBy("stratum", "first").agg(F.count("*").alias("n")).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("first", "n"))).alias("tested"))
+
+    @F.udf("step int, good long, rejected long")
+    def certify(found):  # once a stratum
+        found = found or {}
+        total = sum(found.values())
+        step = certified_step(found, total, risk, delta / n_strata, len(listed))
+        return step, total, sum(v for k, v in found.items() if 0 < k <= step)
+
+    out = cuts.join(tested, F.col("s").eqNullSafe(F.col("stratum")), "left").select("s", "cuts", certify("tested").alias("c")).select("s", "cuts", "c.*")
+    return materialise(out), n_strata
+
+
+def verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = 0.05) -> DataFrame:
     """All documents with their counts, ``base_failed``, the first certified rule that rejects them, and ``kept``."""
     counted = materialise(measure(docs, "doc_id", stratum))
     words, repeats = F.col("n_words"), F.col("n_repeat_words")
     counted = counted.withColumn("base_failed", (words < 20) | (100 * repeats > 30 * words))
-    rows = [(c["stratum"], tuple(c["cuts"][r][c["step"] - 1] for r in RULES)) for c in certificates(counted, labels, stratum, risk, delta) if c["step"]]
-    chosen = docs.sparkSession.createDataFrame(rows, f"s {dict(counted.dtypes)[stratum]}, cuts struct<{', '.join(f'{r}: int' for r in RULES)}>")
-    joined = counted.join(F.broadcast(chosen), F.col(stratum).eqNullSafe(F.col("s")), "left")  # at most MOST_STRATA rows
+    found, n_strata = certificates(counted, labels, stratum, risk, delta)
+    chosen = found.where("step > 0").select("s", F.struct(*[F.get(f"cuts.{r}", F.col("step") - 1).alias(r) for r in RULES]).alias("cuts"))
+    joined = _with_cuts(counted, stratum, chosen, n_strata)
     reason = F.coalesce(F.when(F.col("base_failed"), "base"), *[F.when(rate(r) > F.col(f"cuts.{r}"), r) for r in RULES])
     return joined.withColumn("rejected_by", reason).withColumn("kept", reason.isNull()).drop("s", "cuts")
 
