@@ -289,9 +289,12 @@ class _Corpus:
         heard = self.heard[0]
         for more in self.heard[1:]:
             heard = heard.union(more)
-        heard = heard.groupBy("home").agg(F.collect_list(F.struct("slice", "step", "bucket", "bits")).alias("every")).hint("shuffle_hash")
-        mine = F.transform(F.filter("every", lambda a: a["slice"] == F.col("slice")), lambda a: F.struct(a["step"].alias("step"), a["bucket"].alias("bucket"), a["bits"].alias("bits")))
-        return self.texts.join(heard, "home", "left").withColumn("answers", F.coalesce(mine, none)).drop("every")
+        # a row for each slice on its home's partition; the slices are compared beside the join's key, which is the home
+        heard = heard.repartition(parallelism(self.spark), "home").groupBy("home", "slice").agg(F.collect_list(F.struct("step", "bucket", "bits")).alias("mine"))
+        heard = heard.withColumnRenamed("slice", "answered").hint("shuffle_hash")
+        own_slice = (F.col("slice") <= F.col("answered")) & (F.col("slice") >= F.col("answered"))
+        joined = self.texts.alias("t").join(heard.alias("h"), (F.col("t.home") == F.col("h.home")) & own_slice, "left")
+        return joined.select("t.*", F.coalesce("mine", none).alias("answers"))
 
     def _known(self):
         """Function of a row: the slice as far as the answers go, and the entries it asks for next."""
