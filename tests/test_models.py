@@ -251,3 +251,11 @@ def test_distributions_invert(spark):
     p = spark.createDataFrame([(x / 20,) for x in range(1, 20)], "p double")
     for forward, back in ((distributions.norm_cdf, distributions.norm_ppf),):
         assert all(abs(r["q"] - r["p"]) < 1e-9 for r in p.select("p", forward(back(p["p"])).alias("q")).collect())
+
+
+def test_student_quantiles_beyond_a_thousand(spark):
+    """With one degree of freedom the quantile is -1 / tan(pi p), however far out."""
+    points = [4.68e-5, 1e-4, 3e-4, 0.25]
+    df = spark.createDataFrame([(p, 1.0) for p in points], "p double, df double")
+    found = df.select("p", distributions.t_ppf(df.p, df.df)).collect()
+    assert {p: v for p, v in found} == pytest.approx({p: -1 / np.tan(np.pi * p) for p in points}, rel=1e-12)
