@@ -155,7 +155,7 @@ def descent(design: Design, fam: Family, l1: float, l2: float, tol: float, max_i
             right, peak = gradient(found, inner, beta)
             return right / total, max(1.0, peak) if fam.log_link else 1.0
 
-        return accelerated(slope, np.zeros(d), step, l1, l2, free, tol, max_iter)
+        return accelerated(slope, np.zeros(d), step, l1, l2, free, tol, max_iter, restart=True)
 
     try:
         beta = steps_over(gathered(rows, design.n * len(columns)), run)

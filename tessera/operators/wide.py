@@ -230,7 +230,7 @@ class WideDesign:
                 (right,), (peak,) = slopes(rows, beta)
                 return right / total, peak
 
-            return accelerated(slope, np.zeros(d), step, l1, l2, free, tol, max_iter)
+            return accelerated(slope, np.zeros(d), step, l1, l2, free, tol, max_iter, restart=True)
 
         return steps_over(self.few, run)
 

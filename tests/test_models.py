@@ -259,3 +259,10 @@ def test_student_quantiles_beyond_a_thousand(spark):
     df = spark.createDataFrame([(p, 1.0) for p in points], "p double, df double")
     found = df.select("p", distributions.t_ppf(df.p, df.df)).collect()
     assert {p: v for p, v in found} == pytest.approx({p: -1 / np.tan(np.pi * p) for p in points}, rel=1e-12)
+
+
+def test_descent_arrives_within_few_steps(spark):
+    """Some 1100 steps of unbroken momentum are needed here; momentum that starts anew needs a fraction."""
+    df = registry.rows(spark, SMALL, registry.DESIGNS["logit"]).select("x", "y")
+    found, want = (dict(map(tuple, api.logit_fit(df, "y", **o).collect())) for o in ({"solver": "gd", "max_iter": 250}, {}))
+    assert found == pytest.approx(want, abs=1e-7)
