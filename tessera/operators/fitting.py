@@ -7,11 +7,12 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import levels
 from tessera.operators.families import COLUMNS, Family, ModelError
 from tessera.operators.gram import blocks, cross, descend, gathered, gradient, inverse, root_inverse, steps_over, triangle
 from tessera.operators.names import INTERCEPT, check_names, check_outcome, number, quoted, used_columns
 from tessera.operators.steps import accelerated
-from tessera.operators.wide import encode_dummies, fit_wide
+from tessera.operators.wide import encode_dummies, fit_wide, text_columns
 from tessera.sources import table
 
 __all__ = ["INTERCEPT", "Design", "check_names", "fit", "number", "quoted"]
@@ -23,16 +24,16 @@ WIDE = 400
 
 class Design:
     """Complete rows (y, x0.., o, a), cached, with the statistics that standardize them. ``carry``: a column that is no
-    feature and stays with its row."""
+    feature and stays with its row; with ``bare`` it may be the only one."""
 
-    def __init__(self, source: DataFrame | str, outcome: str, fam: Family, offset_col: str | None = None, weights_col: str | None = None, carry: str | None = None):
+    def __init__(self, source: DataFrame | str, outcome: str, fam: Family, offset_col: str | None = None, weights_col: str | None = None, carry: str | None = None, bare: bool = False):
         df = table(source)
         self.features = [c for c in used_columns(df, outcome, offset_col, weights_col) if c != carry]
         y = number(df, outcome)
         counts = df.select(y.alias("y"), *[number(df, c).alias(f"x{i}") for i, c in enumerate(self.features)])
         row = counts.agg(F.count("y"), F.min("y"), F.sum(F.when(F.col("y").isin(0.0, 1.0), 0).otherwise(F.when(F.col("y").isNotNull(), 1))), *[F.count(f"x{i}") for i in range(len(self.features))]).first()
         check_outcome(fam, outcome, *row[:3])
-        if not self.features:
+        if not self.features and not bare:
             raise ModelError("no feature columns")
         if empty := [c for c, n in zip(self.features, row[3:], strict=True) if not n]:
             raise ModelError(f"feature column(s) entirely NULL: {', '.join(empty)}")
@@ -165,6 +166,38 @@ def descent(design: Design, fam: Family, l1: float, l2: float, tol: float, max_i
     return beta
 
 
+def fit_levels(fam: Family, df: DataFrame, outcome: str, max_iter: int, tol: float, l2: float, offset_col: str | None, weights_col: str | None) -> DataFrame | None:
+    """A model whose string column of most levels stays in tables, or None: too few levels, too many other features, or no
+    single optimum that Newton's steps reach."""
+    used_columns(df, outcome, offset_col, weights_col)
+    left_out = [c for c in (outcome, offset_col, weights_col) if c]
+    known = levels.counted_levels(df, texts) if (texts := text_columns(df, left_out)) else {}
+    if len(known) < len(texts) or not known:
+        return None
+    own = max(known, key=lambda c: known[c][0])
+    others = len(df.columns) - len(left_out) - len(texts) + sum(n - 1 for c, (n, _) in known.items() if c != own)
+    if known[own][0] <= levels.LEVELS or others > levels.HEAD:
+        return None
+    narrow = encode_dummies(df, outcome, offset_col, weights_col, own)
+    if len({c.lower() for c in narrow.columns}) < len(narrow.columns):
+        return None
+    head = [c for c in narrow.columns if c not in left_out and c != own]
+    names = df.select(F.col(quoted(own)).cast("string").alias("v")).where("v is not null").distinct().where(F.col("v") != F.lit(known[own][1])).withColumn("feature", F.concat(F.lit(f"{own}_"), "v"))
+    if head and names.where(F.col("feature").isin(head)).limit(1).count():
+        raise ModelError("a level's column has the name of another column")
+    design = Design(narrow, outcome, fam, offset_col, weights_col, carry=own, bare=True)
+    try:
+        if (found := levels.newton(design, fam, known[own][1], l2, tol, max_iter, bool(offset_col))) is None:
+            return None
+        beta, table_of_levels = found
+        few = design.raw(beta, fam)
+        scale = float(design.y_sd) if fam.identity else 1.0
+        many = names.join(table_of_levels.hint("merge"), "v", "left").select("feature", (scale * F.coalesce("b", F.lit(0.0)) + 0.0).alias("coefficient"))
+        return df.sparkSession.createDataFrame(list(few.items()), MODEL).union(many)
+    finally:
+        design.release()
+
+
 def fit(fam: Family, source: DataFrame | str, outcome: str, max_iter: int = 50000, learning_rate: float | None = None, tol: float = 1e-10, l2: float = 0.0, offset_col: str | None = None, weights_col: str | None = None, l1: float = 0.0, solver: str = "auto", encode: bool = False) -> DataFrame:
     """``encode``: string columns enter as treatment contrasts, named as by ``encode_dummies``, without columns being made.
     Solver ``cg`` finds Newton steps by conjugate gradients; ``auto`` takes it for more than ``WIDE`` features or levels."""
@@ -175,6 +208,8 @@ def fit(fam: Family, source: DataFrame | str, outcome: str, max_iter: int = 5000
     if solver not in ("auto", "gd", "irls", "cg"):
         raise ModelError("solver must be 'auto', 'gd' or 'irls', or 'cg' for wide designs")
     df = table(source)
+    if encode and solver in ("auto", "cg") and l1 == 0 and (model := fit_levels(fam, df, outcome, max_iter, tol, l2, offset_col, weights_col)) is not None:
+        return model
     if solver == "cg" or (encode and solver != "irls") or (solver == "auto" and len(df.columns) > WIDE):
         found = fit_wide(fam, df, outcome, max_iter, learning_rate, tol, l1, l2, offset_col, weights_col, encode, solver == "gd")
         return df.sparkSession.createDataFrame(list(found.items()), MODEL)

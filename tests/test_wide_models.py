@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tessera.functions import distributions
-from tessera.operators import api, multinomial, selection, sql_functions, wide
+from tessera.operators import api, fitting, levels, multinomial, selection, sql_functions, wide
 from tessera.operators.families import ARRAYS, family
 from tessera.operators.fitting import Design
 from tessera.streaming import scored_files
@@ -61,6 +61,37 @@ def test_levels_equal_their_columns(spark, kind):
     assert coefficients(fit(df, "y", l2=0.01, encode=True, solver="irls")) == pytest.approx(want, abs=1e-7)
 
 
+@pytest.mark.parametrize("kind", ("logit", "linreg"))
+def test_levels_in_tables_equal_their_columns(spark, kind, monkeypatch):
+    """A column of many levels is fitted without the driver holding them: beside numbers, another string column, offset,
+    weights (some zero) and a penalty; a level of incomplete rows alone gets 0."""
+    x, ys = sample(300, 2)
+    rng = np.random.default_rng(4)
+    df = frame(spark, x, ys[kind], o=rng.normal(size=300) * 0.2, a=rng.integers(0, 4, 300) * 1.0, city=[f"c{(i * i) % 7}" for i in range(300)], kind=["it's", "b`c", "d"] * 100)
+    df = df.selectExpr("x00", "x01", "y", "o", "a", "nullif(kind, 'd') as kind", "case when kind = 'd' then 'gone' else city end as city")
+    fit = getattr(api, f"{kind}_fit")
+    options = {"offset_col": "o", "weights_col": "a", "l2": 0.1}
+    want = coefficients(fit(api.encode_dummies(df, "y"), "y", **options))
+    monkeypatch.setattr(levels, "LEVELS", 3)
+    monkeypatch.setattr(fitting, "fit_wide", lambda *_: pytest.fail("levels came to the driver"))
+    found = coefficients(fit(df, "y", encode=True, **options))
+    assert found == pytest.approx(want, abs=1e-6) and found["city_gone"] == 0.0
+
+
+@pytest.mark.parametrize("kind", ("linreg",))
+def test_one_column_of_levels_in_tables(spark, kind, monkeypatch):
+    """The column alone gives its levels' means; where its lowest level has no complete row, there is no single optimum."""
+    x, ys = sample(300, 1)
+    df = frame(spark, x, ys[kind] + 1.0, city=[f"c{i % 9}" for i in range(300)]).drop("x00")
+    fit = getattr(api, f"{kind}_fit")
+    odd = df.selectExpr("case when city <> 'c0' then y end as y", "city")
+    want, want_odd = coefficients(fit(df, "y", encode=True)), coefficients(fit(odd, "y", encode=True))
+    monkeypatch.setattr(levels, "LEVELS", 3)
+    assert coefficients(fit(odd, "y", encode=True)) == pytest.approx(want_odd, abs=1e-7)
+    monkeypatch.setattr(fitting, "fit_wide", lambda *_: pytest.fail("levels came to the driver"))
+    assert coefficients(fit(df, "y", encode=True)) == pytest.approx(want, abs=1e-8)
+
+
 @pytest.mark.parametrize("kind", ("logit", "poisson"))
 def test_lasso_and_descent_over_levels(spark, kind):
     x, ys = sample(300, 2)
