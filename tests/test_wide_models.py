@@ -78,7 +78,7 @@ def test_levels_in_tables_equal_their_columns(spark, kind, monkeypatch):
     assert found == pytest.approx(want, abs=1e-6) and found["city_gone"] == 0.0
 
 
-@pytest.mark.parametrize("kind", ("linreg",))
+@pytest.mark.parametrize("kind", ("linreg", "poisson"))
 def test_one_column_of_levels_in_tables(spark, kind, monkeypatch):
     """The column alone gives its levels' means; where its lowest level has no complete row, there is no single optimum."""
     x, ys = sample(300, 1)
