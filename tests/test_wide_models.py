@@ -10,8 +10,10 @@ from tessera.functions import distributions
 from tessera.operators import api, fitting, levels, multinomial, selection, sql_functions, wide
 from tessera.operators.families import ARRAYS, family
 from tessera.operators.fitting import Design
+from tessera.plans import registry
 from tessera.streaming import scored_files
 
+SMALL = "/root/testdata/sf0.01"
 KINDS = ("logit", "linreg", "poisson", "gamma", "tweedie", "nbinom")
 
 
@@ -92,6 +94,14 @@ def test_one_column_of_levels_in_tables(spark, kind, monkeypatch):
     assert coefficients(fit(df, "y", encode=True)) == pytest.approx(want, abs=1e-8)
 
 
+@pytest.mark.parametrize("name", ("linreg_fit__customers", "poisson_fit__suppliers"))
+def test_queries_keep_levels_in_tables(spark, same_as_sql, name, monkeypatch):
+    """The registered queries as they run on large tables: the SQL's rows, without a vector of the levels on the driver."""
+    monkeypatch.setattr(levels, "LEVELS", 50)
+    monkeypatch.setattr(fitting, "fit_wide", lambda *_: pytest.fail("levels came to the driver"))
+    same_as_sql(registry.QUERIES[name](spark, SMALL), registry.ORACLES[name], SMALL)
+
+
 @pytest.mark.parametrize("kind", ("logit", "poisson"))
 def test_lasso_and_descent_over_levels(spark, kind):
     x, ys = sample(300, 2)
