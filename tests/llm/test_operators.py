@@ -154,6 +154,23 @@ def test_ids_are_the_librarys(path):
     assert coder.encode(pa.array([None, "a b", None]).slice(1), 2)[0][-1] == len(tokenizer.encode("a b", add_special_tokens=False).ids) + 2
 
 
+@pytest.mark.parametrize(("path", "digits"), ((BYTE, ["10"]), (WORD, ["1", "0"])))
+def test_words_are_pieces_apart_from_their_marks(path, digits):
+    """So that a word with a comma is no new piece, and plain words go through the model alone; ids stay the library's."""
+    coder, tokenizer = tokens.PieceEncoder(path), Tokenizer.from_file(path)
+    text = "Café, it's (naïve) 'tis x10'5 e\u0301, a×b <|endoftext|>,don't " + "é" * 70 + "! ok"
+    data = np.frombuffer(text.encode(), np.uint8)
+    cuts = coder.cuts(data, np.array([0, len(data)])).tolist()
+    pieces = [data[i:j].tobytes().decode() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+    assert pieces == ["Café", ",", " it", "'s", " (", "naïve", ")", " 'tis", " x", *digits, "'", "5", " e\u0301,", " a×b ", "<|endoftext|>", ",", "don", "'t", " " + "é" * 70, "!", " ok"]
+    rng = random.Random(3)
+    parts = [*"asTRéÀÿßµ×÷'’,(7½", " ", "e\u0301", "'re", "'S", "<|endoftext|>", "é" * 63, "Words"]
+    own = [text, *("".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(5000))]
+    bounds, ids = coder.encode(pa.array(own), 2)
+    for i, x in enumerate(tokenizer.encode_batch(own, add_special_tokens=False)):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == [*x.ids, 2], own[i]
+
+
 def test_packing_is_gapless_and_tight(spark):
     found = packing.query(spark, SMALL).collect()
     tokenizer, own = Tokenizer.from_file(BYTE), texts()
