@@ -30,8 +30,10 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import uuid
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,11 +49,30 @@ COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3
 SLICE = 8 << 20
 PARTS = 4
 #: Digests that a task sorts at once, about.
-SORTED_TOGETHER = 3_000_000
+SORTED_TOGETHER = 1_000_000
+#: Digests that are computed in one go.
+PIECE = 1 << 16
 _LOW48, _LOW15 = np.uint64((1 << 48) - 1), np.uint64((1 << 15) - 1)
 TEXTS = "home int, slice long, ids array<long>, sizes array<int>, data binary"
 ASKED = "bucket int, home int, slice long, block binary"
 ANSWERED = "bucket int, home int, slice long, bits binary"
+#: A row group for each slice: a reader holds one slice, however many its file has.
+ROW_GROUPS = {"parquet.block.size": 1, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1, "parquet.writer.max-padding": 0}
+
+
+@contextlib.contextmanager
+def _few_at_once(spark: SparkSession):
+    """While this lasts, Arrow batches end with the first row beyond a slice's size, and a task writes its one bucket as
+    its rows come instead of sorting them first."""
+    limits = {"spark.sql.execution.arrow.maxBytesPerBatch": SLICE, "spark.sql.maxConcurrentOutputFileWriters": 1}
+    before = {k: spark.conf.get(k, None) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def period_for(length: int) -> int:
@@ -65,14 +86,14 @@ def period_for(length: int) -> int:
 class Slice:
     """The texts of a slice end to end, their samples and, step by step, what is known of them."""
 
-    def __init__(self, sizes: np.ndarray, data: bytes, length: int):
-        self.data, self.view, self.length = data, memoryview(data), length
+    def __init__(self, sizes: np.ndarray, data, length: int):
+        self.view, self.length = memoryview(data), length
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
         self.period = period_for(length)
         cover = np.array(COVERS[self.period], np.int64)
-        at = (np.arange(0, len(data), self.period)[:, None] + cover).ravel()
-        at = at[at < len(data)]
+        at = (np.arange(0, len(self.view), self.period)[:, None] + cover).ravel()
+        at = at[at < len(self.view)]
         doc = np.searchsorted(self.ends, at, "right")
         first, last = np.maximum(self.starts[doc], at - self.period + 1), np.minimum(self.ends[doc] - length, at)
         some = first <= last  # the sample stands for a start whose string lies in the text
@@ -80,8 +101,7 @@ class Slice:
 
     def tuples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Digests of the distinct tuples, sorted; each sample's place among them; how often each occurs."""
-        width, view, digest = self.length - self.period + 1, self.view, xxhash.xxh3_64_intdigest
-        found = np.fromiter((digest(view[i : i + width]) for i in self.at.tolist()), np.uint64, len(self.at))
+        found = _short(self.view, self.at, self.at + self.length - self.period + 1)
         return np.unique(found, return_inverse=True, return_counts=True)
 
     def keep(self, which: np.ndarray, names: np.ndarray) -> None:
@@ -89,8 +109,7 @@ class Slice:
 
     def wide(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (name, wide digest) of the kept samples: their entries, sorted, and each sample's place among them."""
-        spans = zip(self.first.tolist(), (self.last + self.length).tolist(), (self.at - self.first).tolist(), strict=True)
-        high, low = _digests((self.view[a:b], seed) for a, b, seed in spans)
+        high, low = _digests(self.view, self.first, self.last + self.length, self.at - self.first)
         return _distinct(self.names, high, low)
 
     def range_of(self, part: int) -> tuple[int, int]:
@@ -101,12 +120,11 @@ class Slice:
         """For each entry and range: the digest of what the range's strings have in common, where it has a start."""
         chosen = np.unique(place, return_index=True)[1]
         at, first, last = self.at[chosen], self.first[chosen], self.last[chosen]
-        out, digest = np.zeros((len(chosen), PARTS), np.uint64), xxhash.xxh3_64_intdigest
+        out = np.zeros((len(chosen), PARTS), np.uint64)
         for part in range(PARTS):
             near, far = self.range_of(part)
             some = (at - last <= far) & (at - first >= near)
-            begin, end = (at[some] - near).tolist(), (at[some] - far + self.length).tolist()
-            out[some, part] = np.fromiter((digest(self.view[a:b]) for a, b in zip(begin, end, strict=True)), np.uint64, len(begin))
+            out[some, part] = _short(self.view, at[some] - near, at[some] - far + self.length)
         return out
 
     def prefixes(self, chosen: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
@@ -119,14 +137,25 @@ class Slice:
             counts = np.maximum(high - low + 1, 0)
             found.append(np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum()))
         at = np.unique(np.concatenate(found))
-        high, low = _digests((self.view[i : i + self.length], 0) for i in at.tolist())
+        high, low = _digests(self.view, at, at + self.length)
         return at, _distinct(low, high, low)
 
 
-def _digests(parts) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit digests of (bytes, seed) as high and low halves."""
-    raw = b"".join(xxhash.xxh3_128_digest(part, seed) for part, seed in parts)
-    both = np.frombuffer(raw, ">u8").astype(np.uint64).reshape(-1, 2)
+def _short(view: memoryview, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit digests of stretches of ``view``."""
+    out, digest = np.empty(len(begin), np.uint64), xxhash.xxh3_64_intdigest
+    for k in range(0, len(begin), PIECE):
+        spans = zip(begin[k : k + PIECE].tolist(), end[k : k + PIECE].tolist(), strict=True)
+        out[k : k + PIECE] = [digest(view[a:b]) for a, b in spans]
+    return out
+
+
+def _digests(view: memoryview, begin: np.ndarray, end: np.ndarray, seeds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digests of stretches of ``view`` as high and low halves."""
+    both, digest = np.empty((len(begin), 2), np.uint64), xxhash.xxh3_128_digest
+    for k in range(0, len(begin), PIECE):
+        spans = zip(begin[k : k + PIECE].tolist(), end[k : k + PIECE].tolist(), repeat(0) if seeds is None else seeds[k : k + PIECE].tolist(), strict=False)
+        both[k : k + PIECE] = np.frombuffer(b"".join([digest(view[a:b], seed) for a, b, seed in spans]), ">u8").reshape(-1, 2)
     return both[:, 0], both[:, 1]
 
 
@@ -238,7 +267,7 @@ def _answers(asked: DataFrame, step: int) -> DataFrame:
     """(bucket, home, slice, bits): each bucket's entries sorted and compared in one task."""
 
     def judge(table: pa.Table) -> pa.Table:
-        blocks = [np.frombuffer(x, np.uint8).reshape(-1, _WIDTH[step]) for x in table.column("block").to_pylist()]
+        blocks = [np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, _WIDTH[step]) for x in table.column("block")]
         sizes = [len(x) for x in blocks]
         out = _judge(step, np.concatenate(blocks), np.repeat(np.arange(len(blocks)), sizes))
         bits = [np.packbits(x).tobytes() for x in np.split(out, np.cumsum(sizes)[:-1])]
@@ -247,6 +276,12 @@ def _answers(asked: DataFrame, step: int) -> DataFrame:
     return asked.groupBy("bucket").applyInArrow(judge, ANSWERED)
 
 
+def _fields(batch: pa.RecordBatch, *names: str):
+    """The rows' values one row at a time, texts without a copy."""
+    for i in range(batch.num_rows):
+        yield tuple(batch.column(c)[i].as_buffer() if c == "data" else batch.column(c)[i].as_py() for c in names)
+
+
 class _Corpus:
     """The slices, and the answers they have had."""
 
@@ -275,7 +310,7 @@ class _Corpus:
                 yield pa.RecordBatch.from_arrays(row, ["home", "slice", "ids", "sizes", "data"])
 
         cut = docs.mapInArrow(cut, TEXTS)
-        cut.write.bucketBy(n, "home").option("path", shared_dir(self.spark)).option("compression", "zstd").format("parquet").saveAsTable(self.name)
+        cut.write.bucketBy(n, "home").options(path=shared_dir(self.spark), compression="zstd", **ROW_GROUPS).format("parquet").saveAsTable(self.name)
         self.texts = self.spark.table(self.name)
 
     def drop(self) -> None:
@@ -300,7 +335,7 @@ class _Corpus:
         """Function of a row: the slice as far as the answers go, and the entries it asks for next."""
         length, buckets = self.length, self.buckets
 
-        def known(sizes: list[int], data: bytes, answers: list[dict]):
+        def known(sizes: list[int], data: pa.Buffer, answers: list[dict]):
             mine = [[a for a in answers if a["step"] == k] for k in STEPS]
             s = Slice(np.array(sizes, np.int64), data, length)
             names, place, times = s.tuples()
@@ -337,7 +372,7 @@ class _Corpus:
 
         def ask(batches):
             for batch in batches:
-                for home, number, sizes, data, answers in zip(*(batch.column(c).to_pylist() for c in ("home", "slice", "sizes", "data", "answers")), strict=True):
+                for home, number, sizes, data, answers in _fields(batch, "home", "slice", "sizes", "data", "answers"):
                     if step and not any(a["step"] == step - 1 for a in answers):
                         continue  # nothing was asked before
                     _, entries = known(sizes, data, answers)
@@ -351,7 +386,7 @@ class _Corpus:
 
         def cut(batches):
             for batch in batches:
-                for ids, sizes, data, answers in zip(*(batch.column(c).to_pylist() for c in ("ids", "sizes", "data", "answers")), strict=True):
+                for ids, sizes, data, answers in _fields(batch, "ids", "sizes", "data", "answers"):
                     s, _ = known(sizes, data, answers)
                     yield _cut(s, ids, length, keep_text)
 
@@ -375,9 +410,9 @@ def _cut(s: Slice, ids: list, length: int, keep_text: bool):
     for d, (doc_id, x, y) in enumerate(zip(ids, s.starts.tolist(), s.ends.tolist(), strict=True)):
         kept, at = [], x
         for i, j in spans.get(d, ()):
-            kept.append(s.data[at:i])
+            kept.append(s.view[at:i])
             at = j
-        rest = b"".join([*kept, s.data[at:y]])
+        rest = b"".join([*kept, s.view[at:y]])
         out.append((doc_id, y - x, y - x - len(rest), len(spans.get(d, ())), hashlib.sha256(rest).hexdigest(), rest if keep_text and d in spans else None))
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
     columns = zip(*out, strict=True) if out else [()] * len(kinds)
@@ -387,13 +422,14 @@ def _cut(s: Slice, ids: list, length: int, keep_text: bool):
 def dedup(docs: DataFrame, length: int = 200, keep_text: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row; ``kept``: the bytes left of a text that lost
     some (null without ``keep_text``)."""
-    corpus = _Corpus(own(docs, "doc_id", "text"), length)
-    try:
-        for step in STEPS:
-            corpus.exchange(step)
-        return materialise(corpus.result(keep_text))
-    finally:
-        corpus.drop()
+    with _few_at_once(docs.sparkSession):
+        corpus = _Corpus(own(docs, "doc_id", "text"), length)
+        try:
+            for step in STEPS:
+                corpus.exchange(step)
+            return materialise(corpus.result(keep_text))
+        finally:
+            corpus.drop()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
