@@ -88,7 +88,11 @@ def added(parts: RDD) -> tuple[np.ndarray, np.ndarray]:
     return parts.reduce(join) if parts.getNumPartitions() <= 64 else parts.treeReduce(join)
 
 
-def summed(rows: RDD | list, part, highest: bool = False) -> list[np.ndarray]:
+def opened(raw: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(raw).reshape(-1, width)
+
+
+def summed(rows: RDD | list, part, highest: bool = False, read=opened) -> list[np.ndarray]:
     """The sums of the arrays that ``part(block)`` gives for each block of rows, added up through a tree. With ``highest``
     the last array's largest values are kept instead. Without any row there is nothing to sum: an error."""
     adds = lambda a, b: [p + q for p, q in zip(a, b, strict=True)]
@@ -98,7 +102,7 @@ def summed(rows: RDD | list, part, highest: bool = False) -> list[np.ndarray]:
     def partial(found):
         total = None
         for raw, width in found:
-            block = np.frombuffer(raw).reshape(-1, width)
+            block = read(raw, width)
             if len(block):
                 total = join(total, part(block))
         yield total

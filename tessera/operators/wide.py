@@ -1,7 +1,7 @@
 """Fits without a matrix of all pairs of features: wide tables, and string columns with any number of levels.
 
-A row is kept as its dense values and, for each string column, the place of its level among the features (-1 for the lowest
-level, which has none). Standardization is folded into the coefficients, so that a dummy column costs one addition a row
+A row is kept as its dense values (of a block of rows in which most are 0, only the others) and, for each string column, the
+place of its level among the features (-1 for the lowest level, which has none). Standardization is folded into the coefficients, so that a dummy column costs one addition a row
 and one counter in a pass, however many levels there are. Newton steps come from conjugate gradients: the driver holds
 vectors as long as the coefficients.
 """
@@ -10,13 +10,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark import RDD, StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators.families import ARRAYS, Family, ModelError
-from tessera.operators.gram import blocks, gathered, steps_over, summed
+from tessera.operators.gram import gathered, steps_over, summed
 from tessera.operators.names import INTERCEPT, as_double, check_names, check_outcome, quoted, used_columns
 from tessera.operators.steps import accelerated, newton_cg
 from tessera.sources import free_prefix, table
@@ -56,8 +56,108 @@ def coded(df: DataFrame, levels: dict[str, list[str]], places: dict[str, int]) -
     return df, made
 
 
-def _complete(block: np.ndarray) -> np.ndarray:
-    return block[~np.isnan(block).any(1)]
+#: A block in which at most this share of the dense values is not 0 keeps only those.
+SPARSE = 0.25
+
+
+def packed(df: DataFrame, columns: list[Column], p: int) -> RDD:
+    """The columns as blocks of bytes: three and the places of levels row by row, the ``p`` dense ones in between likewise
+    or, where most values are 0, as (row, column, value) of the others, told by a negative width. The columns go to Python
+    one by one: an array of a hundred expressions is a method too large for the JVM to compile."""
+    width = len(columns)
+
+    def pack(batches):
+        for batch in batches:
+            v = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            x, around = v[3 : 3 + p], [*v[:3], *v[3 + p :]]
+            at = [np.flatnonzero(c) for c in x]
+            if sum(map(len, at)) <= SPARSE * batch.num_rows * p:
+                row, col = np.concatenate([np.zeros(0, np.int64), *at]), np.repeat(np.arange(p), [len(i) for i in at])
+                values = np.concatenate([np.zeros(0), *[c[i] for c, i in zip(x, at, strict=True)]])
+                parts = (np.array([batch.num_rows, len(row)]), np.column_stack(around), values, row.astype(np.int32), col.astype(np.int32))
+                raw, kind = b"".join(a.tobytes() for a in parts), -width
+            else:
+                raw, kind = np.column_stack(v).tobytes(), width
+            yield pa.RecordBatch.from_arrays([pa.array([raw], pa.binary()), pa.array([kind], pa.int32())], ["raw", "width"])
+
+    named = df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)])
+    return named.mapInArrow(pack, "raw binary, width int").rdd.map(tuple)
+
+
+class Block:
+    """Rows: outcome, offset, weight, places of levels, and products with the dense values."""
+
+    def __init__(self, around: np.ndarray, p: int, x: np.ndarray | None = None, filled: tuple | None = None):
+        self.around, self.p, self.x, self.filled = around, p, x, filled
+        self.y, self.offset, self.weight, self.at = *around[:, :3].T, around[:, 3:]
+
+    @classmethod
+    def read(cls, raw: bytes, width: int, p: int) -> Block:
+        if width >= 0:
+            v = np.frombuffer(raw).reshape(-1, width)
+            return cls(np.hstack([v[:, :3], v[:, 3 + p :]]), p, x=v[:, 3 : 3 + p])
+        n, k = np.frombuffer(raw, np.int64, 2).tolist()
+        kept = -width - p
+        around, values = np.frombuffer(raw, float, n * kept, 16).reshape(n, kept), np.frombuffer(raw, float, k, 16 + 8 * n * kept)
+        row, col = np.frombuffer(raw, np.int32, 2 * k, 16 + 8 * n * kept + 8 * k).reshape(2, k)
+        return cls(around, p, filled=(row, col, values))
+
+    def __len__(self) -> int:
+        return len(self.around)
+
+    def complete(self) -> Block:
+        """The rows without NULL and NaN."""
+        good = ~np.isnan(self.around).any(1)
+        if self.filled is None:
+            good &= ~np.isnan(self.x).any(1)
+            return Block(self.around[good], self.p, x=self.x[good])
+        row, col, values = self.filled
+        good[row[np.isnan(values)]] = False
+        kept = good[row]
+        return Block(self.around[good], self.p, filled=((np.cumsum(good) - 1)[row[kept]], col[kept], values[kept]))
+
+    def known(self) -> np.ndarray:
+        """How many values each dense column and each of places has."""
+        if self.filled is None:
+            dense = (~np.isnan(self.x)).sum(0)
+        else:
+            dense = len(self) - np.bincount(self.filled[1][np.isnan(self.filled[2])], minlength=self.p)
+        return np.append(dense, (~np.isnan(self.at)).sum(0))
+
+    def ends(self) -> tuple[np.ndarray, np.ndarray]:
+        """The lowest and the highest values of the dense columns."""
+        if self.filled is None:
+            return self.x.min(0), self.x.max(0)
+        _, col, values = self.filled
+        some = np.bincount(col, minlength=self.p) < len(self)
+        low, high = np.where(some, 0.0, np.inf), np.where(some, 0.0, -np.inf)
+        np.minimum.at(low, col, values)
+        np.maximum.at(high, col, values)
+        return low, high
+
+    def times(self, slopes: np.ndarray) -> np.ndarray:
+        """The dense values times a slope each, summed by row."""
+        if self.filled is None:
+            return self.x @ slopes
+        row, col, values = self.filled
+        return np.bincount(row, values * slopes[col], len(self))
+
+    def against(self, r: np.ndarray) -> np.ndarray:
+        """The sums of each dense column times ``r``."""
+        if self.filled is None:
+            return r @ self.x
+        row, col, values = self.filled
+        return np.bincount(col, values * r[row], self.p)
+
+    def squares(self, center: np.ndarray) -> np.ndarray:
+        """Weighted squares of the dense columns' distances to ``center``."""
+        if self.filled is None:
+            x = self.x - center
+            return self.weight @ (x * x)
+        row, col, values = self.filled
+        far, a = values - center[col], self.weight[row]
+        zero = np.where(np.bincount(col, minlength=self.p) < len(self), self.weight.sum() - np.bincount(col, a, self.p), 0.0)
+        return np.bincount(col, a * far * far, self.p) + np.maximum(zero, 0.0) * center * center
 
 
 class WideDesign:
@@ -81,17 +181,16 @@ class WideDesign:
         # NULL and NaN are the same in a block
         offset, weight = as_double(df, offset_col) if offset_col else F.lit(0.0), as_double(df, weights_col) if weights_col else F.lit(1.0)
         values = [as_double(df, outcome), offset, weight, *[as_double(df, c) for c in dense], *[F.col(c).cast("double") for c in codes]]
-        self.rows = blocks(df, values).persist(StorageLevel.MEMORY_AND_DISK)
+        self.rows = packed(df, values, self.p).persist(StorageLevel.MEMORY_AND_DISK)
         self._count(outcome, fam, dense, texts, len(codes))
         self.few = gathered(self.rows, self.n * len(values))
-        center, gaps = np.append(self.mean[: self.p], self.y_mean), self.gaps
+        center, y_mean, gaps, p = self.mean[: self.p], self.y_mean, self.gaps, self.p
 
         def squares(block):
-            block = _complete(block) if gaps else block
-            x = np.column_stack([block[:, 3 : 3 + len(center) - 1], block[:, 0]]) - center
-            return [block[:, 2] @ (x * x)]
+            block = block.complete() if gaps else block
+            return [np.append(block.squares(center), block.weight @ np.square(block.y - y_mean))]
 
-        spread = np.sqrt(np.maximum(summed(self.few, squares)[0] / self.total, 0))
+        spread = np.sqrt(np.maximum(summed(self.few, squares, read=lambda raw, width: Block.read(raw, width, p))[0] / self.total, 0))
         share = self.mean[self.p :]
         sd = np.append(spread[:-1], np.sqrt(np.maximum(share * (1 - share), 0)))
         self.constant |= ~(sd > 0)
@@ -111,20 +210,20 @@ class WideDesign:
             low, high, total = np.full(p + 2, np.inf), np.full(p + 2, -np.inf), np.zeros(6 + p + q + p + 2 * (d - p))
             known, sums, counts = total[6 : 6 + p + q], total[6 + p + q : 6 + p + q + p], total[6 + p + q + p :].reshape(2, d - p)
             for raw, width in found:
-                v = np.frombuffer(raw).reshape(-1, width)
-                y = v[:, 0][~np.isnan(v[:, 0])]
+                v = Block.read(raw, width, p)
+                y = v.y[~np.isnan(v.y)]
                 if len(y):
                     low[0], high[0] = min(low[0], y.min()), max(high[0], y.max())
                 total[:2] += len(y), ((y != 0) & (y != 1)).sum()
                 total[5] += len(v)
-                known += (~np.isnan(v[:, 3:])).sum(0)
-                v = _complete(v)
+                known += v.known()
+                v = v.complete()
                 if not len(v):
                     continue
-                a, x, at = v[:, 2], v[:, 3 : 3 + p], v[:, 3 + p :].astype(np.int64)
-                total[2:5] += len(v), a.sum(), a @ v[:, 0]
-                low[1:], high[1:] = np.minimum(low[1:], np.column_stack([a, x]).min(0)), np.maximum(high[1:], np.column_stack([a, x]).max(0))
-                sums += a @ x
+                a, at, (least, most) = v.weight, v.at.astype(np.int64), v.ends()
+                total[2:5] += len(v), a.sum(), a @ v.y
+                low[1:], high[1:] = np.minimum(low[1:], np.append(a.min(), least)), np.maximum(high[1:], np.append(a.max(), most))
+                sums += v.against(a)
                 for c in at.T:
                     used = c >= 0
                     counts[0] += np.bincount(c[used] - p, minlength=d - p)
@@ -170,20 +269,20 @@ class WideDesign:
             bases = [b[0] - (s[:-1] * mean).sum() for b, s in zip(betas, slopes, strict=True)]
 
             def part(block):
-                block = _complete(block) if gaps else block
-                x, at = block[:, 3 : 3 + p], block[:, 3 + p :].astype(np.int64)
-                etas = [base + x @ s[:p] + s[at].sum(1) for base, s in zip(bases, slopes, strict=True)]
-                vectors, numbers = make((block[:, 0] - shift) / scale, block[:, 1] / offset_scale, block[:, 2], *etas)
+                block = block.complete() if gaps else block
+                at = block.at.astype(np.int64)
+                etas = [base + block.times(s[:p]) + s[at].sum(1) for base, s in zip(bases, slopes, strict=True)]
+                vectors, numbers = make((block.y - shift) / scale, block.offset / offset_scale, block.weight, *etas)
                 out = []
                 for r in vectors:
                     right = np.zeros(d + 1)
-                    right[0], right[1 : 1 + p] = r.sum(), r @ x
+                    right[0], right[1 : 1 + p] = r.sum(), block.against(r)
                     for c in at.T:
                         right[1:] += np.bincount(np.where(c < 0, d, c), r, d + 1)[:d]
                     out.append(right)
                 return [*out, np.array(numbers, float)]
 
-            *sums, numbers = summed(rows, part, highest)
+            *sums, numbers = summed(rows, part, highest, read=lambda raw, width: Block.read(raw, width, p))
             for right in sums:
                 right[1:] = (right[1:] - mean * right[0]) / sd * active[1:]
             return sums, numbers
